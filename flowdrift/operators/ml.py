@@ -198,7 +198,7 @@ def make_estimator(
         overrides = {"maxDepth": 8, "stepSize": 0.1, "maxIter": 10, "seed": SEED, **overrides}
         if task == "binary":
             return GBTClassifier(**common, **overrides)
-        gbt = GBTClassifier(**common, rawPredictionCol="gbt_margin", **overrides)
+        gbt = GBTClassifier(**common, **overrides).setRawPredictionCol("gbt_margin")
         # raw one-vs-rest margins to probabilities through a multinomial fit
         rest = OneVsRest(classifier=gbt, **common, predictionCol="gbt_side", rawPredictionCol="gbt_margin")
         return Pipeline(stages=[rest, LogisticRegression(featuresCol="gbt_margin", labelCol=label, maxIter=50)])

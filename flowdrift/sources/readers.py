@@ -103,8 +103,10 @@ def merge_flow_dir(
     return merged.withColumn(timestamp, parsed).orderBy(F.desc(timestamp))
 
 
-def read_run_logs(spark: SparkSession, path: str, exclude_prefix: str = "old") -> DataFrame:
-    """Lines of all ``.log`` files below a folder: ``path``, ``file``, ``folder``, ``line_no``, ``text``.
+def read_run_logs(
+    spark: SparkSession, path: str, exclude_prefix: str = "old", pattern: str = "*.log"
+) -> DataFrame:
+    """Lines of all log files below a folder: ``path``, ``file``, ``folder``, ``line_no``, ``text``.
 
     Folders whose own name starts with ``exclude_prefix`` are skipped. Large
     files are split between tasks; the order inside a file is the byte offset
@@ -115,7 +117,7 @@ def read_run_logs(spark: SparkSession, path: str, exclude_prefix: str = "old") -
     name = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/")
     lines = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.log")
+        .option("pathGlobFilter", pattern)
         .text(path)
         .select(
             name.alias("path"),

@@ -143,7 +143,8 @@ def last_n_stream(df: DataFrame, key: str, n: int, seq: str = "seq", value: str
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, values = (list(x) for x in state.get) if state.exists else ([], [])
         rows = _in_order(batches, "seq")
-        seqs, values = (seqs + rows["seq"].tolist())[-n:], (values + rows["value"].tolist())[-n:]
+        newest = sorted(zip(seqs + rows["seq"].tolist(), values + rows["value"].tolist()), key=lambda r: r[0])[-n:]
+        seqs, values = [r[0] for r in newest], [r[1] for r in newest]
         state.update((seqs, values))
         yield pd.DataFrame({"stream": [keys[0]], "last_seq": [seqs[-1]], "values": [values]})
 
