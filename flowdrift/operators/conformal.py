@@ -112,13 +112,18 @@ def vote(predictions: Column) -> Column:
     return -F.array_max(tallies).getField("neg")
 
 
-def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+def combine_folds(df: DataFrame, predictions: list[str], scores: list[str]) -> DataFrame:
+    """Cross-conformal combination of one prediction and one score column per fold model.
 
-
-def combine_folds(df: DataFrame, predictions: str, scores: str) -> DataFrame:
-    """Cross-conformal combination: majority class and mean score over the fold models."""
-    return df.withColumn("class", vote(F.col(predictions))).withColumn("score", mean_of(F.col(scores)))
+    Adds the majority ``class`` (the smallest on a tie) and the mean ``score``, as plain row expressions.
+    """
+    votes = [
+        F.struct(sum((F.col(p) == F.col(q)).cast("int") for q in predictions).alias("votes"), (-F.col(p)).alias("neg"))
+        for p in predictions
+    ]
+    best = F.greatest(*votes) if len(votes) > 1 else votes[0]
+    mean = sum(F.col(s) for s in scores) / len(scores)
+    return df.withColumn("class", -best.getField("neg")).withColumn("score", mean)
 
 
 def combine_folds_long(df: DataFrame, row: list[str], prediction: str = "prediction", score: str = "score") -> DataFrame:

@@ -41,13 +41,9 @@ class Calibrated:
             scored = df
             for i, model in enumerate(self.models):
                 scored = _predict_fold(model, scored, i)
-            folds = range(len(self.models))
-            scored = scored.withColumn("_classes", F.array(*[f"_class_{i}" for i in folds])).withColumn(
-                "_scores", F.array(*[f"_score_{i}" for i in folds])
-            )
-            scored = conformal.combine_folds(scored, "_classes", "_scores").drop(
-                "_classes", "_scores", *[f"_class_{i}" for i in folds], *[f"_score_{i}" for i in folds]
-            )
+            classes = [f"_class_{i}" for i in range(len(self.models))]
+            scores = [f"_score_{i}" for i in range(len(self.models))]
+            scored = conformal.combine_folds(scored, classes, scores).drop(*classes, *scores)
         return conformal.p_values(scored, self.counts)
 
     def flags(self, scored: DataFrame, rule: str = "score_quantile", significance: float = 0.05) -> DataFrame:

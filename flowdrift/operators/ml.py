@@ -129,10 +129,8 @@ class RandomFourierFeatures(
     @keyword_only
     def __init__(self, *, inputCol="features", outputCol="features_rbf", gamma=0.1, dims=128, seed=SEED):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="features_rbf", gamma=0.1, dims=128, seed=SEED)
         self._set(**self._input_kwargs)
-        for p in ("inputCol", "outputCol", "gamma", "dims", "seed"):
-            if not self.isDefined(p):
-                self._set(**{p: {"inputCol": inputCol, "outputCol": outputCol, "gamma": gamma, "dims": dims, "seed": seed}[p]})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         gamma, dims, seed = self.getOrDefault("gamma"), self.getOrDefault("dims"), self.getSeed()

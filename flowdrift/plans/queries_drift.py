@@ -350,33 +350,37 @@ def p_values_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOLDS_SQL = """fold_scores AS (
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, model, cast((l_partkey * (model + 1) + l_suppkey) % 3 AS bigint) AS prediction,
-       ((l_partkey + model * 37) % 100) / 100 AS score FROM lineitem, range(5) AS t(model))"""
+SELECT o_orderkey, model, cast((o_custkey * (model + 1) + o_orderkey) % 3 AS bigint) AS prediction,
+       ((o_custkey + model * 37) % 100) / 100 AS score FROM orders, range(5) AS t(model)),
+votes AS (SELECT o_orderkey, prediction, count(*) AS n FROM fold_scores GROUP BY ALL),
+best AS (SELECT o_orderkey, arg_max(prediction, (n, -prediction)) AS class FROM votes GROUP BY ALL)"""
+_COMBINED_SQL = f"""WITH {_FOLDS_SQL} SELECT o_orderkey, class, round(avg(score), 6) AS score
+FROM fold_scores JOIN best USING (o_orderkey) GROUP BY ALL"""
 
 
-@query(
-    "i7_predict_cce",
-    f"""WITH {_FOLDS_SQL}, votes AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, prediction, count(*) AS n FROM fold_scores GROUP BY ALL),
-best AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_max(prediction, (n, -prediction)) AS class FROM votes GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, class, count(*) AS models, round(avg(score), 6) AS score
-FROM fold_scores JOIN best USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) GROUP BY ALL""",
-)
+@query("i7_predict_cce", _COMBINED_SQL)
 def predict_cce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    """Five fold models as columns of one row."""
     models = range(5)
-    lines = table(spark, sf_dir, "lineitem").select(
-        *keys,
-        F.array(*[(F.col("l_partkey") * (m + 1) + F.col("l_suppkey")) % 3 for m in models]).alias("predictions"),
-        F.array(*[((F.col("l_partkey") + m * 37) % 100) / 100 for m in models]).alias("scores"),
-    )
-    # the same line can occur twice, so equal keys are put together first
-    merged = lines.groupBy(*keys).agg(
-        F.flatten(F.collect_list("predictions")).alias("predictions"), F.flatten(F.collect_list("scores")).alias("scores")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        *[((F.col("o_custkey") * (m + 1) + F.col("o_orderkey")) % 3).alias(f"p{m}") for m in models],
+        *[(((F.col("o_custkey") + m * 37) % 100) / 100).alias(f"s{m}") for m in models],
     )
-    combined = conformal.combine_folds(merged, "predictions", "scores")
-    return rounded(
-        combined.select(*keys, F.col("class").cast("bigint").alias("class"), F.size("scores").cast("bigint").alias("models"), "score")
+    combined = conformal.combine_folds(rows, [f"p{m}" for m in models], [f"s{m}" for m in models])
+    return rounded(combined.select("o_orderkey", "class", "score"))
+
+
+@query("i7_predict_cce_long", _COMBINED_SQL)
+def predict_cce_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five fold models as one row each."""
+    rows = table(spark, sf_dir, "orders").withColumn("model", F.explode(F.array(*[F.lit(m) for m in range(5)])))
+    long = rows.select(
+        "o_orderkey",
+        ((F.col("o_custkey") * (F.col("model") + 1) + F.col("o_orderkey")) % 3).alias("prediction"),
+        (((F.col("o_custkey") + F.col("model") * 37) % 100) / 100).alias("score"),
     )
+    return rounded(conformal.combine_folds_long(long, ["o_orderkey"]))
 
 
 @query(
