@@ -164,18 +164,15 @@ def adaptive_chunks(
     sizes = np.arange(config.min_size, config.max_size + 1)
     shrink = np.maximum(config.min_size, sizes // 2) - config.min_size
     grow = np.minimum(config.max_size, sizes + config.step) - config.min_size
-    keep = np.arange(len(sizes))
+    moves = np.stack([np.arange(len(sizes)), shrink, grow]).astype(np.int32)
     shrink_above, grow_below, every = config.shrink_above, config.grow_below, config.cooldown + 1
 
     def tables(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         ema, due = pdf["drift_ema"].to_numpy(), (pdf[position].to_numpy() - 1) % every == 0
         move = np.where(due & (ema > shrink_above), 1, np.where(due & (ema < grow_below), 2, 0))
-        table = np.stack([keep, shrink, grow])[move]
-        return table, table
+        return moves[move], moves[move]
 
-    scanned = finite_state_scan(
-        averaged, position, by, config.init_size - config.min_size, tables, "_size", block=min(block, 2_000)
-    )
+    scanned = finite_state_scan(averaged, position, by, config.init_size - config.min_size, tables, "_size", block=block)
     return scanned.withColumn("chunk_size", F.col("_size") + config.min_size).drop("_size")
 
 

@@ -91,6 +91,8 @@ WINDOW_MEANS = {
 WINDOW_MINS = {"min_iat_fwd_window": "fwd_iat_min", "min_iat_bwd_window": "bwd_iat_min"}
 WINDOW_MAXS = {"max_iat_fwd_window": "fwd_iat_max", "max_iat_bwd_window": "bwd_iat_max"}
 SRC, DST = 0, 1
+# Window lengths of time that the counts of one address stay together in one task.
+STRETCH = 256
 
 
 def window_rates() -> dict[str, Column]:
@@ -123,20 +125,40 @@ def entropy(df: DataFrame, column: str, by: list[str] | None = None, name: str =
     return counts.groupBy(*by).agg(_entropy_of_counts(F.col("_n"), F.lit(True)).alias(name))
 
 
-def _partial_aggs(first: bool, with_first: bool) -> list[Column]:
-    """Mergeable parts of the window features; ``first`` reads flows, otherwise earlier parts."""
-    n = F.count(F.lit(1)) if first else F.sum("_n")
-    out = [n.alias("_n"), F.min("_first" if not first else "_off").alias("_first")]
-    out.append(F.max("_last" if not first else "_off").alias("_last"))
-    out += [F.sum(c).alias(c) for c in WINDOW_SUMS.values()]
-    for c in WINDOW_MEANS.values():
-        out.append(F.sum(c).alias(c))
-        out.append((F.count(c) if first else F.sum(f"_n_{c}")).alias(f"_n_{c}"))
+def _pane_aggs() -> list[Column]:
+    """Mergeable parts of the window features, from flows."""
+    out = [F.count(F.lit(1)).alias("_n"), F.min("_off").alias("_first"), F.max("_off").alias("_last")]
+    out += [F.sum(c).alias(c) for c in [*WINDOW_SUMS.values(), *WINDOW_MEANS.values()]]
+    out += [F.count(c).alias(f"_n_{c}") for c in WINDOW_MEANS.values()]
     out += [F.min(c).alias(c) for c in WINDOW_MINS.values()]
-    out += [F.max(c).alias(c) for c in WINDOW_MAXS.values()]
-    if with_first:
-        out.append(F.min("_head").alias("_head"))
-    return out
+    return out + [F.max(c).alias(c) for c in WINDOW_MAXS.values()]
+
+
+def _merged_aggs() -> list[Column]:
+    """Window features from the parts of :func:`_pane_aggs`."""
+    out = [F.sum("_n").alias("packet_count_window"), F.min("_first").alias("_first"), F.max("_last").alias("_last")]
+    out += [F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in WINDOW_SUMS.items()]
+    out += [(F.sum(c) / F.sum(f"_n_{c}")).alias(name) for name, c in WINDOW_MEANS.items()]
+    out += [F.min(c).alias(name) for name, c in WINDOW_MINS.items()]
+    return out + [F.max(c).alias(name) for name, c in WINDOW_MAXS.items()]
+
+
+def sides() -> Column:
+    """One entry per flow for its source and one for its destination address."""
+    return F.explode(
+        F.array(
+            F.struct(F.lit(SRC).alias("kind"), F.col("src_ip").alias("ip")),
+            F.struct(F.lit(DST).alias("kind"), F.col("dst_ip").alias("ip")),
+        )
+    )
+
+
+def address_entropies(count: Column) -> list[Column]:
+    """Entropy of the source and of the destination addresses, from one row per (kind, address)."""
+    return [
+        _entropy_of_counts(count, F.col("_kind") == kind).alias(f"{name}_ip_entropy_window")
+        for kind, name in ((SRC, "src"), (DST, "dst"))
+    ]
 
 
 def hopping_features(
@@ -149,68 +171,66 @@ def hopping_features(
 ) -> DataFrame:
     """Features of hopping windows ``[start, start + size)`` anchored at the earliest flow.
 
-    Flows are first reduced to panes (the common divisor of size and step) per
-    address; only those partial results are copied into the windows they belong
-    to. Source and destination counts travel in the same pass, so one scan and
-    three map-side-combined shuffles give sums, rates and both entropies.
+    Flows are first reduced to panes (the common divisor of size and step); only
+    panes are copied into the windows they belong to. Address counts take a
+    second, narrow pass: counts per (pane, address) are placed by address and
+    stretch of time, so that the copies for overlapping windows are made and
+    summed inside one task and never shuffled. A hot address is spread over its
+    stretches, a hot second is combined before any shuffle.
     ``with_first`` adds the 5-tuple of the first flow in time (ties by ``order``).
     """
     size_us, step_us = parse_duration_us(size), parse_duration_us(step)
     if size_us <= 0 or step_us <= 0:
         raise ValueError("size and step must be positive")
     pane_us = gcd(size_us, step_us)
+    per_size, per_step = size_us // pane_us, step_us // pane_us
     anchor = flows.select(F.min(F.unix_micros(F.col(ts)))).scalar()
-    features = [*WINDOW_SUMS.values(), *WINDOW_MEANS.values(), *WINDOW_MINS.values(), *WINDOW_MAXS.values()]
+    paned = (
+        flows.filter(F.col(ts).isNotNull())
+        .withColumn("_off", F.unix_micros(F.col(ts)) - anchor)
+        .withColumn("_pane", F.expr(f"_off div {pane_us}"))
+    )
 
-    timed = flows.filter(F.col(ts).isNotNull()).withColumn("_off", F.unix_micros(F.col(ts)) - anchor)
-    if with_first:
-        head = F.struct("_off", *(order or []), *FIVE_TUPLE)
-        timed = timed.withColumn("_head", head)
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(SRC).alias("kind"), F.col("src_ip").alias("ip")),
-            F.struct(F.lit(DST).alias("kind"), F.col("dst_ip").alias("ip")),
+    def in_hops(panes: DataFrame) -> DataFrame:
+        """Copy each pane row into the windows that cover it."""
+        lowest = F.ceil((F.col("_pane") + 1 - per_size) / per_step)
+        ranged = panes.withColumn("_lo", F.greatest(F.lit(0).cast("bigint"), lowest)).withColumn(
+            "_hi", F.expr(f"_pane div {per_step}")
         )
+        if per_size < per_step:  # windows leave gaps
+            ranged = ranged.filter("_lo <= _hi")
+        return ranged.withColumn("_hop", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+
+    totals = in_hops(paned.groupBy("_pane").agg(*_pane_aggs())).groupBy("_hop").agg(*_merged_aggs())
+
+    counts = (
+        paned.select("_pane", sides().alias("_side"))
+        .select("_pane", F.col("_side.kind").alias("_kind"), F.col("_side.ip").alias("_ip"))
+        .filter(F.col("_ip").isNotNull())
+        .groupBy("_pane", "_kind", "_ip")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    carried = ["_off", *features, *(["_head"] if with_first else [])]
-    rows = timed.select(F.floor(F.col("_off") / pane_us).alias("_pane"), *carried, sides.alias("_side"))
-    is_src = F.col("_side.kind") == SRC
-    rows = rows.select(
-        "_pane",
-        F.col("_side.kind").alias("_kind"),
-        F.col("_side.ip").alias("_ip"),
-        *[F.when(is_src, F.col(c)).alias(c) for c in carried],
-    )
-    panes = rows.groupBy("_pane", "_kind", "_ip").agg(*_partial_aggs(True, with_first))
-
-    lowest = F.ceil((F.col("_pane") * pane_us + pane_us - size_us) / step_us)
-    first_hop = F.greatest(F.lit(0).cast("bigint"), lowest)
-    last_hop = F.floor(F.col("_pane") * pane_us / step_us)
-    hops = (
-        panes.withColumn("_lo", first_hop)
-        .withColumn("_hi", last_hop)
-        .filter("_lo <= _hi")
-        .withColumn("_hop", F.explode(F.sequence("_lo", "_hi")))
-        .groupBy("_hop", "_kind", "_ip")
-        .agg(*_partial_aggs(False, with_first))
-    )
-    src, known = F.col("_kind") == SRC, F.col("_ip").isNotNull()
-    mean = {name: F.sum(c) / F.sum(F.when(src, F.col(f"_n_{c}"))) for name, c in WINDOW_MEANS.items()}
-    merged = hops.groupBy("_hop").agg(
-        F.sum(F.when(src, F.col("_n"))).alias("packet_count_window"),
-        F.min("_first").alias("_first"),
-        F.max("_last").alias("_last"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in WINDOW_SUMS.items()],
-        *[c.alias(name) for name, c in mean.items()],
-        *[F.min(c).alias(name) for name, c in WINDOW_MINS.items()],
-        *[F.max(c).alias(name) for name, c in WINDOW_MAXS.items()],
-        _entropy_of_counts(F.col("_n"), src & known).alias("src_ip_entropy_window"),
-        _entropy_of_counts(F.col("_n"), ~src & known).alias("dst_ip_entropy_window"),
-        *([F.min("_head").alias("_head")] if with_first else []),
+    # a window lies in the stretch of its first pane; a pane serves the stretches its windows start in
+    stretch = per_size * STRETCH
+    placed = counts.withColumn(
+        "_stretch",
+        F.explode(F.sequence(F.expr(f"greatest(_pane + 1 - {per_size}, 0L) div {stretch}"), F.expr(f"_pane div {stretch}"))),
+    ).repartition("_stretch", "_kind", "_ip")
+    entropies = (
+        in_hops(placed)
+        .filter(F.expr(f"_hop * {per_step} div {stretch} = _stretch"))
+        .groupBy("_stretch", "_hop", "_kind", "_ip")
+        .agg(F.sum("_n").alias("_n"))
+        .groupBy("_hop")
+        .agg(*address_entropies(F.col("_n")))
     )
+    named = totals.join(entropies.withColumnRenamed("_hop", "_e_hop"), F.col("_hop") == F.col("_e_hop"), "left")
+    if with_first:
+        heads = paned.groupBy("_pane").agg(F.min(F.struct("_off", *(order or []), *FIVE_TUPLE)).alias("_head"))
+        first = in_hops(heads).groupBy(F.col("_hop").alias("_f_hop")).agg(F.min("_head").alias("_head"))
+        named = named.join(first, F.col("_hop") == F.col("_f_hop"), "left")
     start_us = anchor + F.col("_hop") * step_us
-    named = merged.withColumns(window_rates())
-    return named.select(
+    return named.withColumns(window_rates()).select(
         F.timestamp_micros(start_us).alias("start_time"),
         F.timestamp_micros(start_us + size_us).alias("end_time"),
         *[F.col(c) for c in WINDOW_FEATURES],

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Training rows sent to every executor at once: 50,000 rows of 100 doubles are 40 MB.
-BROADCAST_ROWS = 50_000
+# Largest training matrix sent to every executor.
+BROADCAST_BYTES = 64_000_000
 TEST_ROWS = 20_000
 STEP = 256
 
@@ -56,22 +56,25 @@ def knn(
     features: str,
     train_id: str,
     label: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     test_rows: int = TEST_ROWS,
 ) -> DataFrame:
     """``row_id`` with its neighbours, nearest first: array of (squared, id, label).
 
     ``features`` is an array column on both sides. A training set of at most
-    ``broadcast_rows`` rows (a log-sized one) goes to every executor and the test rows
-    are not shuffled. A larger one is cut into blocks; each (test part, block)
+    ``broadcast_rows`` rows (by default as many as fit 64 MB, a log-sized one) goes to
+    every executor and the test rows are not shuffled. A larger one is cut into blocks; each (test part, block)
     pair is a bounded task that keeps k candidates per row, and the candidates are merged.
     """
     rows = train.select(F.col(train_id).cast("bigint").alias("_id"), F.col(label).cast("bigint").alias("_label"), F.col(features).alias("_x"))
     tested = test.select(F.col(row_id), F.col(features).alias("_x"))
     out = T.StructType([tested.schema[row_id], T.StructField("neighbours", _HITS)])
-    total = rows.limit(broadcast_rows + 1).count()
-    if total == 0:
+    sample = rows.select(F.size("_x").alias("d")).first()
+    if sample is None:
         raise ValueError("no training rows")
+    if broadcast_rows is None:
+        broadcast_rows = max(1, BROADCAST_BYTES // (8 * max(1, sample["d"])))
+    total = rows.limit(broadcast_rows + 1).count()
     if total <= broadcast_rows:
         local = rows.toPandas()
         shared = test.sparkSession.sparkContext.broadcast(

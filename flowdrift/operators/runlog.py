@@ -129,21 +129,25 @@ def extract_series(records: DataFrame, keep: list[str] | None = None, text: str
     Blank, ``nan`` and unreadable entries are skipped before steps are counted.
     """
     keep = keep if keep is not None else [c for c in records.columns if c != text]
-    entries = []
-    for series, block in SERIES_BLOCKS.items():
-        inner = F.regexp_extract(text, rf"(?s){block}\s*=\s*ModelStats\((.*?)\)", 1)
-        for metric in SERIES_METRICS:
-            listed = F.regexp_extract(inner, rf"{metric}\s*=\s*\[([^\]]*)\]", 1)
-            tokens = F.transform(F.split(listed, ","), lambda t: F.regexp_replace(F.trim(t), "%+$", ""))
-            numbers = F.filter(
-                F.transform(tokens, lambda t: F.when(F.lower(t) != "nan", t.try_cast("double"))),
-                lambda v: v.isNotNull(),
-            )
-            entries.append(F.struct(F.lit(series).alias("series"), F.lit(metric).alias("metric"), numbers.alias("values")))
+    # each step is exploded before the next one reads it, so no pattern runs twice on the same text
+    inner = [
+        F.struct(F.lit(series).alias("series"), F.regexp_extract(text, rf"(?s){block}\s*=\s*ModelStats\((.*?)\)", 1).alias("_inner"))
+        for series, block in SERIES_BLOCKS.items()
+    ]
+    listed = [
+        F.struct(F.lit(metric).alias("metric"), F.regexp_extract("_inner", rf"{metric}\s*=\s*\[([^\]]*)\]", 1).alias("_list"))
+        for metric in SERIES_METRICS
+    ]
+    numbers = F.filter(
+        F.transform(F.split("_list", ","), lambda t: F.when(~F.trim(t).rlike("(?i)^nan%*$"), F.regexp_replace(F.trim(t), "%+$", "").try_cast("double"))),
+        lambda v: v.isNotNull(),
+    )
     return (
-        records.filter(F.col(text).rlike(SERIES_MARKER))
-        .select(*keep, F.inline(F.array(*entries)))
-        .select(*keep, "series", "metric", F.posexplode("values").alias("_at", "value"))
+        records.filter(F.contains(F.col(text), F.lit("PerformanceStats(")) & F.col(text).rlike(SERIES_MARKER))
+        .select(*keep, F.inline(F.array(*inner)))
+        .select(*keep, "series", F.inline(F.array(*listed)))
+        .filter(F.length("_list") > 0)
+        .select(*keep, "series", "metric", F.posexplode(numbers).alias("_at", "value"))
         .select(*keep, "series", "metric", (F.col("_at") + 1).cast("bigint").alias("step"), "value")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from flowdrift.functions import columns
 from flowdrift.operators import clean, label
 from flowdrift.plans.registry import query
-from flowdrift.plans.tables import FLOWS_SQL, RAW_FLOWS_SQL, flows, raw_flows, rounded, table
+from flowdrift.plans.tables import FINE, FLOWS_SQL, RAW_FLOWS_SQL, flows, raw_flows, rounded, table
 from flowdrift.schema import NETFLOW_RENAMES
 
 # NetFlow-style records derived from the flows; a few values are made unusable on purpose.
@@ -90,7 +90,7 @@ _DERIVED = (
 
 @query(
     "b5_derive_flow_features",
-    f"WITH {FLOWS_SQL} SELECT event_id, {', '.join(f'round({c}, 6) AS {c}' for c in _DERIVED)} FROM flows",
+    f"WITH {FLOWS_SQL} SELECT event_id, {', '.join(f'round({c}, {FINE.get(c, 6)}) AS {c}' for c in _DERIVED)} FROM flows",
 )
 def derive_flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.derive_flow_features(raw_flows(spark, sf_dir)).select("event_id", *_DERIVED))

@@ -9,6 +9,7 @@ from flowdrift.operators import features, joins
 from flowdrift.plans.features import aggregated_features
 from flowdrift.plans.registry import query
 from flowdrift.plans.tables import FIVE, FLOWS_SQL, flows, rounded
+from flowdrift.session import materialize
 
 FIVE_BIG = "src_ip, dst_ip, src_port, cast(dst_port AS bigint) AS dst_port, cast(protocol AS bigint) AS protocol"
 
@@ -24,7 +25,7 @@ def _session_sql(source: str, wide: bool = False) -> str:
         "round(avg(bwd_pkt_len_mean), 6) AS mean_packet_length_backward",
         "round(avg(pkt_len_mean), 6) AS packet_size_mean",
         "round(avg(flow_iat_mean), 6) AS flow_iat_mean",
-        "round(avg(down_up_ratio), 6) AS down_up_ratio",
+        "round(avg(down_up_ratio), 9) AS down_up_ratio",
     ]
     if source == "flowmeter":
         cols += [
@@ -226,9 +227,11 @@ SELECT h.start_time, h.end_time AS end_time_x, h.packet_count_window,
 FROM hops h ASOF LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) s ON h.start_time >= s.start_time""",
 )
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hops = hop_table(spark, sf_dir).select("start_time", "end_time", "packet_count_window")
-    sessions = features.session_features(flows(spark, sf_dir)).select(
-        "start_time", "end_time", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "total_packets"
+    hops = materialize(hop_table(spark, sf_dir).select("start_time", "end_time", "packet_count_window"))
+    sessions = materialize(
+        features.session_features(flows(spark, sf_dir)).select(
+            "start_time", "end_time", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "total_packets"
+        )
     )
     tie = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
     return rounded(joins.asof_join_backward(hops, sessions, "start_time", "start_time", tie))

@@ -292,13 +292,13 @@ def _drift_stream(spark: SparkSession, sf_dir: str, seeded: bool, **settings) ->
 @query("j5_drift_stream")
 def j5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded from all flows, then replayed over them in three micro-batches; retrains where drift is found."""
-    return _drift_stream(spark, sf_dir, True).chunks().drop("latency_s")
+    return _drift_stream(spark, sf_dir, True).chunks().drop("latency_s", "controller")
 
 
 @query("j9_bootstrap_calibration")
 def j9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No model at the start: the first micro-batch calibrates and emits nothing."""
-    return _drift_stream(spark, sf_dir, False).scored().select("batch_id", "event_id", "prediction", "class", "p_value", "drift")
+    return _drift_stream(spark, sf_dir, False).scored().select("batch_id", "event_id", "prediction", "class", "p_value", "row_drift")
 
 
 @query("j7_pseudo_label_log")

@@ -49,10 +49,13 @@ class RollingLog:
         self.path, self.max_rows, self.columns = path, max_rows, columns
 
     def append(self, df: DataFrame, batch_id: int) -> None:
-        """Append rows that carry a ``seq`` column (larger is newer)."""
+        """Append rows that carry a ``seq`` column (larger is newer).
+
+        Of a batch larger than the log only the newest ``max_rows`` rows are written.
+        """
         if self.columns is not None:
             check_width(df, self.columns)
-        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        last_n(df, self.max_rows, ["seq"]).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame | None:
         """The newest rows, or None before the first append."""

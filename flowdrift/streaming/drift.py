@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -156,15 +157,18 @@ class DriftStream:
         filled = fill_mean(cleaned, present) if present else cleaned
         prepared = model.features.transform(align_to_model(filled, model.features))
         scored = self._score(prepared, model)
-        drift, p_first, class_first, alpha = self._test(scored, model, batch_id)
-        kept = [c for c in scored.columns if c in cleaned.columns or c in ("prediction", "class", "score", "p_value", "row_drift")]
-        result = materialize(scored.select(*kept).withColumn("drift", F.lit(drift)))
-        result.write.mode("overwrite").parquet(f"{self.base}/scored/batch_id={batch_id}")
-        self.log.append(self._pseudo_labelled(result), batch_id)
-        retrained = drift and self._retrain(batch_id)
-        self._record(result, batch_id, rows, drift, class_first, p_first, alpha, model.version, retrained, time.time() - started)
+        outputs = ("prediction", "class", "score", "p_value", "row_drift")
+        kept = [c for c in scored.columns if c in cleaned.columns or c in outputs]
+        # scored once, written once; everything after reads the written rows
+        path = f"{self.base}/scored/batch_id={batch_id}"
+        scored.select(*kept).write.mode("overwrite").parquet(path)
+        result = self.spark.read.parquet(path)
+        decision = self._test(result, model, batch_id)
+        self.log.append(self._pseudo_labelled(result, decision["drift"]), batch_id)
+        decision["retrained"] = decision["drift"] and self._retrain(batch_id)
+        self._record(result, batch_id, rows, model.version, decision, time.time() - started)
         if self.on_batch is not None:
-            self.on_batch(result, batch_id)
+            self.on_batch(result.withColumn("drift", F.lit(decision["drift"])), batch_id)
 
     def _bootstrap(self, rows: DataFrame, batch_id: int) -> None:
         """First batch without a model: it calibrates and emits nothing."""
@@ -190,28 +194,37 @@ class DriftStream:
         flagged = model.evaluator.flags(judged, self.config.conformal.rule, self.config.conformal.significance)
         return flagged.withColumnsRenamed({"_prediction": "prediction", "drift": "row_drift"}).drop("features")
 
-    def _test(self, scored: DataFrame, model: ModelVersion, batch_id: int) -> tuple[bool, float | None, int | None, float | None]:
+    def _test(self, scored: DataFrame, model: ModelVersion, batch_id: int) -> dict:
         """Decision for the batch; only its few numbers reach the driver."""
+        out = {"drift": False, "p_first": None, "class_first": None, "alpha": None, "controller": None}
         if model.evaluator is None:
-            return False, None, None, None
+            return out
         c = self.config.conformal
         first = scored.agg(
             F.min_by("class", "seq").alias("class"), F.min_by("p_value", "seq").alias("p"),
             F.min_by("row_drift", "seq").alias("first"), F.bool_or("row_drift").alias("any"),
             F.avg(F.col("row_drift").cast("double")).alias("rate"),
         ).first()
-        alpha = None
+        decided = {"first": first["first"], "any": first["any"], "rate": (first["rate"] or 0.0) > c.rate}
+        out.update(p_first=first["p"], class_first=first["class"])
         if self.config.significance is not None and first["p"] is not None:
             control = self._significance(model, batch_id, self.config.significance)
             control.update([first["class"]], [first["p"]])
-            alpha = control.levels[first["class"]]
-            decided = {"first": first["p"] < alpha, "any": first["any"], "rate": first["rate"] > c.rate}[c.mode]
-        else:
-            decided = {"first": first["first"], "any": first["any"], "rate": (first["rate"] or 0.0) > c.rate}[c.mode]
-        return bool(decided), first["p"], first["class"], alpha
+            out["alpha"] = control.levels[first["class"]]
+            decided["first"] = first["p"] < out["alpha"]
+            out["controller"] = json.dumps([[k, control.levels[k], list(control.history[k])] for k in control.levels])
+        out["drift"] = bool(decided[c.mode])
+        return out
 
     def _significance(self, model: ModelVersion, batch_id: int, config: SignificanceConfig) -> SignificanceState:
-        """Controller state rebuilt from the seeds and the p-values of the batches since the version took effect."""
+        """The controller after the previous batch of this version, or one started from the calibration scores."""
+        past = self.chunks()
+        if past is not None:
+            seen = past.filter((F.col("chunk_id") < batch_id) & (F.col("version") == model.version) & F.col("controller").isNotNull())
+            last = seen.agg(F.max_by("controller", "chunk_id")).first()[0]
+            if last is not None:
+                held = json.loads(last)
+                return SignificanceState(config, {k: a for k, a, _ in held}, {k: h for k, _, h in held})
         control = SignificanceState(config)
         seeds = model.evaluator.seeds.orderBy("seq").collect()  # at most `window` rows per class
         if model.evaluator.evaluator == "cce":
@@ -220,23 +233,21 @@ class DriftStream:
                 control.update([cls] * len(mine), mine)
         else:
             control.update([r["class"] for r in seeds], [r["score"] for r in seeds])
-        past = self.chunks()
-        if past is not None:
-            # one row per batch since the last retrain
-            seen = past.filter((F.col("batch_id") < batch_id) & (F.col("version") == model.version) & F.col("p_first").isNotNull())
-            for r in seen.orderBy("batch_id").select("class_first", "p_first").toLocalIterator():
-                control.update([r["class_first"]], [r["p_first"]])
         return control
 
-    def _pseudo_labelled(self, result: DataFrame) -> DataFrame:
-        """Log rows labelled with the prediction; a known truth replaces it."""
+    def _pseudo_labelled(self, result: DataFrame, drift: bool) -> DataFrame:
+        """Log rows labelled with the prediction; a known truth replaces it where that is allowed."""
         label, source = F.col("prediction").cast("int"), F.lit("prediction")
-        if self.truth and self.truth in result.columns:
+        if self.learn_from_truth and self.truth in result.columns:
             known = F.col(self.truth).isNotNull()
-            label = F.coalesce(F.col(self.truth).cast("int"), label) if self.learn_from_truth else label
-            source = F.when(known, F.lit("truth")).otherwise(source) if self.learn_from_truth else source
-        return result.select("seq", *[F.col(c).cast("double").alias(c) if c in result.columns else F.lit(None).cast("double").alias(c) for c in self.columns],
-                             label.alias("BinLabel"), source.alias("label_source"), F.col("drift"))
+            label = F.when(known, F.col(self.truth).cast("int")).otherwise(label)
+            source = F.when(known, F.lit("truth")).otherwise(source)
+        features = [
+            (F.col(c) if c in result.columns else F.lit(None)).cast("double").alias(c) for c in self.columns
+        ]
+        return result.select(
+            "seq", *features, label.alias("BinLabel"), source.alias("label_source"), F.lit(drift).alias("drift")
+        )
 
     def _retrain(self, batch_id: int) -> bool:
         """Refit on the newest log rows; the new version serves the next batch on."""
@@ -263,13 +274,14 @@ class DriftStream:
 
     # results -------------------------------------------------------------------
 
-    def _record(self, result: DataFrame, batch_id: int, rows: int, drift: bool, cls, p, alpha, version: int, retrained: bool, seconds: float) -> None:
+    def _record(self, result: DataFrame, batch_id: int, rows: int, version: int, decision: dict, seconds: float) -> None:
         correct = None
         if self.truth and self.truth in result.columns:
             correct = result.filter(F.col(self.truth).cast("int") == F.col("prediction")).count()
         schema = ("chunk_id bigint, rows bigint, correct bigint, drift boolean, class_first int, p_first double, alpha double, "
-                  "version bigint, retrained boolean, latency_s double")
-        row = (batch_id, rows, correct, drift, cls, p, alpha, version, bool(retrained), seconds)
+                  "version bigint, retrained boolean, latency_s double, controller string")
+        d = decision
+        row = (batch_id, rows, correct, d["drift"], d["class_first"], d["p_first"], d["alpha"], version, d["retrained"], seconds, d["controller"])
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/chunks/batch_id={batch_id}")
 
     def _table(self, name: str) -> DataFrame | None:

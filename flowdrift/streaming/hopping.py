@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from flowdrift.functions.columns import parse_duration_us
 from flowdrift.operators.features import (
-    DST,
     SRC,
     WINDOW_FEATURES,
     WINDOW_MAXS,
     WINDOW_MEANS,
     WINDOW_MINS,
     WINDOW_SUMS,
-    _entropy_of_counts,
+    address_entropies,
+    sides,
     window_rates,
 )
 
@@ -38,13 +38,7 @@ def stream_hopping_features(
         F.col(ts), f"{size_us} microseconds", f"{step_us} microseconds", f"{anchor_us % step_us} microseconds"
     )
     features = [*WINDOW_SUMS.values(), *WINDOW_MEANS.values(), *WINDOW_MINS.values(), *WINDOW_MAXS.values()]
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(SRC).alias("kind"), F.col("src_ip").alias("ip")),
-            F.struct(F.lit(DST).alias("kind"), F.col("dst_ip").alias("ip")),
-        )
-    )
-    sided = flows.withWatermark(ts, watermark).select(ts, *features, sides.alias("_side"))
+    sided = flows.withWatermark(ts, watermark).select(ts, *features, sides().alias("_side"))
     is_src = F.col("_side.kind") == SRC
     sided = sided.select(
         ts, F.col("_side.kind").alias("_kind"), F.col("_side.ip").alias("_ip"),
@@ -60,7 +54,7 @@ def stream_hopping_features(
         *[F.min(c).alias(c) for c in WINDOW_MINS.values()],
         *[F.max(c).alias(c) for c in WINDOW_MAXS.values()],
     )
-    src, known = F.col("_kind") == SRC, F.col("_ip").isNotNull()
+    src = F.col("_kind") == SRC
     merged = per_ip.groupBy("_w").agg(
         F.sum(F.when(src, F.col("_n"))).alias("packet_count_window"),
         F.min("_first").alias("_first"),
@@ -69,8 +63,7 @@ def stream_hopping_features(
         *[(F.sum(c) / F.sum(F.when(src, F.col(f"_n_{c}")))).alias(name) for name, c in WINDOW_MEANS.items()],
         *[F.min(c).alias(name) for name, c in WINDOW_MINS.items()],
         *[F.max(c).alias(name) for name, c in WINDOW_MAXS.items()],
-        _entropy_of_counts(F.col("_n"), src & known).alias("src_ip_entropy_window"),
-        _entropy_of_counts(F.col("_n"), (F.col("_kind") == DST) & known).alias("dst_ip_entropy_window"),
+        *address_entropies(F.when(F.col("_ip").isNotNull(), F.col("_n"))),
     )
     return merged.withColumns(window_rates()).select(
         F.col("_w.start").alias("start_time"), F.col("_w.end").alias("end_time"), *WINDOW_FEATURES

@@ -149,7 +149,12 @@ def test_aggregated_netflow_offsets(spark):
     assert out.filter("Label <> Attack").count() == 0
 
 
-def test_plan_of_windows_has_no_join_and_no_python(spark):
-    df = features.hopping_features(make(spark, [flow(i, i) for i in range(5)]))
+def test_plan_of_windows(spark, tmp_path):
+    make(spark, [flow(i, i) for i in range(5)]).write.parquet(str(tmp_path / "f"))
+    df = features.hopping_features(spark.read.parquet(str(tmp_path / "f")))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "Python" not in plan and "Cartesian" not in plan
+    assert not any(word in plan for word in ("Python", "Cartesian", "NestedLoop", "SortAggregate"))
+    # panes, windows; counts, stretches, windows: the copies for overlapping windows are not shuffled
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 5
+    narrow = [line for line in plan.splitlines() if "ReadSchema" in line and "src_ip" in line]
+    assert narrow and all("tot_fwd_pkts" not in line for line in narrow)
