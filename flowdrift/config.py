@@ -80,13 +80,11 @@ class DriftConfig:
     variant: str = "rf"
     task: str = "binary"
     conformal: ConformalConfig = field(default_factory=ConformalConfig)
-    chunks: ChunkConfig = field(default_factory=ChunkConfig)
     significance: SignificanceConfig | None = None
     threshold: float = 0.5
     chunk_size: int = 1000
     max_rows: int = 10000
     use_pca: bool = False
-    adaptive_chunks: bool = False
     scope: str = "model"
 
     def __post_init__(self) -> None:

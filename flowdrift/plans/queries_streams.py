@@ -316,3 +316,16 @@ def j8_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h10_latency_summary")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drift_stream(spark, sf_dir, True).latency()
+
+
+@query("drift_replay")
+def drift_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flows replayed in chunks of 100 against a model trained on them, with an adaptive significance level."""
+    from flowdrift.config import SignificanceConfig
+    from flowdrift.plans.drift import replay
+
+    rows = labelled(spark, sf_dir).select("event_id", *DRIFT_COLUMNS, F.col("label").cast("int").alias("BinLabel"))
+    config = DriftConfig(
+        variant="dt", conformal=ConformalConfig(evaluator="ice"), chunk_size=100, significance=SignificanceConfig(window=20)
+    )
+    return replay(rows, rows, DRIFT_COLUMNS, config, "event_id", maxDepth=4)[1]

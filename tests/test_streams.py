@@ -225,3 +225,20 @@ def test_drift_stream_settings(spark, tmp_path, settings):
         assert all(0.05 <= r["alpha"] <= 0.3 for r in rows)
     if settings.get("evaluator") == "none":
         assert not any(r["drift"] for r in rows)
+
+
+def test_replay_with_a_fixed_model(spark):
+    from flowdrift.plans.drift import replay
+
+    train = _flows(spark, 300)
+    flows = _flows(spark, 90, start=1000, seed=2).unionByName(_flows(spark, 60, shift=1.0, start=2000, seed=3, apart=0.0))
+    flows = flows.withColumn("b", F.when(F.col("id") % 5 > 0, F.col("b")))
+    config = DriftConfig(variant="dt", conformal=ConformalConfig(evaluator="ice", mode="rate", rate=0.5), chunk_size=40)
+    scored, chunks = replay(train, flows, COLUMNS, config, "id", maxDepth=3)
+    assert scored.count() == 150 and scored.filter("p_value IS NULL").count() == 0
+    rows = chunks.orderBy("chunk_id").collect()
+    assert [r["rows"] for r in rows] == [40, 40, 40, 30]
+    assert rows[3]["drift"] and not rows[0]["drift"]
+    steered = DriftConfig(variant="dt", chunk_size=10, significance=SignificanceConfig(window=5))
+    _, chunks = replay(train, flows, COLUMNS, steered, "id", maxDepth=3)
+    assert {"alpha", "drift", "drift_ema"} <= set(chunks.columns) and chunks.count() == 15
