@@ -54,6 +54,15 @@ _RENAMED_SQL = ", ".join(
 )
 
 
+@query(
+    "b1_drop_index_column",
+    f"WITH {RAW_FLOWS_SQL} SELECT event_id, src_ip FROM raw_flows",
+)
+def drop_index_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exported = raw_flows(spark, sf_dir).select("event_id", "src_ip", F.col("event_id").alias("Unnamed: 0"))
+    return clean.drop_index_column(exported)
+
+
 @query(
     "b2_normalize_netflow",
     f"""WITH {NETFLOW_SQL}

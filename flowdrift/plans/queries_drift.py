@@ -280,7 +280,7 @@ def drift_interval_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lines shipped before 1998 calibrate, later lines are tested.
 
 _SCORES_SQL = """scores AS (
-SELECT l_orderkey, l_linenumber, l_returnflag AS class, (cast(round(l_extendedprice * 100) AS bigint) * (100 - cast(round(l_discount * 100) AS bigint)) // 12000) / 100000 AS score,
+SELECT l_orderkey, cast(l_linenumber AS bigint) AS l_linenumber, l_returnflag AS class, (cast(round(l_extendedprice * 100) AS bigint) * (100 - cast(round(l_discount * 100) AS bigint)) // 12000) / 100000 AS score,
        l_shipdate < TIMESTAMP '1998-01-01' AS calibrates FROM lineitem),
 cal AS (SELECT class, score FROM scores WHERE calibrates),
 test AS (SELECT l_orderkey, l_linenumber, class, score FROM scores WHERE NOT calibrates)"""
@@ -297,7 +297,7 @@ def scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "i1_nonconformity",
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 - CASE WHEN l_linestatus = 'F' THEN l_discount ELSE 1 - l_discount END, 9)
+    f"""SELECT l_orderkey, cast(l_linenumber AS bigint) AS l_linenumber, l_partkey, l_suppkey, round(1 - CASE WHEN l_linestatus = 'F' THEN l_discount ELSE 1 - l_discount END, 9)
  AS score FROM lineitem""",
 )
 def nonconformity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +309,7 @@ def nonconformity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "i2_nonconformity_pred",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 - greatest(l_quantity / 50, 1 - l_quantity / 50), 9) AS score FROM lineitem""",
+    """SELECT l_orderkey, cast(l_linenumber AS bigint) AS l_linenumber, l_partkey, l_suppkey, round(1 - greatest(l_quantity / 50, 1 - l_quantity / 50), 9) AS score FROM lineitem""",
 )
 def nonconformity_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("l_quantity") / 50

@@ -24,6 +24,23 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ml.standardize(lines, ["l_quantity", "l_extendedprice", "constant"]))
 
 
+@query(
+    "b12_align_to_model",
+    f"""WITH {RAW_FLOWS_SQL}, s AS (SELECT avg(tot_fwd_pkts) AS fm, stddev_pop(tot_fwd_pkts) AS fs, avg(totlen_fwd_pkts) AS bm,
+ stddev_pop(totlen_fwd_pkts) AS bs FROM raw_flows)
+SELECT event_id, [round((tot_fwd_pkts - fm) / fs, 6), 0.0::double,
+  round(CASE WHEN event_id % 9 = 0 THEN 0 ELSE (totlen_fwd_pkts - bm) / bs END, 6)] AS features FROM raw_flows, s""",
+)
+def align_to_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained column is missing and another has gaps: both read as the training mean, in trained order."""
+    rows = raw_flows(spark, sf_dir)
+    fitted = ml.PipelineModel(stages=ml.fit_features(rows, ["tot_fwd_pkts", "flow_duration", "totlen_fwd_pkts"])[0])
+    arriving = rows.select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("totlen_fwd_pkts")).alias("totlen_fwd_pkts"), "tot_fwd_pkts")
+    aligned = fitted.transform(ml.align_to_model(arriving, fitted))
+    # adding 0.0 turns a rounded negative zero into zero
+    return aligned.select("event_id", F.transform(ml.vector_to_array("features"), lambda x: F.round(x, 6) + 0.0).alias("features"))
+
+
 _POSITIONS_SQL = """placed AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(cast(doc_id AS varchar)), doc_id) AS pos,
  count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (ORDER BY md5(cast(doc_id AS varchar)), doc_id) AS pos_all, count(*) OVER () AS n_all FROM labels)"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there.
+    """Write ``df`` once as a table below the checkpoint folder and read it from there.
 
     Used where two branches of a plan must see exactly the same rows (sampled
     range partitions, generated ids) or where an expensive input is read again.
+    Being columnar, the table lets each reader load only the columns it needs.
+    It survives lost executors; the folder is cleared by whoever owns it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
