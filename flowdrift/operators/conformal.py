@@ -32,9 +32,14 @@ def nonconformity_pred(probability: str | Column, prediction: str = "prediction"
     return F.lit(1.0) - F.get(_probabilities(probability), F.col(prediction).cast("int"))
 
 
-def class_thresholds(calibration: DataFrame, significance: float, cls: str = "class", score: str = "score") -> DataFrame:
-    """Per class the interpolated score quantile at ``1 - significance``."""
-    return group_quantile(calibration, [cls], score, 1.0 - significance, name="threshold")
+def class_thresholds(
+    calibration: DataFrame, significance: float, cls: str = "class", score: str = "score", counted: str | None = None
+) -> DataFrame:
+    """Per class the interpolated score quantile at ``1 - significance``.
+
+    Pass ``counted="n"`` with the table of :func:`calibration_counts`.
+    """
+    return group_quantile(calibration, [cls], score, 1.0 - significance, name="threshold", counted=counted)
 
 
 def calibration_counts(calibration: DataFrame, cls: str = "class", score: str = "score") -> DataFrame:

@@ -116,7 +116,7 @@ def _finish(
     config: ConformalConfig, models: list, calibration: DataFrame, judged: DataFrame, seeds: DataFrame, window: int
 ) -> Calibrated:
     counts = conformal.calibration_counts(calibration)
-    thresholds = materialize(conformal.class_thresholds(calibration, config.significance))
+    thresholds = materialize(conformal.class_thresholds(counts, config.significance, counted="n"))
     classes = judged.select("class").distinct().count()
     quality = model_metrics(judged, classes, "class", "predicted")
     newest = materialize(last_n(seeds.select("class", "score", "seq"), window, ["seq"], ["class"]))

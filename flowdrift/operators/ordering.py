@@ -128,16 +128,26 @@ def forward_fill(
 
 
 def group_quantile(
-    df: DataFrame, by: list[str], value: str, q: float, name: str = "quantile", buckets: int = BUCKETS
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    q: float,
+    name: str = "quantile",
+    buckets: int = BUCKETS,
+    counted: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantile per group, for groups of any size.
 
     Equal values are counted first; the two neighbours of the wanted rank are
     then found by running counts, so no task gathers the values of a group.
+    ``counted`` names the count column of a stored table that already has one
+    row per (by, value).
     """
-    counts = materialize(
-        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    known = df.filter(F.col(value).isNotNull())
+    if counted is None:
+        counts = materialize(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
+    else:
+        counts = known.select(*by, value, F.col(counted).alias("_n"))
     ranked = running_sums(counts, by, value, {"_upto": F.col("_n")}, buckets=buckets)
     sizes = counts.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.sum("_n").alias("_size"))
     rank = F.lit(float(q)) * (F.col("_size") - 1)

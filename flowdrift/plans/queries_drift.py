@@ -392,10 +392,9 @@ SELECT chunk_id, count(*) AS rows, bool_or(drift) AS any_drift, avg(cast(drift A
 )
 def detect_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal, test = scores(spark, sf_dir)
-    scored = conformal.p_values(test, conformal.calibration_counts(cal)).withColumn(
-        "chunk_id", F.floor(F.col("l_orderkey") / 100)
-    )
-    limits = conformal.class_thresholds(cal, 0.05)
+    counts = conformal.calibration_counts(cal)
+    scored = conformal.p_values(test, counts).withColumn("chunk_id", F.floor(F.col("l_orderkey") / 100))
+    limits = conformal.class_thresholds(counts, 0.05, counted="n")
     flagged = conformal.drift_flags(scored, limits)
     any_drift = conformal.detect_drift(flagged, ["chunk_id"], "l_orderkey", "any").withColumnRenamed("drift", "any_drift")
     rate = conformal.detect_drift(flagged, ["chunk_id"], "l_orderkey", "rate", 0.9)

@@ -114,7 +114,9 @@ def read_run_logs(
     """
     from flowdrift.operators.ordering import number_rows
 
-    name = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/")
+    name = F.regexp_replace(
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/"
+    )
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,7 +145,14 @@ class DriftStream:
         cleaned = clean_flows(batch, self.netflow)
         if self.order and self.order != "seq":
             cleaned = cleaned.withColumn("seq", F.col(self.order))
-        cleaned = materialize(cleaned)
+        # read several times below; a lost part is recomputed from the batch
+        cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._process(cleaned, batch_id, started)
+        finally:
+            cleaned.unpersist()
+
+    def _process(self, cleaned: DataFrame, batch_id: int, started: float) -> None:
         rows = cleaned.count()
         if not rows:
             return

@@ -38,6 +38,13 @@ def test_lines_keep_their_order(lines):
     assert {r["file"] for r in lines.select("file").collect()} == {"one.log"}
 
 
+def test_special_characters_in_paths(spark, tmp_path):
+    (tmp_path / "a+b c%41").mkdir()
+    (tmp_path / "a+b c%41" / "x.log").write_text("one")
+    row = readers.read_run_logs(spark, str(tmp_path)).first()
+    assert row["folder"] == "a+b c%41" and row["path"] == str(tmp_path / "a+b c%41" / "x.log")
+
+
 def test_a_split_file_keeps_its_order(spark, tmp_path):
     (tmp_path / "big.log").write_text("\n".join(f"line {i}" for i in range(4000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
