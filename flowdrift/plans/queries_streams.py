@@ -278,9 +278,20 @@ def j10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRIFT_COLUMNS = [c for c in MODEL_COLUMNS if c != "dst_port"]
 
 
-def _drift_stream(spark: SparkSession, sf_dir: str, seeded: bool, **settings) -> DriftStream:
+# Finished runs by application, data and start, so that queries on the same run read its tables.
+_RUNS: dict[tuple, DriftStream] = {}
+
+
+def _drift_stream(spark: SparkSession, sf_dir: str, seeded: bool) -> DriftStream:
+    key = (spark.sparkContext.applicationId, sf_dir, seeded)
+    if key not in _RUNS:
+        _RUNS[key] = _run_drift_stream(spark, sf_dir, seeded)
+    return _RUNS[key]
+
+
+def _run_drift_stream(spark: SparkSession, sf_dir: str, seeded: bool) -> DriftStream:
     rows = labelled(spark, sf_dir).select("event_id", *DRIFT_COLUMNS, F.col("label").cast("int").alias("BinLabel"))
-    config = DriftConfig(variant="dt", conformal=ConformalConfig(evaluator="approx_tce", mode="any"), max_rows=2000, **settings)
+    config = DriftConfig(variant="dt", conformal=ConformalConfig(evaluator="approx_tce", mode="any"), max_rows=2000)
     run = DriftStream(spark, scratch(spark), DRIFT_COLUMNS, config, order="event_id", truth="BinLabel", classifier_params={"maxDepth": 4})
     if seeded:
         run.seed(rows)

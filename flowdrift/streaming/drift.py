@@ -54,9 +54,11 @@ def fit_version(
     prepared = materialize(features.transform(good).select(seq, F.col("label").cast("double").alias("label"), F.col(vector).alias("features")))
     width = len(columns) if not config.use_pca else len(stages[-1].getIndices())
     estimator = make_estimator(config.variant, config.task, width, classes, **overrides)
-    classifier = estimator.fit(prepared)
     calibrate = make_evaluator(config.conformal.evaluator)
     evaluator = calibrate(prepared, estimator, config.conformal, seq) if calibrate else None
+    # the approximate evaluators fit the same estimator on the same rows
+    shared = evaluator is not None and evaluator.evaluator in ("approx_cce", "approx_tce")
+    classifier = evaluator.models[0] if shared else estimator.fit(prepared)
     if not isinstance(classifier, PipelineModel):
         classifier = PipelineModel(stages=[classifier])
     return ModelVersion(version, features, classifier, evaluator)
