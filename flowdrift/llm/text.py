@@ -86,9 +86,8 @@ def ordered_prefix(df: DataFrame, order: list[Column], group: Column, size: Colu
     """Sort ``df`` by ranges of ``order`` and add distributed prefix sums.
 
     Returns the stored, sorted rows with ``_part`` (range), ``_row`` (position in
-    the range), ``_before`` (sum of ``size`` of earlier rows of the same ``group``
-    in the range) and ``_first`` (the row starts a run of equal ``group``), and one
-    small row per (range, group) with its ``_sum`` and ``_n``. Rows of a group are
+    the range) and ``_before`` (sum of ``size`` of earlier rows of the same ``group``
+    in the range), and one small row per (range, group) with its ``_sum`` and ``_n``. Rows of a group are
     together when ``order`` starts with it. No task holds more than one range, and
     a group may span any number of ranges.
     """
@@ -100,7 +99,6 @@ def ordered_prefix(df: DataFrame, order: list[Column], group: Column, size: Colu
             T.StructField("_part", T.IntegerType()),
             T.StructField("_row", T.LongType()),
             T.StructField("_before", T.LongType()),
-            T.StructField("_first", T.BooleanType()),
         ]
     )
     arrow = empty_like(schema)
@@ -133,7 +131,6 @@ def ordered_prefix(df: DataFrame, order: list[Column], group: Column, size: Colu
                 ("_part", pa.array(np.full(n, part, np.int32))),
                 ("_row", pa.array(np.arange(row, row + n, dtype=np.int64))),
                 ("_before", pa.array(before)),
-                ("_first", pa.array(starts)),
             ):
                 table = table.append_column(name, v)
             row += n
