@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdrift.llm import neardup
+from flowdrift.llm import decontam, langid, mixing, neardup, pii, quality, sharding, suffixes, toxicity
 from flowdrift.llm.text import read
+from flowdrift.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
@@ -53,6 +55,108 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op1_source_mix",
+    f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w
+  FROM d GROUP BY source),
+m AS (SELECT *, 3.0 * source_size AS most, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+o AS (
+  SELECT *, coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+  FROM m),
+f AS (SELECT *, (total - used) * w >= most * w_left AS stopped FROM o),
+t AS (
+  SELECT source, source_size,
+    CASE WHEN stopped THEN most ELSE
+      (total - coalesce(sum(CASE WHEN stopped THEN most END) OVER (), 0)) * w / sum(CASE WHEN NOT stopped THEN w END) OVER () END::DOUBLE AS target
+  FROM f),
+x AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+    (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat('mix:', d.doc_id::VARCHAR)), d.doc_id, d.size
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size > 0 THEN budget // source_size * size
+        + greatest(0, least(size, budget - budget // source_size * source_size - before)) ELSE 0 END)::BIGINT AS taken
+FROM x
+""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sized = materialize(docs.withColumn("size", mixing.word_count(F.col("text"))).drop("text"))
+    mixed = mixing.mix(sized, size="size")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op3_benchmark_decontamination",
+    f"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS pattern
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+n AS (SELECT DISTINCT n FROM p),
+c AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS pattern
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n)),
+m AS (SELECT c.doc_id, c.i, c.n, p.item_id FROM c JOIN p ON c.pattern = p.pattern AND c.n = p.n),
+h AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+  coalesce(t.digest, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op6_minimax_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity_chain")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(read(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words"
+    )
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query("op10_language_codes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
