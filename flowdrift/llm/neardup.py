@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .select("id", "cls", "cluster", "tile", "tiles")
     )
     placed = (
-        rows.join(members, F.col("doc_id").eqNullSafe(F.col("id")))
+        rows.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))  # one plan at every size
         .withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("cluster", F.least("tile", "peer").alias("t"), F.greatest("tile", "peer").alias("u"), "tile", "cls", "data")
     )
@@ -273,15 +273,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         placed.repartition("cluster", "t", "u").sortWithinPartitions("cluster", "t", "u").mapInArrow(_confirm, _LINK)
     )
     labels = components(links, "a", "b").withColumnsRenamed({"node": "_cls", "label": "_label"})
-    grouped = described.join(labels, F.col("cls") == F.col("_cls"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("_label", "cls").alias("_group")
-    )
-    lowest = grouped.filter("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_low")).withColumnRenamed("_group", "_g")
-    return grouped.join(lowest, F.col("_group") == F.col("_g"), "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_low")).alias("component_id"),
-        F.when(F.col("_group").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("_low"))).alias("kept"),
+    # Class by class first: neither a large class nor a large component meets in one task as rows.
+    lowest = described.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_id")).withColumnRenamed("cls", "_c")
+    linked = lowest.join(labels, F.col("_c") == F.col("_cls")).groupBy("_label").agg(F.min("_id").alias("_low")).withColumnRenamed("_label", "_l")
+    reached = labels.join(linked, F.col("_label") == F.col("_l")).select("_cls", "_low")
+    per_class = lowest.join(reached, F.col("_c") == F.col("_cls"), "left").select("_c", F.coalesce("_low", "_id").alias("_component"))
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
+    return described.join(per_class, F.col("cls") == F.col("_c"), "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
