@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdrift.llm import decontam, langid, mixing, neardup, pii, quality, sharding, suffixes, toxicity
+from flowdrift.llm import decontam, langid, mixing, neardup, pii, quality, secret_scan, sharding, suffixes, toxicity
 from flowdrift.llm.text import read
 from flowdrift.session import materialize
 
@@ -146,6 +146,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_secret_forest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 @query("op9_personal_data")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(read(spark, sf_dir, "documents"))
