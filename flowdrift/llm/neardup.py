@@ -108,6 +108,7 @@ _SETS = T.StructType(
         T.StructField("cls", T.BinaryType()),
         T.StructField("node", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("mark", T.LongType()),
     ]
 )
 
@@ -126,7 +127,7 @@ def _described(batch: pa.RecordBatch) -> pa.Table:
         nodes.append(int(np.frombuffer(key, np.int64)[0]))
         keys.append(minmax.keys(s).view(np.int64))
     return pa.table(
-        {"doc_id": batch.column(0), "n_shingles": counts, "cls": pa.array(cls, pa.binary()), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        {"doc_id": batch.column(0), "n_shingles": counts, "cls": pa.array(cls, pa.binary()), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "mark": batch.column(2)}
     )
 
 
@@ -223,7 +224,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
     Two texts are linked when the intersection of their distinct five-word shingles
@@ -231,7 +232,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shingle. Null texts and texts without words have no shingle and are linked with
     nothing. Equal sets are one class from the start. Rows with equal ids and texts
     get equal results; a null id is no smallest id, and a component of such rows
-    only has a null ``component_id``, its rows are kept.
+    only has a null ``component_id``, its rows are kept. With ``marked`` two columns
+    follow: ``class_id`` names the component, ``mark`` is a hash of the text.
 
     1. Per document: set, 128-bit key of the set, 64 band keys.
     2. Documents that share a band key with another class are linked to the
@@ -243,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     4. Components of the confirmed links.
     """
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("data"))
-    described = materialize(map_batches(rows, _described, _SETS))
+    described = materialize(map_batches(rows.withColumn("mark", F.xxhash64(F.coalesce("data", F.lit(b"")))), _described, _SETS))
     band = described.filter("keys is not null").select("node", F.explode("keys").alias("key"))
     hot = materialize(
         band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "low")
@@ -276,26 +278,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Class by class first: neither a large class nor a large component meets in one task as rows.
     lowest = described.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_id")).withColumnRenamed("cls", "_c")
     linked = lowest.join(labels, F.col("_c") == F.col("_cls")).groupBy("_label").agg(F.min("_id").alias("_low")).withColumnRenamed("_label", "_l")
-    reached = labels.join(linked, F.col("_label") == F.col("_l")).select("_cls", "_low")
-    per_class = lowest.join(reached, F.col("_c") == F.col("_cls"), "left").select("_c", F.coalesce("_low", "_id").alias("_component"))
+    reached = labels.join(linked, F.col("_label") == F.col("_l")).select("_cls", "_l", "_low")
+    per_class = lowest.join(reached, F.col("_c") == F.col("_cls"), "left").select("_c", F.coalesce("_low", "_id").alias("_component"), F.coalesce("_l", "_c").alias("class_id"))
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return described.join(per_class, F.col("cls") == F.col("_c"), "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        *(["class_id", "mark"] if marked else []),
     )
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document stands for its component; all columns stay.
+    """One row of ``docs`` for each component, with all its columns; every row without words stays.
 
-    Repeated rows with the kept id and text stay once each id: a row whose id is
-    kept but whose text belongs to another component goes by its own verdict.
+    Kept is the row with the smallest id; between rows of that id, the one whose text
+    has the smallest hash, once. A component of null ids only keeps one of them.
     """
-    verdict = near_duplicates(docs, doc_id, text)
-    drop, key = free_name(docs.columns, "_dropped"), free_name(docs.columns, "_id")
-    per_id = (
-        verdict.groupBy(F.col("doc_id").alias(key))
-        .agg(F.bool_or("kept").alias(drop))
-        .filter(quoted(drop))
-        .drop(drop)
+    key, mark = free_name(docs.columns, "_id"), free_name(docs.columns, "_mark")
+    verdict = near_duplicates(docs, doc_id, text, marked=True)
+    alone = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "mark"))
+    first = (
+        verdict.filter("kept")
+        .groupBy("class_id", alone.alias("alone"))
+        .agg(F.min(F.struct(F.col("doc_id").alias(key), F.col("mark").alias(mark))).alias("row"), F.count(F.lit(1)).alias("rows"))
     )
-    return docs.join(per_id, quoted(doc_id).eqNullSafe(quoted(key)), "left_semi")
+    first = materialize(first.select("row.*", ((F.col("rows") > 1) & F.col("alone").isNull()).alias("again")))
+    hashed = F.xxhash64(F.coalesce(quoted(text), F.lit("")).cast("binary"))
+    same = quoted(doc_id).cast("long").eqNullSafe(quoted(key)) & (hashed == quoted(mark))
+    kept = docs.join(first.drop("again").hint("merge"), same, "left_semi")
+    if first.filter("again").isEmpty():
+        return kept
+    # Rows repeated with id and text: only those need another look.
+    again = first.filter("again").drop("again")
+    once = docs.withColumn(mark, hashed).join(again.withColumnRenamed(mark, mark + "k"), quoted(doc_id).cast("long").eqNullSafe(quoted(key)) & (quoted(mark) == quoted(mark + "k")), "left_semi")
+    rest = docs.join(first.filter("not again").drop("again").hint("merge"), same, "left_semi")
+    return rest.union(once.dropDuplicates([doc_id, mark]).drop(mark))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from flowdrift.llm import decontam, langid, mixing, neardup, pii, quality, secret_scan, sharding, suffixes, toxicity
 from flowdrift.llm.text import read
 from flowdrift.session import materialize
@@ -162,6 +163,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
