@@ -24,6 +24,7 @@ STEMS = (3, 4, 5, 6)  # lengths of the word beginnings that are features next to
 MIN_DOCUMENTS = 5
 SEVERE_TERMS = 5  # different toxic terms of a severe document
 FOLDS = 3
+MARK_FEATURES = 2
 THRESHOLD = 0.5
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -115,11 +116,14 @@ def pick_terms(sample: DataFrame, terms: int) -> tuple[list[int], set[int]]:
         .limit(terms)
         .collect()  # bounded by ``terms``
     )
-    return [r["term"] for r in best], {r["term"] for r in best if r["odds"] > 3 and r["c1"] >= 20}
+    return [r["term"] for r in best], {r["term"] for r in best if r["odds"] > 3 and r["c1"] >= max(MIN_DOCUMENTS, n1 // 200)}
 
 
 def _with_features(rows: DataFrame, terms: list[int], marks: set[int], carried: list[str]) -> DataFrame:
-    """``carried`` columns, the features of each text (``x``) and its number of different words that hold a mark."""
+    """``carried`` columns, the features of each text (``x``) and its number of different words that hold a mark.
+
+    Two more features say that there is one such word, and that there are several.
+    """
     wanted = {t: k for k, t in enumerate(terms)}
     toxic = {wanted[t] for t in marks}
     fields = [rows.schema[c] for c in carried]
@@ -132,8 +136,8 @@ def _with_features(rows: DataFrame, terms: list[int], marks: set[int], carried:
             found, marked = [], []
             for data in batch.column(names.index("data")).to_pylist():
                 own = [keys.of(t) for t in set((data or b"").split())]
-                found.append(sorted({k for ks in own for k in ks}))
                 marked.append(sum(not toxic.isdisjoint(ks) for ks in own))
+                found.append(sorted({k for ks in own for k in ks}) + [len(terms) + k for k in range(min(MARK_FEATURES, marked[-1]))])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(names.index(c)) for c in carried), pa.array(found, pa.list_(pa.int32())), pa.array(marked, pa.int32())], schema.names
             )
@@ -143,7 +147,7 @@ def _with_features(rows: DataFrame, terms: list[int], marks: set[int], carried:
 
 def _vectors(rows: DataFrame, terms: int, earlier: tuple[str, ...]) -> DataFrame:
     """Adds ``features``: the terms of the text as a sparse vector, then the probabilities of earlier categories."""
-    names = [str(k) for k in range(terms)] or ["none"]
+    names = [str(k) for k in range(terms)]
     counted = CountVectorizerModel.from_vocabulary(names, inputCol="_tokens", outputCol="_terms").setBinary(True)
     out = counted.transform(rows.withColumn("_tokens", F.col("x").cast("array<string>")))
     return VectorAssembler(inputCols=["_terms", *[f"p_{c}" for c in earlier]], outputCol="features").transform(out)
@@ -175,7 +179,7 @@ def fit_chain(sample: DataFrame, terms: int) -> tuple[list[np.ndarray], list[flo
         rows = _vectors(sample, terms, CHAIN[:k])
         model = _fit(rows, target)
         if isinstance(model, int):
-            weights.append(np.zeros(max(terms, 1) + k))
+            weights.append(np.zeros(terms + k))
             intercepts.append(12.0 if model else -12.0)
         else:
             weights.append(model.coefficients.toArray())
@@ -194,7 +198,7 @@ def chain_scores(present: list[int], weights: list[np.ndarray], intercepts: list
     out: list[float] = []
     at = np.array(present, np.int64)
     for w, b in zip(weights, intercepts, strict=True):
-        z = b + float(w[at].sum()) + sum(p * v for p, v in zip(out, w[max(terms, 1) :], strict=True))
+        z = b + float(w[at].sum()) + sum(p * v for p, v in zip(out, w[terms:], strict=True))
         out.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
     return out
 
@@ -221,8 +225,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     learn = _with_features(sample, chosen, marks, ["doc_id", "toxic", "low_quality"])
     learn = learn.withColumn("severe", ((F.col("toxic") == 1) & (F.col("n_marks") >= SEVERE_TERMS)).cast("int"))
     learn = learn.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")).coalesce(8)
-    weights, intercepts = fit_chain(materialize(learn), len(chosen))
-    n = len(chosen)
+    weights, intercepts = fit_chain(materialize(learn), len(chosen) + MARK_FEATURES)
+    n = len(chosen) + MARK_FEATURES
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("data"))
 
     def score(batch: pa.RecordBatch) -> pa.Table:
