@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +123,7 @@ def pick_terms(sample: DataFrame, terms: int) -> tuple[list[int], set[int]]:
 def _with_features(rows: DataFrame, terms: list[int], marks: set[int], carried: list[str]) -> DataFrame:
     """``carried`` columns, the features of each text (``x``) and its number of different words that hold a mark.
 
-    Two more features say that there is one such word, and that there are several.
+    Two more features say that such a word occurs, and that it is not the only occurrence of one.
     """
     wanted = {t: k for k, t in enumerate(terms)}
     toxic = {wanted[t] for t in marks}
@@ -135,9 +136,10 @@ def _with_features(rows: DataFrame, terms: list[int], marks: set[int], carried:
             names = batch.schema.names
             found, marked = [], []
             for data in batch.column(names.index("data")).to_pylist():
-                own = [keys.of(t) for t in set((data or b"").split())]
-                marked.append(sum(not toxic.isdisjoint(ks) for ks in own))
-                found.append(sorted({k for ks in own for k in ks}) + [len(terms) + k for k in range(min(MARK_FEATURES, marked[-1]))])
+                own = [(keys.of(t), n) for t, n in Counter((data or b"").split()).items()]
+                hits = sum(n for ks, n in own if not toxic.isdisjoint(ks))
+                marked.append(sum(not toxic.isdisjoint(ks) for ks, _ in own))
+                found.append(sorted({k for ks, _ in own for k in ks}) + [len(terms) + k for k in range(min(MARK_FEATURES, hits))])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(names.index(c)) for c in carried), pa.array(found, pa.list_(pa.int32())), pa.array(marked, pa.int32())], schema.names
             )
@@ -158,7 +160,7 @@ def _fit(rows: DataFrame, target: str):
     low, high = rows.agg(F.min(target), F.max(target)).first()
     if low is None or low == high:
         return low or 0
-    return LogisticRegression(labelCol=target, maxIter=20, regParam=1e-3, standardization=False).fit(rows)
+    return LogisticRegression(labelCol=target, maxIter=20, regParam=1e-4, standardization=False).fit(rows)
 
 
 def _applied(model, rows: DataFrame, name: str) -> DataFrame:
