@@ -139,7 +139,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-@query("op5_quality_rules")
+@query(
+    "op5_quality_rules",
+    f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 2], ' ')) AS times
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (
+  SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM g WHERE times > 1) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, i, line, regexp_extract_all(line, {_WORDS}) AS w
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+m AS (
+  SELECT *, array_to_string(w, '') AS joined, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
+    len(list_filter(w, x -> x IN ('|', '>', '»', '·', '/'))) AS bars
+  FROM l WHERE len(w) > 0),
+v AS (
+  SELECT doc_id, len(w) AS n, again,
+    100 * (strlen(joined) - strlen(regexp_replace(joined, '[#*$%&|<>]', '', 'g'))) > 10 * strlen(joined)
+    OR 100 * bars > 30 * len(w)
+    OR (len(w) > 2 AND 100 * len(regexp_extract_all(line, '[.,;:!?]')) > 15 * strlen(joined))
+    OR (len(w) < 3 AND NOT regexp_matches(w[-1], '[.!?:;"'')…»]$'))
+    OR again
+    OR regexp_matches({_LOWER.replace("text", "line")}, '{"|".join(x.decode() for x in quality.BOILERPLATE)}') AS bad
+  FROM m),
+c AS (SELECT doc_id, sum(again::INT) AS dup, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost FROM v GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM f
+""",
+)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(read(spark, sf_dir, "documents"))
     return judged.select(
