@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowdrift.llm.text import WORD, free_name, ordered_prefix, quoted
+from flowdrift.llm.text import WORD, free_name, ordered_prefix
 from flowdrift.session import materialize
 
-MOST_EPOCHS = 3
+MOST_EPOCHS = 3  # a source is repeated so often at most
 SEED = "mix"
 
 
@@ -50,29 +50,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", F.when(F.col("stopped"), F.col("most")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
-    """The columns of ``docs`` behind (size, source_size, target, taken, copies, last_words), one row for each document.
-
-    Size is the number of words (or the column ``size``); null texts have none. In each source the documents
-    are put into the order of a hash of their id and walked through as often as the
-    target needs; the last pass ends exactly at the budget (the target without its
-    fraction), inside a document if need be. ``taken`` counts the words taken from
-    the document over all passes, ``copies`` the passes that reach it, ``last_words``
-    the words of the last copy. Null is a source of its own. Rows with equal id are
-    ordered by their size, so equal rows may swap places, which no result shows.
-    New columns keep their names; clashing columns of ``docs`` get underscores.
-    """
-    named = ["size", "source_size", "target", "taken", "copies", "last_words"]
-    reserved = [*named, "_group", "_size", "_part", "_row", "_before", "_first", "_order", "_id"]
-    renamed = {c: free_name([*docs.columns, *reserved], c) for c in docs.columns if c.lower() in reserved}
-    for old, new in renamed.items():
-        docs = docs.withColumnRenamed(old, new)
-    doc_id, text, source = (renamed.get(c, c) for c in (doc_id, text, source))
-    counted = word_count(quoted(text)) if size is None else F.coalesce(quoted(renamed.get(size, size)), F.lit(0)).cast("long")
-    ids = quoted(doc_id).cast("string")
-    keyed = docs.withColumns({"size": counted, "_order": F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(ids, F.lit(""))))})
-    order = [quoted(source), F.col("_order"), quoted(doc_id), F.col("size")]
-    rows, sums = ordered_prefix(keyed, order, quoted(source), F.col("size"))
+MIXED = ("size", "source_size", "target", "taken", "copies", "last_words")
+
+
+def _mixed(docs: DataFrame, doc_id: int, counted: Column, source: int) -> DataFrame:
+    """``docs`` with columns c0, c1, ... and the columns ``MIXED``; ids and sources are given by place."""
+    ids, sources = F.col(f"c{doc_id}"), F.col(f"c{source}")
+    keyed = docs.withColumns({"size": counted, "_order": F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(ids.cast("string"), F.lit(""))))})
+    rows, sums = ordered_prefix(keyed, [sources, F.col("_order"), ids, F.col("size")], sources, F.col("size"))
     sizes = sums.groupBy(F.col("_group").alias("source")).agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(sizes).select(F.col("source").alias("_source"), "source_size", "target")
     before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,34 +68,52 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_before") + F.col("_shift"))))
-    taken = whole * F.col("size") + part
     copies = F.when(F.col("size") > 0, whole + F.when(part > 0, 1).otherwise(0)).otherwise(F.lit(0))
     last = F.when(part > 0, part).when(whole > 0, F.col("size")).otherwise(F.lit(0))
     return out.select(
-        *[quoted(c) for c in docs.columns],
+        *docs.columns,
         "size",
         "source_size",
         "target",
-        taken.cast("long").alias("taken"),
+        (whole * F.col("size") + part).cast("long").alias("taken"),
         copies.cast("long").alias("copies"),
         last.cast("long").alias("last_words"),
     )
 
 
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
+    """The columns of ``docs`` and (size, source_size, target, taken, copies, last_words), one row for each document.
+
+    Size is the number of words (or the column ``size``); null texts have none. In
+    each source the documents are put into the order of a hash of their id and walked
+    through as often as the target needs; the last pass ends exactly at the budget
+    (the target without its fraction), inside a document if need be. ``taken`` counts
+    the words taken from the document over all passes, ``copies`` the passes that
+    reach it, ``last_words`` the words of the last copy. Null is a source of its own.
+    Rows with equal id are ordered by their size, so equal rows may swap places, which
+    no result shows. Columns of ``docs`` that clash with the new ones get underscores.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    counted = word_count(F.col(f"c{names.index(text)}")) if size is None else F.coalesce(F.col(f"c{names.index(size)}"), F.lit(0)).cast("long")
+    out = _mixed(plain, names.index(doc_id), counted, names.index(source))
+    final: list[str] = []
+    for name in names:
+        final.append(free_name([*MIXED, *final], name) if name.lower() in MIXED else name)
+    return out.toDF(*final, *MIXED)
+
+
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as documents: one row for each copy, with the columns of ``docs``.
 
     The copy at which a budget ends keeps its first words, set apart by one blank.
     """
-    clash = [c for c in docs.columns if c.lower() in {"size", "source_size", "target", "taken", "copies", "last_words"}]
-    plain = {c: free_name(docs.columns, f"_kept_{i}") for i, c in enumerate(clash)}
-    for old, new in plain.items():
-        docs = docs.withColumnRenamed(old, new)
-    rows = mix(docs, *(plain.get(c, c) for c in (doc_id, text, source)))
-    back = {new: old for old, new in plain.items()}
-    name = plain.get(text, text)
-    copy = free_name(rows.columns, "_copy")
-    rows = rows.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    cut = (F.col(copy) == F.col("copies")) & (F.col("last_words") < F.col("size"))
-    short = F.array_join(F.slice(F.regexp_extract_all(quoted(name), F.lit(WORD), F.lit(0)), F.lit(1), F.col("last_words").cast("int")), " ")
-    return rows.select(*[(F.when(cut, short).otherwise(quoted(c)) if c == name else quoted(c)).alias(back.get(c, c)) for c in docs.columns])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    body = f"c{names.index(text)}"
+    rows = _mixed(plain, names.index(doc_id), word_count(F.col(body)), names.index(source))
+    rows = rows.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    cut = (F.col("_copy") == F.col("copies")) & (F.col("last_words") < F.col("size"))
+    short = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), F.lit(1), F.col("last_words").cast("int")), " ")
+    kept = rows.withColumn(body, F.when(cut, short).otherwise(F.col(body)))
+    return kept.select(*plain.columns).toDF(*names)

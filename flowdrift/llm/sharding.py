@@ -68,9 +68,10 @@ def best_cuts(positions: DataFrame, total: int, shards: int, cells: int = CELLS)
     """
     intervals, low = [(0, total)], -(-total // shards)
     kept: list[int] = []
+    width = total + 1
     while True:
         length = sum(b - a + 1 for a, b in intervals)
-        width = max(1, -(-length // cells))
+        width = max(1, min(-(-length // cells), width // 2))
         ends, exact = _cells(positions, intervals, width)
         ends = sorted({*ends, *kept, total})
         high = smallest_capacity(ends, total, shards, low, total)
