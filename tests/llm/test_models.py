@@ -116,7 +116,7 @@ def test_language_held_out(spark):
 
 def test_language_odd_inputs(make):
     rows = [(k, "the house and the garden of the king", "en") for k in range(8)] + [(20 + k, "das haus und der garten des königs", "de") for k in range(8)]
-    odd = [(50, None, "en"), (51, "", "de"), (52, "123 ?!", "en"), (None, "der garten und das haus", None), (50, None, "en"), (53, "haus " * 60_000, "de")]
+    odd = [(50, None, "en"), (51, "", "de"), (52, "123 ?!", "en"), (None, "der garten und das haus", None), (50, None, "en"), (53, "der garten und das haus " * 20_000, "de")]
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(make(rows + odd)).collect()]
     assert all(p == "und" and s == 0 for d, p, s in got if d in (50, 51, 52)) and len(got) == len(rows + odd)
     assert {p for d, p, _ in got if d is None or d == 53 or 20 <= d < 30} == {"de"} and {p for d, p, _ in got if d is not None and d < 8} == {"en"}
