@@ -393,6 +393,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("data"))
     runs = map_batches(rows, _runs, _RUN)
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("anchor").alias("_anchor"))
+    often = materialize(often)  # as a table it leaves the join with the runs free to split a hot anchor
     shared = materialize(runs.join(often, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
     stretches = materialize(
         shared.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"))
