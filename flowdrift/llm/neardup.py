@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = lowest.join(labels, F.col("_c") == F.col("_cls")).groupBy("_label").agg(F.min("_id").alias("_low")).withColumnRenamed("_label", "_l")
     reached = labels.join(linked, F.col("_label") == F.col("_l")).select("_cls", "_l", "_low")
     per_class = lowest.join(reached, F.col("_c") == F.col("_cls"), "left").select("_c", F.coalesce("_low", "_id").alias("_component"), F.coalesce("_l", "_c").alias("class_id"))
+    per_class = materialize(per_class)  # as a table it leaves the join below free to split a class of many copies
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return described.join(per_class, F.col("cls") == F.col("_c"), "left").select(
         "doc_id",
