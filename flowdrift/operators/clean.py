@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowdrift.functions.columns import epoch_ms_to_ts, nonfinite_to_null, ratio_or_zero
+from flowdrift.functions.columns import epoch_ms_to_ts, nonfinite_to_null, parse_flow_ts, ratio_or_zero
 from flowdrift.operators.ordering import group_quantile
 from flowdrift.schema import ID_AND_LABEL_COLUMNS, NETFLOW_RENAMES, REQUIRED_KEYS
 
@@ -66,8 +66,11 @@ def require_keys(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def clean_flows(df: DataFrame, netflow: bool = False) -> DataFrame:
-    """Cleaning of one batch, chunk or stream of flows."""
+    """Cleaning of one batch, chunk or stream of flows; a flow-meter timestamp in text form becomes a timestamp."""
     if not netflow:
+        if dict(df.dtypes).get("timestamp") == "string":
+            text = F.col("timestamp")
+            df = df.withColumn("timestamp", F.coalesce(parse_flow_ts(text), F.try_to_timestamp(text)))
         return drop_nonfinite(drop_index_column(df))
     if not set(NETFLOW_RENAMES) <= set(df.columns):
         return df

@@ -14,9 +14,6 @@ from pyspark.sql import types as T
 from flowdrift.operators.ordering import group_quantile, running_sums
 from flowdrift.session import materialize
 
-# Largest calibration table (distinct class and score) that is sent to every executor: about 5 MB.
-BROADCAST_SCORES = 200_000
-
 
 def _probabilities(probability: str | Column) -> Column:
     return vector_to_array(F.col(probability)) if isinstance(probability, str) else probability
@@ -42,67 +39,39 @@ def class_thresholds(
     return group_quantile(calibration, [cls], score, 1.0 - significance, name="threshold", counted=counted)
 
 
+def _usable(cls: str | Column, score: str | Column) -> Column:
+    cls, score = (F.col(c) if isinstance(c, str) else c for c in (cls, score))
+    return cls.isNotNull() & score.isNotNull() & ~F.isnan(score.cast("double"))
+
+
 def calibration_counts(calibration: DataFrame, cls: str = "class", score: str = "score") -> DataFrame:
-    """Calibration scores as (class, score, n): equal scores share a row. Written once, read often."""
+    """Calibration scores as (class, score, n): equal scores share a row. Written once, read often.
+
+    Rows with a NULL class, a NULL score or NaN calibrate nothing and are left out.
+    """
     return materialize(
-        calibration.groupBy(F.col(cls).alias("class"), F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+        calibration.filter(_usable(cls, score))
+        .groupBy(F.col(cls).alias("class"), F.col(score).alias("score"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def p_values(
-    test: DataFrame,
-    counts: DataFrame,
-    cls: str = "class",
-    score: str = "score",
-    name: str = "p_value",
-    broadcast_rows: int = BROADCAST_SCORES,
-) -> DataFrame:
+def p_values(test: DataFrame, counts: DataFrame, cls: str = "class", score: str = "score", name: str = "p_value") -> DataFrame:
     """``(calibration scores of the class >= score, plus 1) / (calibration rows of the class, plus 1)``.
 
-    ``counts`` comes from :func:`calibration_counts`. If it has at most
-    ``broadcast_rows`` rows (a log-sized calibration), sorted scores go to the
-    executors and the test rows are not shuffled; otherwise the counts are run
-    up over score ranges and joined. A class without calibration rows gets NULL.
+    ``counts`` comes from :func:`calibration_counts`. Different scores of both sides
+    are run up over score ranges and joined to the test rows, whatever the sizes are;
+    Spark chooses how. A test row gets NULL if its class has no calibration rows or
+    is NULL, or if its score is NULL or NaN.
     """
-    held = counts.limit(broadcast_rows + 1).count()
-    if held <= broadcast_rows:
-        return _p_values_lookup(test, counts, cls, score, name)
-    return _p_values_join(test, counts, cls, score, name)
-
-
-def _p_values_lookup(test: DataFrame, counts: DataFrame, cls: str, score: str, name: str) -> DataFrame:
-    rows = counts.toPandas()
-    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for c, part in rows.groupby(rows["class"].astype(str)):
-        part = part.sort_values("score")
-        from_here = part["n"].to_numpy()[::-1].cumsum()[::-1]
-        tables[str(c)] = (part["score"].to_numpy(dtype=float), np.append(from_here, 0))
-    shared = test.sparkSession.sparkContext.broadcast(tables)
-
-    @F.pandas_udf(T.DoubleType())
-    def lookup(classes: pd.Series, scores: pd.Series) -> pd.Series:
-        out = np.full(len(scores), np.nan)
-        values, names = scores.to_numpy(dtype=float), classes.to_numpy(dtype=object)
-        for c in pd.unique(classes.dropna()):
-            if c in shared.value:
-                at = (names == c) & ~np.isnan(values)
-                known, from_here = shared.value[c]
-                above = from_here[np.searchsorted(known, values[at], side="left")]
-                out[at] = (above + 1) / (from_here[0] + 1)
-        return pd.Series(out).where(~np.isnan(out), None).astype("Float64")
-
-    kind = "string" if dict(counts.dtypes)["class"] == "string" else dict(counts.dtypes)["class"]
-    return test.withColumn(name, lookup(F.col(cls).cast(kind).cast("string"), F.col(score).cast("double")))
-
-
-def _p_values_join(test: DataFrame, counts: DataFrame, cls: str, score: str, name: str) -> DataFrame:
-    wanted = test.select(F.col(cls).alias("class"), F.col(score).alias("score"), F.lit(0).cast("bigint").alias("n"))
-    both = materialize(
-        counts.select("class", "score", "n").unionByName(wanted).groupBy("class", "score").agg(F.sum("n").alias("n"))
+    known = counts.filter(_usable("class", "score")).select("class", "score", "n")
+    wanted = test.filter(_usable(cls, score)).select(
+        F.col(cls).alias("class"), F.col(score).alias("score"), F.lit(0).cast("bigint").alias("n")
     )
+    both = materialize(known.unionByName(wanted).groupBy("class", "score").agg(F.sum("n").alias("n")))
     ranked = running_sums(both, ["class"], "score", {"above": F.col("n")}, descending=True)
-    sizes = counts.groupBy(F.col("class").alias("_class")).agg(F.sum("n").alias("size"))
-    table = ranked.join(sizes, F.col("class").eqNullSafe(F.col("_class"))).select(
+    sizes = known.groupBy(F.col("class").alias("_class")).agg(F.sum("n").alias("size"))
+    table = ranked.join(sizes, F.col("class") == F.col("_class")).select(
         F.col("class").alias("_c"), F.col("score").alias("_s"), ((F.col("above") + 1) / (F.col("size") + 1)).alias(name)
     )
     return test.join(table, (F.col(cls) == F.col("_c")) & (F.col(score) == F.col("_s")), "left").drop("_c", "_s")

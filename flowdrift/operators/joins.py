@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowdrift.operators.ordering import BUCKETS, with_range_bucket
+from flowdrift.operators.ordering import with_range_bucket
 from flowdrift.schema import FIVE_TUPLE
 from flowdrift.session import materialize
 
 
 def asof_match(
-    left: DataFrame, left_time: str, right: DataFrame, right_time: str, buckets: int = BUCKETS
+    left: DataFrame, left_time: str, right: DataFrame, right_time: str, buckets: int | None = None
 ) -> DataFrame:
     """For each distinct left time the latest right time at or before it.
 
@@ -53,7 +53,7 @@ def asof_join_backward(
     right_on: str,
     tie_break: list[str],
     suffixes: tuple[str, str] = ("_x", "_y"),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Left outer as-of join without a key: the latest right row with ``right_on <= left_on``.
 

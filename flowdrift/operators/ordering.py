@@ -16,16 +16,22 @@ from pyspark.sql import functions as F
 
 from flowdrift.session import materialize
 
-BUCKETS = 64
+RANGE_ROWS = 200_000
 BLOCK_ROWS = 100_000
 
 
-def with_range_bucket(df: DataFrame, value: str, name: str = "_bucket", buckets: int = BUCKETS) -> DataFrame:
+def with_range_bucket(df: DataFrame, value: str, name: str = "_bucket", buckets: int | None = None) -> DataFrame:
     """Add the index of the value range a row falls into; ranges hold similar row counts.
 
-    Only the cut points (at most ``buckets``) reach the driver. They are literals
-    of the plan afterwards, so every branch and every retried task agrees on them.
+    The number of ranges follows from the number of rows, so that a range holds
+    about ``RANGE_ROWS`` rows at every size; ``buckets`` sets it by hand. Only the
+    cut points reach the driver. They are literals of the plan afterwards, so every
+    branch and every retried task agrees on them.
     """
+    if buckets is None:
+        buckets = -(-df.count() // RANGE_ROWS)
+    if buckets < 2:
+        return df.withColumn(name, F.lit(0.0))
     cuts = df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) < 3:
@@ -39,7 +45,7 @@ def running_sums(
     order: str,
     sums: dict[str, Column],
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums along ``order`` inside each ``by`` group.
 
@@ -133,7 +139,7 @@ def group_quantile(
     value: str,
     q: float,
     name: str = "quantile",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     counted: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantile per group, for groups of any size.

@@ -344,9 +344,31 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_P_SQL} SELECT l_orderkey, l_linenumber, class, score, round(p_value, 9) AS p_value FROM p",
 )
 def p_values_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path taken once the calibration table is too large to broadcast."""
+    """The same p-values with few rows in each score range."""
     cal, test = scores(spark, sf_dir)
-    return rounded(conformal.p_values(test, conformal.calibration_counts(cal), broadcast_rows=0), 9)
+    return rounded(conformal.p_values(test, conformal.calibration_counts(cal)), 9)
+
+
+_ODD = "CASE class WHEN 'A' THEN 0 WHEN 'N' THEN 1 END"
+
+
+@query(
+    "i4_p_values_odd_rows",
+    f"""WITH {_SCORES_SQL}, known AS (SELECT {_ODD} AS k, score FROM cal WHERE class <> 'R' AND score <= 0.6),
+size AS (SELECT k, count(*) AS size FROM known GROUP BY k),
+asked AS (SELECT l_orderkey, l_linenumber, {_ODD} AS k, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE score END AS score FROM test),
+above AS (SELECT a.k, a.score, (SELECT count(*) FROM known n WHERE n.k = a.k AND n.score >= a.score) AS above
+ FROM (SELECT DISTINCT k, score FROM asked) a)
+SELECT l_orderkey, l_linenumber, cast(a.k AS bigint) AS k, round((above + 1) / (size + 1), 9) AS p_value
+FROM asked a LEFT JOIN above b ON a.k = b.k AND a.score = b.score LEFT JOIN size s ON s.k = a.k""",
+)
+def p_values_odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number classes with NULL among them, NaN scores on both sides."""
+    odd = lambda df, nan: df.withColumns({"k": F.expr(_ODD), "score": F.when(nan, F.lit(float("nan"))).otherwise(F.col("score"))}).drop("class")
+    cal, test = scores(spark, sf_dir)
+    counts = conformal.calibration_counts(odd(cal, F.col("score") > 0.6), "k")
+    asked = odd(test, F.col("l_linenumber") % 4 == 0)
+    return rounded(conformal.p_values(asked, counts, "k").select("l_orderkey", "l_linenumber", "k", "p_value"), 9)
 
 
 _FOLDS_SQL = """fold_scores AS (

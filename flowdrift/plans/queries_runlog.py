@@ -105,10 +105,8 @@ _REPORT_TEXT = """concat('INFO __main__: Full performance stats: perf_stats = Pe
 
 _REPORTS_SQL = f"""reports AS (SELECT o_orderkey, concat('run_', cast(o_custkey AS varchar)) AS path,
  o_orderkey AS line_no, {_REPORT_TEXT.format(text="varchar")} AS text FROM orders),
-blocks AS (SELECT * EXCLUDE (text), s.series, regexp_extract(text, concat(s.block, '=ModelStats\\((.*?)\\)'), 1) AS inner_text
- FROM reports, (VALUES ('ce', 'ce_stats'), ('classifier', 'classifier_stats')) AS s(series, block)),
-listed AS (SELECT * EXCLUDE (inner_text), m.metric, string_split(regexp_extract(inner_text, concat(m.metric, '=\\[([^\\]]*)\\]'), 1), ',') AS tokens
- FROM blocks, (VALUES ('accuracies'), ('precisions'), ('recalls'), ('f1s')) AS m(metric)),
+blocks AS ({" UNION ALL ".join(f"SELECT * EXCLUDE (text), '{s}' AS series, regexp_extract(text, '{b}=ModelStats\\((.*?)\\)', 1) AS inner_text FROM reports" for s, b in (("ce", "ce_stats"), ("classifier", "classifier_stats")))}),
+listed AS ({" UNION ALL ".join(f"SELECT * EXCLUDE (inner_text), '{m}' AS metric, string_split(regexp_extract(inner_text, '{m}=\\[([^\\]]*)\\]', 1), ',') AS tokens FROM blocks" for m in ("accuracies", "precisions", "recalls", "f1s"))}),
 numbers AS (SELECT * EXCLUDE (tokens), list_filter(list_transform(tokens, lambda t: CASE WHEN lower(trim(t)) <> 'nan'
   THEN try_cast(rtrim(trim(t), '%') AS double) END), lambda v: v IS NOT NULL) AS vals FROM listed),
 series AS (SELECT * EXCLUDE (vals), unnest(vals) AS value, generate_subscripts(vals, 1) AS step FROM numbers)"""

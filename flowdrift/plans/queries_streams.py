@@ -79,14 +79,15 @@ def _csv_text(df: DataFrame, special: bool = False) -> DataFrame:
 )
 def read_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    _csv_text(raw_flows(spark, sf_dir), special=True).write.option("header", "true").csv(path)
+    shuffled = _csv_text(raw_flows(spark, sf_dir), special=True).select(F.lit("7").alias("Unnamed: 0"), *_PLAIN[::-1])
+    shuffled.write.option("header", "true").csv(path)
     return rounded(readers.read_flows(spark, path, schema=_PLAIN_SCHEMA))
 
 
 @query("a2_stream_flows", f"WITH {RAW_FLOWS_SQL} SELECT {_PLAIN_SQL.replace('totlen_fwd_pkts', 'totlen_fwd_pkts::double AS totlen_fwd_pkts')} FROM raw_flows")
 def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    _csv_text(raw_flows(spark, sf_dir)).repartition(4).write.option("header", "true").csv(path)
+    _csv_text(raw_flows(spark, sf_dir)).select(*_PLAIN[::-1], F.lit("7").alias("device_id")).repartition(4).write.option("header", "true").csv(path)
     return rounded(drained(readers.stream_flows(spark, path, _PLAIN_SCHEMA, files_per_trigger=2)))
 
 
@@ -126,16 +127,22 @@ def write_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a6_append_rolling_log",
-    f"WITH {RAW_FLOWS_SQL} SELECT event_id AS seq, label FROM raw_flows ORDER BY event_id DESC LIMIT 3000",
+    f"""WITH {RAW_FLOWS_SQL}, quarters AS (SELECT event_id AS seq, label, event_id // (SELECT (max(event_id) + 4) // 4 FROM raw_flows) AS quarter FROM raw_flows),
+arrived AS (SELECT 3 - quarter AS batch, seq, label FROM quarters UNION ALL SELECT 4, seq, label FROM quarters WHERE quarter = 1 AND seq % 2 = 0)
+SELECT seq, label FROM arrived ORDER BY batch DESC, seq DESC LIMIT (SELECT cast(0.4 * count(*) AS bigint) FROM raw_flows)""",
 )
 def append_rolling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches, one of them written twice, then compacted."""
-    log = RollingLog(scratch(spark), max_rows=3000, columns=["seq", "label"])
+    """Batches whose sequence falls, one of them written twice; compacted, appended to with repeated numbers, pruned."""
     rows = raw_flows(spark, sf_dir).select(F.col("event_id").alias("seq"), "label")
-    quarter = rows.agg(F.ceil((F.max("seq") + 1) / 4)).first()[0]
+    most, n = rows.agg(F.max("seq"), F.count(F.lit(1))).first()
+    log = RollingLog(scratch(spark), max_rows=int(0.4 * n), columns=["seq", "label"])
+    quarter = F.floor(F.col("seq") / ((most + 4) // 4))
     for batch in (0, 1, 1, 2, 3):
-        log.append(rows.filter(F.floor(F.col("seq") / quarter) == batch), batch)
-    return log.compact(spark, scratch(spark)).read(spark)
+        log.append(rows.filter(quarter == 3 - batch), batch)
+    small = log.compact(spark, scratch(spark))
+    small.append(rows.filter((quarter == 1) & (F.col("seq") % 2 == 0)), 4)
+    small.prune(spark)
+    return small.read(spark)
 
 
 @query("a8_save_load_pipeline")
@@ -278,18 +285,7 @@ def j10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRIFT_COLUMNS = [c for c in MODEL_COLUMNS if c != "dst_port"]
 
 
-# Finished runs by application, data and start, so that queries on the same run read its tables.
-_RUNS: dict[tuple, DriftStream] = {}
-
-
 def _drift_stream(spark: SparkSession, sf_dir: str, seeded: bool) -> DriftStream:
-    key = (spark.sparkContext.applicationId, sf_dir, seeded)
-    if key not in _RUNS:
-        _RUNS[key] = _run_drift_stream(spark, sf_dir, seeded)
-    return _RUNS[key]
-
-
-def _run_drift_stream(spark: SparkSession, sf_dir: str, seeded: bool) -> DriftStream:
     rows = labelled(spark, sf_dir).select("event_id", *DRIFT_COLUMNS, F.col("label").cast("int").alias("BinLabel"))
     config = DriftConfig(variant="dt", conformal=ConformalConfig(evaluator="approx_tce", mode="any"), max_rows=2000)
     run = DriftStream(spark, scratch(spark), DRIFT_COLUMNS, config, order="event_id", truth="BinLabel", classifier_params={"maxDepth": 4})

@@ -175,6 +175,7 @@ class DriftStream:
         result = self.spark.read.parquet(path)
         decision = self._test(result, model, batch_id)
         self.log.append(self._pseudo_labelled(result, decision["drift"]), batch_id)
+        self.log.prune(self.spark)
         decision["retrained"] = decision["drift"] and self._retrain(batch_id)
         self._record(result, batch_id, rows, model.version, decision, time.time() - started)
         if self.on_batch is not None:

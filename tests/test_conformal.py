@@ -24,24 +24,22 @@ def _plain_p(cls, score):
     return (sum(s >= score for s in known) + 1) / (len(known) + 1) if known else None
 
 
-@pytest.mark.parametrize("bound", [0, 100_000])
-def test_p_values(spark, bound):
+def test_p_values(spark):
     counts = conformal.calibration_counts(spark.createDataFrame(CAL, "class string, score double"))
     test = spark.createDataFrame(TEST, "id int, class string, score double")
-    out = conformal.p_values(test, counts, broadcast_rows=bound)
+    out = conformal.p_values(test, counts)
     got = {r["id"]: r["p_value"] for r in out.collect()}
     for i, cls, score in TEST:
         want = _plain_p(cls, score)
         assert got[i] == want if want is None else abs(got[i] - want) < 1e-15 and 0 < got[i] <= 1
 
 
-@pytest.mark.parametrize("bound", [0, 100_000])
-def test_p_values_with_number_classes_and_null_scores(spark, bound):
-    counts = conformal.calibration_counts(spark.createDataFrame([(0, 0.1), (0, 0.9), (1, 0.5)], "class int, score double"))
+def test_p_values_with_number_classes_and_null_scores(spark):
+    counts = conformal.calibration_counts(spark.createDataFrame([(0, 0.1), (0, 0.9), (1, 0.5), (None, 0.3), (0, float("nan"))], "class int, score double"))
     assert sum(r["n"] for r in counts.collect()) == 3
-    test = spark.createDataFrame([(0, 0.5), (1, 0.6), (2, 0.1), (0, None)], "class int, score double")
-    got = [r["p_value"] for r in conformal.p_values(test, counts, broadcast_rows=bound).orderBy("class", F.desc("score")).collect()]
-    assert got == [2 / 3, None, 0.5, None]
+    test = spark.createDataFrame([(0, 0.5), (1, 0.6), (2, 0.1), (0, None), (1, float("nan")), (None, 0.2)], "class int, score double")
+    got = [r["p_value"] for r in conformal.p_values(test, counts).orderBy("class", F.desc("score")).collect()]
+    assert got == [None, 2 / 3, None, None, 0.5, None]
 
 
 def test_thresholds_and_drift_rules(spark):

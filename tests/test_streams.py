@@ -13,6 +13,8 @@ from flowdrift.config import ChunkConfig, ConformalConfig, DriftConfig, Signific
 from flowdrift.operators import control, features
 from flowdrift.schema import flow_schema
 from flowdrift.sources import readers
+from flowdrift.operators.clean import clean_flows
+from flowdrift.plans.features import aggregated_features
 from flowdrift.sources.rolling_log import RollingLog, seed_rows
 from flowdrift.streaming.drift import DriftStream, progress_table, run_payloads
 from flowdrift.streaming.hopping import stream_hopping_features
@@ -61,6 +63,26 @@ def test_payloads_by_header_name(spark):
     df = spark.createDataFrame([("b,a\r\nx,1\r\n\r\ny,oops\n",), ("a\n5",), ("a,b",), ("",)], "value string")
     got = sorted((r["a"] or 0, r["b"] or "") for r in readers.decode_csv_payloads(df, schema).collect())
     assert got == [(0, "y"), (1, "x"), (5, "")]
+    odd = spark.createDataFrame([('b,a,a\n"x,""y""",3,4\nz\n',)], "value string")
+    got = sorted((r["a"] or 0, r["b"]) for r in readers.decode_csv_payloads(odd, schema).collect())
+    assert got == [(0, "z"), (3, 'x,"y"')]
+
+
+def test_file_to_features(spark, tmp_path):
+    """The example of the README: shuffled columns, an index column, text times and a label."""
+    lines = ["Unnamed: 0,Label,dst_ip,src_ip,timestamp,protocol,dst_port,src_port,flow_duration,tot_fwd_pkts"]
+    for k in range(30):
+        lines.append(f"{k},{'Benign' if k % 3 else 'Scan'},9.9.9.{k % 2},1.1.1.{k % 4},01-02-2024 10:{k % 7:02d},6,80,{1000 + k % 4},{'inf' if k == 5 else k},{k}")
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
+    flows = clean_flows(readers.read_flows(spark, str(tmp_path)))
+    assert "Unnamed: 0" not in flows.columns and dict(flows.dtypes)["timestamp"] == "timestamp"
+    assert flows.filter("src_ip like '1.1.1.%' and dst_ip like '9.9.9.%' and protocol = 6 and dst_port = 80").count() == 30
+    assert flows.filter("flow_duration is null").count() == 1
+    table = aggregated_features(flows, size="2 minutes", step="1 minute", label="Label")
+    assert table.count() > 0 and {r[0] for r in table.select("BinLabel").distinct().collect()} == {0, 1}
+    (tmp_path / "g.csv").write_text("src_ip,Label\n1.1.1.1,Benign\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_flows(spark, str(tmp_path)).collect()
 
 
 def test_payload_callback(spark, tmp_path):
@@ -87,6 +109,10 @@ def test_rolling_log(spark, tmp_path):
     log.append(rows.filter("seq >= 9"), 2)
     small = log.compact(spark, str(tmp_path / "compact"))
     assert sorted(r["seq"] for r in spark.read.parquet(small.path).collect()) == [7, 8, 9, 10, 11]
+    small.append(rows.filter("seq < 3"), 3)  # arrived last, although its numbers are small
+    assert sorted(r["seq"] for r in small.read(spark).collect()) == [0, 1, 2, 10, 11]
+    assert small.prune(spark) == [1] and sorted(r["seq"] for r in small.read(spark).collect()) == [0, 1, 2, 10, 11]
+    assert log.prune(spark) == [0]
     with pytest.raises(ValueError):
         log.append(rows.withColumn("w", F.lit(1)), 3)
     with pytest.raises(ValueError):
