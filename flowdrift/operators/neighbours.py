@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest training matrix sent to every executor.
-BROADCAST_BYTES = 64_000_000
+# Training rows that one task compares with a part of the test rows.
+BLOCK_BYTES = 32_000_000
 TEST_ROWS = 20_000
 STEP = 256
 
@@ -56,15 +56,17 @@ def knn(
     features: str,
     train_id: str,
     label: str,
-    broadcast_rows: int | None = None,
+    block_rows: int | None = None,
     test_rows: int = TEST_ROWS,
 ) -> DataFrame:
     """``row_id`` with its neighbours, nearest first: array of (squared, id, label).
 
-    ``features`` is an array column on both sides. A training set of at most
-    ``broadcast_rows`` rows (by default as many as fit 64 MB, a log-sized one) goes to
-    every executor and the test rows are not shuffled. A larger one is cut into blocks; each (test part, block)
-    pair is a bounded task that keeps k candidates per row, and the candidates are merged.
+    ``features`` is an array column on both sides. The training rows are cut into
+    blocks of about ``block_rows`` rows (by default 32 MB), the test rows into parts of
+    about ``test_rows``; each (part, block) pair is one task that keeps k candidates per
+    row, and the candidates are merged. Nothing passes through the driver. As an exact
+    search compares every test row with every block, the training side is meant to be
+    log-sized.
     """
     rows = train.select(F.col(train_id).cast("bigint").alias("_id"), F.col(label).cast("bigint").alias("_label"), F.col(features).alias("_x"))
     tested = test.select(F.col(row_id), F.col(features).alias("_x"))
@@ -72,25 +74,10 @@ def knn(
     sample = rows.select(F.size("_x").alias("d")).first()
     if sample is None:
         raise ValueError("no training rows")
-    if broadcast_rows is None:
-        broadcast_rows = max(1, BROADCAST_BYTES // (8 * max(1, sample["d"])))
-    total = rows.limit(broadcast_rows + 1).count()
-    if total <= broadcast_rows:
-        local = rows.toPandas()
-        shared = test.sparkSession.sparkContext.broadcast(
-            (np.vstack(local["_x"].to_numpy()).astype(float), local["_id"].to_numpy(), local["_label"].to_numpy())
-        )
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    x = np.vstack(pdf["_x"].to_numpy()).astype(float)
-                    yield pd.DataFrame({row_id: pdf[row_id], "neighbours": pd.Series(_hits(x, *shared.value, k), index=pdf.index)})
-
-        return tested.mapInPandas(near, out)
-
-    blocks = -(-train.count() // broadcast_rows) * 2
-    parts = max(1, -(-test.count() // test_rows) * 2)
+    if block_rows is None:
+        block_rows = max(1, BLOCK_BYTES // (8 * max(1, sample["d"])))
+    blocks = max(1, -(-train.count() // block_rows))
+    parts = max(1, -(-test.count() // test_rows))
     part_of = F.pmod(F.xxhash64(F.col(row_id)), F.lit(parts))
     block_of = F.pmod(F.xxhash64(F.col("_id")), F.lit(blocks))
     lhs = tested.withColumn("_part", part_of).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

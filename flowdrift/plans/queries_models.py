@@ -179,8 +179,8 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_KNN_SQL} SELECT vec_id, cast(arg_max(label, (n, -label)) AS bigint) AS prediction FROM votes GROUP BY vec_id",
 )
 def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path taken once the training rows are too many to broadcast."""
-    near = _knn(spark, sf_dir, broadcast_rows=200, test_rows=400)
+    """The same search with small blocks."""
+    near = _knn(spark, sf_dir, block_rows=200, test_rows=400)
     return near.select("vec_id", neighbours.knn_vote(F.col("neighbours")).alias("prediction"))
 
 

@@ -157,14 +157,15 @@ def save_load_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a9_read_run_logs",
-    f"""WITH {RAW_FLOWS_SQL} SELECT concat('kind=', label) AS folder, 'event ' || event_id AS text FROM raw_flows WHERE label <> 'UDPAttack'""",
+    f"""WITH {RAW_FLOWS_SQL} SELECT concat('kind=', label) AS folder, row_number() OVER (PARTITION BY label ORDER BY event_id) AS line_no,
+ 'event ' || event_id AS text FROM raw_flows WHERE label <> 'UDPAttack'""",
 )
 def read_run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One folder per label; the folder of one label is marked as old and skipped."""
     path = scratch(spark)
-    rows = raw_flows(spark, sf_dir).select(F.col("label").alias("kind"), F.concat(F.lit("event "), "event_id").alias("text"))
-    rows.write.partitionBy("kind").text(path)
-    return readers.read_run_logs(spark, path, exclude_prefix="kind=UDP", pattern="*.txt").select("folder", "text")
+    rows = raw_flows(spark, sf_dir).select("event_id", F.col("label").alias("kind"), F.concat(F.lit("event "), "event_id").alias("text"))
+    rows.repartition(1).sortWithinPartitions("kind", "event_id").drop("event_id").write.partitionBy("kind").text(path)
+    return readers.read_run_logs(spark, path, exclude_prefix="kind=UDP", pattern="*.txt").select("folder", "line_no", "text")
 
 
 @query(

@@ -120,7 +120,7 @@ def test_cv_accuracy(data):
     assert len(values) == 5 and abs(s["mean_accuracy"] - np.mean(values)) < 1e-12 and abs(s["std_accuracy"] - np.std(values)) < 1e-12
 
 
-@pytest.mark.parametrize("bounds", [{}, {"broadcast_rows": 40, "test_rows": 50}])
+@pytest.mark.parametrize("bounds", [{}, {"block_rows": 40, "test_rows": 50}])
 def test_knn_against_brute_force(spark, bounds):
     points = RNG.integers(0, 6, size=(130, 3)).astype(float)  # many equal distances
     labels = RNG.integers(0, 3, size=130)
