@@ -77,7 +77,9 @@ def knn(
     if block_rows is None:
         block_rows = max(1, BLOCK_BYTES // (8 * max(1, sample["d"])))
     blocks = max(1, -(-train.count() // block_rows))
-    parts = max(1, -(-test.count() // test_rows))
+    asked = test.count()
+    cores = test.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-asked // test_rows), min(cores, asked // 500))  # a small test side still uses all cores
     part_of = F.pmod(F.xxhash64(F.col(row_id)), F.lit(parts))
     block_of = F.pmod(F.xxhash64(F.col("_id")), F.lit(blocks))
     lhs = tested.withColumn("_part", part_of).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
