@@ -85,7 +85,7 @@ def candidate_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
     )
     c = F.col("candidate")
     switches = F.regexp_count(c, F.lit("[0-9](?=[A-Za-z])")) + F.regexp_count(c, F.lit("[A-Za-z](?=[0-9])")) + F.regexp_count(c, F.lit("[a-z](?=[A-Z])"))
-    shape = candidates.withColumns(
+    shape = materialize(candidates.withColumns(
         {
             "size": F.log(F.length(c)),
             "digits": _share(c, "[0-9]"),
@@ -97,20 +97,36 @@ def candidate_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
             "switches": switches / F.length(c),
             "variety": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         }
-    )
+    ))
     return shape.join(moved, "candidate").join(covered, "candidate").join(longest, "candidate")
 
 
-def weak_label(candidate: Column, before: Column, coverage: Column) -> Column:
-    """1 for public key formats and mixed values assigned to a secret name, 0 for plain words, numbers and named checksums, else null."""
+def weak_label(candidate: Column, before: Column) -> Column:
+    """1 for public key formats and mixed values assigned to a secret name, 0 for letters or digits alone and named checksums, else null."""
     mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
     assigned = before.rlike(NAMES + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?$")
     return (
-        F.when(candidate.rlike(PROVIDER), 1)
-        .when(before.rlike(HARMLESS + r"\W{0,4}$"), 0)
-        .when(assigned & mixed, 1)
-        .when(~mixed, 0)
-        .when(coverage >= 0.8, 0)
+        F.when(candidate.rlike(PROVIDER), 1).when(before.rlike(HARMLESS + r"\W{0,4}$"), 0).when(assigned & mixed, 1).when(~mixed, 0)
+    )
+
+
+def with_context(found: DataFrame) -> DataFrame:
+    """Findings with the features of their surroundings and the label that rules give them (``rule``).
+
+    Stored before the joins that follow, which keeps each generated method small.
+    """
+    flag = lambda c: c.cast("double")
+    before, after = F.col("before"), F.col("after")
+    return found.withColumns(
+        {
+            "in_path": flag(before.rlike(r"[/\\.~]$") | after.rlike(r"^[\\.][A-Za-z0-9]")),
+            "in_address": flag(before.rlike("@$") | after.rlike("^@")),
+            "named": flag(before.rlike(NAMES + r"\W{0,8}$")),
+            "assigned": flag(before.rlike(r"[:=]\s{0,2}[\"']?$")),
+            "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
+            "harmless": flag(before.rlike(HARMLESS + r"\W{0,4}$")),
+            "rule": weak_label(F.col("candidate"), before),
+        }
     )
 
 
@@ -121,32 +137,21 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     character classes and transitions, how far known corpus words cover them, whether
     they stand in a path or address, the words before them and the share of candidates
     with a digit in their source. It learns from at most about ``per_class`` findings of
-    each class that the rules of ``weak_label`` decide, different in candidate and
+    each class that ``weak_label`` or a coverage of 0.8 decides, different in candidate and
     context, those with the smallest hashes. ``secret`` is the forest's verdict over all
     candidates. With labelled findings of one class only, or none, the labels themselves
     decide and the rest is no secret. Null and short texts have no candidates; repeated
     rows give repeated findings; a null source is a source of its own. The secret is
     reported by its digest, never in the clear.
     """
-    found = materialize(findings(docs, doc_id, text, source))
+    found = materialize(with_context(findings(docs, doc_id, text, source)))
     words = materialize(known_words(docs, text))
     by_candidate = materialize(candidate_features(found.select("candidate").distinct(), words)).withColumnRenamed("candidate", "_c")
     rate = found.groupBy(F.col("source").alias("_s")).agg(F.avg(F.col("candidate").rlike("[0-9]").cast("double")).alias("source_rate"))
-    flag = lambda c: c.cast("double")
     rows = (
         found.join(by_candidate, F.col("candidate") == F.col("_c"))
         .join(rate, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumns(
-            {
-                "in_path": flag(F.col("before").rlike(r"[/\\.~]$") | F.col("after").rlike(r"^[\\.][A-Za-z0-9]")),
-                "in_address": flag(F.col("before").rlike("@$") | F.col("after").rlike("^@")),
-                "named": flag(F.col("before").rlike(NAMES + r"\W{0,8}$")),
-                "assigned": flag(F.col("before").rlike(r"[:=]\s{0,2}[\"']?$")),
-                "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
-                "harmless": flag(F.col("before").rlike(HARMLESS + r"\W{0,4}$")),
-                "label": weak_label(F.col("candidate"), F.col("before"), F.col("coverage")),
-            }
-        )
+        .withColumn("label", F.coalesce("rule", F.when(F.col("coverage") >= 0.8, 0)))
     )
     rows = materialize(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).drop(*FEATURES, "_c", "_s"))
     digest = F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256")
