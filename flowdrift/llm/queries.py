@@ -142,18 +142,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op5_quality_rules",
     f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM d),
 g AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 2], ' ')) AS times
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+  SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (
+  SELECT doc_id, list(i) AS places FROM g WHERE c IS NOT NULL GROUP BY doc_id, a, b, c HAVING count(*) > 1),
 r AS (
-  SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM g WHERE times > 1) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, unnest(places) AS i FROM h), (VALUES (0), (1), (2)) AS t(k) GROUP BY doc_id),
+s AS (SELECT doc_id, string_split(t, chr(10)) AS parts FROM d),
 l AS (
   SELECT doc_id, i, line, regexp_extract_all(line, {_WORDS}) AS w
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+  FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM s)),
 m AS (
   SELECT *, array_to_string(w, '') AS joined, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
-    len(list_filter(w, x -> x IN ('|', '>', '»', '·', '/'))) AS bars
+    len(list_filter(w, lambda x: x IN ('|', '>', '»', '·', '/'))) AS bars
   FROM l WHERE len(w) > 0),
 v AS (
   SELECT doc_id, len(w) AS n, again,
