@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 BENIGN_SPELLINGS = ("BENIGN", "Benign", "benign", "NORMAL", "Normal", "normal", "0")
 ATTACK_SPELLINGS = ("ATTACK", "Attack", "attack", "MALICIOUS", "Malicious", "malicious", "1")
 
-# Fixed value: one IPv4 octet, leading zeros allowed up to three digits.
-IPV4_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IPV4_PATTERN = f"^{IPV4_OCTET}(\\.{IPV4_OCTET}){{3}}$"
+# Fixed value: dotted IPv4 text, leading zeros allowed up to three digits.
+IPV4_PATTERN = r"^(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)){3}$"
 
 FLOW_TIMESTAMP_FORMAT = "dd-MM-yyyy HH:mm"
 

@@ -18,6 +18,7 @@ SECTION_HEADERS = {
     "=== Classifier Model Performance Summary ===": "Classifier Model",
 }
 CHUNK_STATS = ["Average Chunk Size", "Median Chunk Size", "Standard Deviation of Chunk Sizes"]
+# Statistics of a report and which of their extremes is listed.
 STAT_MODES = {
     "Total simulate time": "min",
     "Total Drift Detections": "both",
@@ -39,11 +40,13 @@ STAT_MODES = {
     "Median Chunk Size": "all",
     "Standard Deviation of Chunk Sizes": "all",
 }
+# Marker, blocks and metrics of the series lines.
 SERIES_MARKER = r"(?i)INFO\s+__main__:\s+Full performance stats:\s+perf_stats\s*=\s*PerformanceStats\("
 SERIES_BLOCKS = {"ce": "ce_stats", "classifier": "classifier_stats"}
 SERIES_METRICS = ["accuracies", "precisions", "recalls", "f1s"]
 VARIANT_PATTERN = r"(?i)\bmodelVariant\s*=\s*([A-Za-z0-9_\-]+)"
 CE_TYPE_PATTERN = r"(?i)\bceType\s*=\s*([A-Za-z0-9_\-]+)"
+# Classifier names and their spellings, in the order in which they are tried.
 CLASSIFIER_NAMES = {
     "svm": ["svm", "svc"],
     "dt": ["dt", "decisiontree", "decision_tree", "decision-tree"],
@@ -57,6 +60,7 @@ CLASSIFIER_NAMES = {
     "lgbm": ["lgbm", "lightgbm"],
     "ffn": ["ffn", "feedforward"],
 }
+# Evaluator names and their spellings, in the order in which they are tried.
 CE_NAMES = {
     "approx-cce": ["approx-cce", "approxcce", "approx_cce"],
     "cce": ["cce"],
@@ -65,6 +69,7 @@ CE_NAMES = {
     "none": ["none", "noce", "no-ce", "no_ce", "baseline", "null"],
     "approx-tce": ["approx-tce", "approxtce", "approx_tce"],
 }
+# The order of evaluators in reports.
 CE_ORDER = ["approx-cce", "cce", "ice", "tce", "none"]
 PERCENT_ABOVE = 1.05
 
