@@ -103,7 +103,7 @@ def csv_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a4_merge_flow_dir",
-    f"""WITH {RAW_FLOWS_SQL} SELECT cast(event_id AS varchar) AS event_id, src_ip, CASE WHEN event_id % 2 = 0 THEN label END AS label,
+    f"""WITH {RAW_FLOWS_SQL} SELECT event_id, src_ip, CASE WHEN event_id % 2 = 0 THEN label END AS label,
  epoch_us(date_trunc('second', timestamp)) AS timestamp FROM raw_flows""",
 )
 def merge_flow_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +114,7 @@ def merge_flow_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.filter("event_id % 2 = 0").write.options(**writer).csv(path)
     rows.filter("event_id % 2 = 1").drop("label").write.mode("append").options(**writer).csv(path)
     rows.drop("timestamp").write.mode("append").options(**writer).csv(path)
-    merged = readers.merge_flow_dir(spark, path)
-    return rounded(merged)
+    return rounded(readers.merge_flow_dir(spark, path, schema=T.StructType([T.StructField("event_id", T.LongType())])))
 
 
 @query("a5_write_features", f"WITH {RAW_FLOWS_SQL} SELECT {_PLAIN_SQL} FROM raw_flows")

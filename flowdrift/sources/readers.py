@@ -107,13 +107,19 @@ def _unquoted(field: Column) -> Column:
 
 
 def merge_flow_dir(
-    spark: SparkSession, path: str, timestamp: str = "timestamp", pattern: str = "*.csv", ts_format: str | None = None
+    spark: SparkSession,
+    path: str,
+    timestamp: str = "timestamp",
+    pattern: str = "*.csv",
+    ts_format: str | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """All CSV files of a folder as one table, newest first.
 
     Files without the timestamp column are left out. Files are grouped by their
     header line, so each distinct layout is one parallel read; only the distinct
-    headers and their file names reach the driver.
+    headers and their file names reach the driver. Columns named in ``schema`` get
+    its types (unreadable values and absent columns are NULL); others stay text.
     """
     first_lines = (
         spark.read.option("pathGlobFilter", pattern).text(path)
@@ -140,6 +146,9 @@ def merge_flow_dir(
         merged = merged.unionByName(frame, allowMissingColumns=True)
     when = F.col(timestamp)
     parsed = F.try_to_timestamp(when, F.lit(ts_format)) if ts_format else F.try_to_timestamp(when)
+    if schema is not None:
+        declared = T.StructType([f for f in schema.fields if f.name != timestamp])
+        merged = drop_nonfinite(_typed(merged, declared, extras=True))
     return merged.withColumn(timestamp, parsed).orderBy(F.desc(timestamp))
 
 
