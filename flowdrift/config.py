@@ -94,3 +94,5 @@ class DriftConfig:
         _check(self.chunk_size > 0, "chunk_size must be positive")
         _check(self.max_rows > 0, "max_rows must be positive")
         _check(self.scope in ("model", "evaluator_only"), f"unknown retrain scope: {self.scope}")
+        # The level is adapted from the first row of each chunk, so only that row can be tested at it.
+        _check(self.significance is None or self.conformal.mode == "first", "an adaptive significance needs the mode first")

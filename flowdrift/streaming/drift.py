@@ -228,15 +228,16 @@ class DriftStream:
         return out
 
     def _significance(self, model: ModelVersion, batch_id: int, config: SignificanceConfig) -> SignificanceState:
-        """The controller after the previous batch of this version, or one started from the calibration scores."""
-        past = self.chunks()
+        """The controller after the previous batch; after a retrain it lives on and learns the new calibration scores too."""
+        past, control = self.chunks(), SignificanceState(config)
         if past is not None:
-            seen = past.filter((F.col("chunk_id") < batch_id) & (F.col("version") == model.version) & F.col("controller").isNotNull())
-            last = seen.agg(F.max_by("controller", "chunk_id")).first()[0]
+            seen = past.filter((F.col("chunk_id") < batch_id) & F.col("controller").isNotNull())
+            last = seen.agg(F.max_by(F.struct("controller", "version"), "chunk_id")).first()[0]
             if last is not None:
-                held = json.loads(last)
-                return SignificanceState(config, {k: a for k, a, _ in held}, {k: h for k, _, h in held})
-        control = SignificanceState(config)
+                held = json.loads(last["controller"])
+                control = SignificanceState(config, {k: a for k, a, _ in held}, {k: h for k, _, h in held})
+                if last["version"] == model.version:
+                    return control
         seeds = model.evaluator.seeds.orderBy("seq").collect()  # at most `window` rows per class
         if model.evaluator.evaluator == "cce":
             for cls in sorted({r["class"] for r in seeds}):

@@ -168,6 +168,7 @@ def test_alpha_levels_are_closed():
         lambda: ConformalConfig(evaluator="tce"),
         lambda: ConformalConfig(folds=1),
         lambda: ConformalConfig(significance=1.0),
+        lambda: DriftConfig(conformal=ConformalConfig(mode="any"), significance=SignificanceConfig()),
         lambda: DriftConfig(threshold=2.0),
         lambda: DriftConfig(chunk_size=0),
         lambda: DriftConfig(variant="forest"),
