@@ -17,11 +17,13 @@ from tests.llm import brute
 SF = "/root/testdata/sf0.01"
 
 
-def test_toxicity_on_labelled_documents(spark):
-    got = toxicity.toxicity(read(spark, SF, "documents"), read(spark, SF, "labels")).join(read(spark, SF, "labels").withColumnRenamed("toxic", "truth"), "doc_id")
+def test_toxicity_on_labels_that_it_has_not_seen(spark):
+    docs, labels = (read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit("hidden")), F.lit(4)) == 0
+    got = toxicity.toxicity(docs, labels.filter(~hidden)).join(labels.filter(hidden).select("doc_id", F.col("toxic").alias("truth")), "doc_id")
     c = {(r["toxic"], r["truth"]): r["count"] for r in got.groupBy("toxic", "truth").count().collect()}
-    assert c.get((True, 1), 0) >= 0.8 * (c.get((True, 1), 0) + c.get((False, 1), 0))
-    assert c.get((True, 0), 0) <= 0.02 * (c.get((True, 0), 0) + c.get((False, 0), 0))
+    assert c[True, 1] >= 0.85 * (c[True, 1] + c.get((False, 1), 0)), c
+    assert c.get((True, 0), 0) <= 0.02 * (c.get((True, 0), 0) + c[False, 0]), c
 
 
 def test_toxicity_without_labels_and_with_one_class(spark, make):
