@@ -218,7 +218,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, cls, tiles, sets, seen = (c, t, u), [], [], [], set()
             s = shingler.set_of(data)
             if one in seen or len(s) == 0 or set_key(s) != one:
-                continue  # another row with the same id
+                continue  # another row with the same id and hash, or a repeated one
             seen.add(one)
             cls.append(one), tiles.append(tile), sets.append(s)
     yield from done()
@@ -245,17 +245,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     4. Components of the confirmed links.
     """
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("data"))
-    described = materialize(map_batches(rows.withColumn("mark", F.xxhash64(F.coalesce("data", F.lit(b"")))), _described, _SETS))
+    rows = rows.withColumn("mark", F.xxhash64(F.coalesce("data", F.lit(b""))))
+    described = materialize(map_batches(rows, _described, _SETS))
     band = described.filter("keys is not null").select("node", F.explode("keys").alias("key"))
     hot = materialize(
         band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "low")
     )
     near = band.join(hot, "key").filter("node <> low").select("node", "low").distinct()
     clusters = components(near, "node", "low").withColumnRenamed("label", "cluster")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("mark").alias("hash")))
     classes = materialize(
         described.join(clusters, "node").groupBy("cls").agg(
-            F.min("cluster").alias("cluster"), F.min("node").alias("node"), F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")
-        )
+            F.min("cluster").alias("cluster"), F.min("node").alias("node"), row.alias("row"), F.max("n_shingles").alias("n")
+        ).select("cls", "cluster", "node", "row.id", "row.hash", "n")
     )
     tiles = classes.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"),
@@ -264,10 +266,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = (
         classes.join(tiles.filter("members > 1"), "cluster")
         .withColumn("tile", F.pmod("node", "tiles").cast("int"))
-        .select("id", "cls", "cluster", "tile", "tiles")
+        .select("id", "hash", "cls", "cluster", "tile", "tiles")
     )
     placed = (
-        rows.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))  # one plan at every size
+        rows.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("hash")))  # one plan at every size
         .withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("cluster", F.least("tile", "peer").alias("t"), F.greatest("tile", "peer").alias("u"), "tile", "cls", "data")
     )

@@ -10,12 +10,12 @@ different stretch, go to a suffix array per anchor.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,33 +160,35 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(x) for x in part]), np.array(owner), np.array(shift)
 
 
-_RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "stretch", "doc_id", "at")])
+_RUN = T.StructType([T.StructField(c, T.BinaryType() if c == "mark" else T.LongType()) for c in ("anchor", "stretch", "doc_id", "mark", "at")])
 
 
-def _check(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFF
+def _mark(data: bytes) -> bytes:
+    """128 bits that tell a text from the others of its id."""
+    return xxhash.xxh3_128_digest(data)
 
 
 def _runs(batch: pa.RecordBatch) -> pa.Table | None:
-    """One row for each run; ``at`` packs 16 bits of the text's checksum, first start, anchor offset and number of starts."""
+    """One row for each run; ``at`` packs first start, anchor offset and number of starts."""
     ids = batch.column(0)
     texts = [t or b"" for t in batch.column(1).to_pylist()]
-    checks = np.array([_check(t) for t in texts], np.int64)
+    marks = pa.array([_mark(t) for t in texts], pa.binary())
     tables = []
     for data, ends, owner, shift in _pieces(texts):
         first, length, offset, anchor, stretch = find_runs(data, ends)
         which = np.searchsorted(ends, first, side="right")
         begins = np.concatenate([[0], ends[:-1]])
         start = first - begins[which] + shift[which]
-        at = (checks[owner[which]] << 47) | (start << 16) | (offset << 8) | length
+        at = (start << 16) | (offset << 8) | length
+        row = pa.array(owner[which])
         tables.append(
-            pa.table({"anchor": anchor.view(np.int64), "stretch": stretch.view(np.int64), "doc_id": ids.take(pa.array(owner[which])), "at": at})
+            pa.table({"anchor": anchor.view(np.int64), "stretch": stretch.view(np.int64), "doc_id": ids.take(row), "mark": marks.take(row), "at": at})
         )
     return pa.concat_tables(tables) if tables else None
 
 
 _PACKED = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("check", T.IntegerType()), T.StructField("n_bytes", T.LongType()), T.StructField("packed", T.BinaryType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("mark", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("packed", T.BinaryType())]
 )
 
 
@@ -196,7 +198,7 @@ def _pack(batch: pa.RecordBatch) -> pa.Table:
     return pa.table(
         {
             "doc_id": batch.column(0),
-            "check": pa.array([_check(t) for t in texts], pa.int32()),
+            "mark": pa.array([_mark(t) for t in texts], pa.binary()),
             "n_bytes": [len(t) for t in texts],
             "packed": pa.array([press.compress(t) for t in texts], pa.binary()),
         }
@@ -209,6 +211,7 @@ _STRETCH = T.StructType(
         T.StructField("stretch", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("doc_id", T.LongType()),
+        T.StructField("mark", T.BinaryType()),
         T.StructField("at", T.LongType()),
         T.StructField("split", T.BooleanType()),
         T.StructField("data", T.BinaryType()),
@@ -221,19 +224,22 @@ def _cut_out(batch: pa.RecordBatch) -> pa.Table | None:
     unpress = zstandard.ZstdDecompressor()
     out: dict[str, list] = {f.name: [] for f in _STRETCH.fields}
     names = batch.schema.names
-    for doc_id, packed, wanted in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc_id", "packed", "wanted")), strict=True):
+    seen = set()
+    for doc_id, mark, packed, wanted in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc_id", "mark", "packed", "wanted")), strict=True):
+        if (doc_id, mark) in seen:
+            continue  # a row repeated with id and text has the same stretches
+        seen.add((doc_id, mark))
         text = unpress.decompress(packed)
         for w in wanted:
             start, count = (w["at"] >> 16) & 0x7FFFFFFF, w["at"] & 0xFF
             data = text[start : start + count + LENGTH - 1]
             if not w["split"]:
-                rows = [(w["anchor"], w["stretch"], w["n"], doc_id, w["at"], False, data)]
+                rows = [(w["anchor"], w["stretch"], w["n"], doc_id, mark, w["at"], False, data)]
             else:
                 sums, (power, inverse) = np.zeros(len(data) + 1, np.uint64), _powers()
                 np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * power[: len(data)], out=sums[1:])
                 keys = mix64((sums[LENGTH:] - sums[:-LENGTH]) * inverse[:count]).view(np.int64)
-                above = w["at"] >> 47 << 47
-                rows = [(w["anchor"], int(k), w["n"], doc_id, above | (start + i) << 16 | 1, True, None) for i, k in enumerate(keys)]
+                rows = [(w["anchor"], int(k), w["n"], doc_id, mark, (start + i) << 16 | 1, True, None) for i, k in enumerate(keys)]
             for row in rows:
                 for f, v in zip(out, row, strict=True):
                     out[f].append(v)
@@ -241,7 +247,7 @@ def _cut_out(batch: pa.RecordBatch) -> pa.Table | None:
 
 
 def _stretch_types() -> list[pa.DataType]:
-    return [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    return [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
 
 
 def repeated_starts(stretches: list[tuple[bytes, int]]) -> list[list[int]]:
@@ -300,16 +306,16 @@ def repeated_starts(stretches: list[tuple[bytes, int]]) -> list[list[int]]:
     return [sorted(x) for x in found]
 
 
-_RANGE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("check", T.IntegerType()), T.StructField("range", T.LongType())])
+_RANGE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.BinaryType()), T.StructField("range", T.LongType())])
 
 
-def _ranges_of(doc_id, at: int, starts: list[int]) -> Iterator[tuple]:
-    begin, check = (at >> 16) & 0x7FFFFFFF, at >> 47
+def _ranges_of(doc_id, mark: bytes, at: int, starts: list[int]) -> Iterator[tuple]:
+    begin = (at >> 16) & 0x7FFFFFFF
     lo = None
     for k, p in enumerate(starts):
         lo = p if lo is None else lo
         if k + 1 == len(starts) or starts[k + 1] != p + 1:
-            yield doc_id, check, (begin + lo) << 32 | (p - lo + LENGTH)
+            yield doc_id, mark, (begin + lo) << 32 | (p - lo + LENGTH)
             lo = None
 
 
@@ -320,25 +326,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> Iterator[tuple]:
         rows = list(held.values())
         if len(rows) > 1 and any(n == 1 for n, *_ in rows):
-            for (n, doc_id, at, _), starts in zip(rows, repeated_starts([(d, at >> 8 & 0xFF) for _, _, at, d in rows]), strict=True):
+            for (n, doc_id, mark, at, _), starts in zip(rows, repeated_starts([(d, at >> 8 & 0xFF) for *_, at, d in rows]), strict=True):
                 if n == 1 and starts:
-                    yield from _ranges_of(doc_id, at, starts)
+                    yield from _ranges_of(doc_id, mark, at, starts)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        ids, checks, ranges = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(checks, pa.int32()), pa.array(ranges, pa.int64())], ["doc_id", "check", "range"])
+        ids, marks, ranges = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(ranges, pa.int64())], ["doc_id", "mark", "range"])
 
     ready: list[tuple] = []
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "stretch", "n", "doc_id", "at", "data")]
-        for anchor, stretch, n, doc_id, at, data in zip(*columns, strict=True):
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "stretch", "n", "doc_id", "mark", "at", "data")]
+        for anchor, stretch, n, doc_id, mark, at, data in zip(*columns, strict=True):
             if anchor != key:
                 ready.extend(done())
                 key, held = anchor, {}
                 if len(ready) > 10_000:
                     yield packed(ready)
                     ready = []
-            held.setdefault(stretch, (n, doc_id, at, data))
+            held.setdefault(stretch, (n, doc_id, mark, at, data))
     ready.extend(done())
     if ready:
         yield packed(ready)
@@ -380,7 +386,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Removed is every byte covered by a string of 200 bytes that also starts at
     another place of any text, the same one included. Texts are judged as they came.
     Null texts are empty, shorter texts lose nothing. Repeated rows are each other's
-    copies and lose all such bytes. ``kept`` holds the remaining bytes.
+    copies and lose all such bytes. ``kept`` holds the remaining bytes. Ids may be
+    null or repeated: a row is told from others by its id and a 128-bit hash of its text.
 
     1. Anchors that occur once are dropped after a pre-aggregated count.
     2. Stretches of the rest are counted. A stretch that occurs twice is removed.
@@ -396,19 +403,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     often = materialize(often)  # as a table it leaves the join with the runs free to split a hot anchor
     shared = materialize(runs.join(often, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
     stretches = materialize(
-        shared.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"))
+        shared.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "at")).alias("rep"))
     )
     several = stretches.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("_least"))
     several = several.filter("kinds > 1 and _least = 1")
     wanted = (
         stretches.join(several, F.col("anchor") == F.col("_anchor"))
-        .select(F.col("rep.doc_id").alias("_doc"), F.shiftright("rep.at", 47).cast("int").alias("_check"), F.struct("anchor", "stretch", "n", F.col("rep.at").alias("at"), (F.col("kinds") > HOT_STRETCHES).alias("split")).alias("w"))
-        .groupBy("_doc", "_check")
+        .select(F.col("rep.doc_id").alias("_doc"), F.col("rep.mark").alias("_mark"), F.struct("anchor", "stretch", "n", F.col("rep.at").alias("at"), (F.col("kinds") > HOT_STRETCHES).alias("split")).alias("w"))
+        .groupBy("_doc", "_mark")
         .agg(F.collect_list("w").alias("wanted"))
     )
     packed = map_batches(rows, _pack, _PACKED)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("check") == F.col("_check"))
-    cut = materialize(map_batches(packed.join(wanted, same).select("doc_id", "packed", "wanted"), _cut_out, _STRETCH))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+    cut = materialize(map_batches(packed.join(wanted, same).select("doc_id", "mark", "packed", "wanted"), _cut_out, _STRETCH))
     by_suffix = (
         cut.filter("not split").repartition("anchor").sortWithinPartitions("anchor", "stretch").mapInArrow(_compare, _RANGE)
     )
@@ -419,13 +426,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .filter("_n > 1")
     )
     from_at = (F.shiftright("at", 16).bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(1 << 32)) + F.col("at").bitwiseAND(F.lit(0xFF)) + F.lit(LENGTH - 1)
-    as_range = ["doc_id", F.shiftright("at", 47).cast("int").alias("check"), from_at.alias("range")]
+    as_range = ["doc_id", "mark", from_at.alias("range")]
     by_string = singles.join(twice, (F.col("anchor") == F.col("_a")) & (F.col("stretch") == F.col("_s"))).select(*as_range)
     copies = stretches.filter("n > 1").select(F.col("anchor").alias("_a"), F.col("stretch").alias("_s"))
     by_copy = shared.join(copies, (F.col("anchor") == F.col("_a")) & (F.col("stretch") == F.col("_s"))).select(*as_range)
     ranges = (
         by_copy.union(by_suffix).union(by_string)
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("check").alias("_check"))
-        .agg(F.collect_list("range").alias("ranges"))
+        .groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
+        .agg(F.collect_set("range").alias("ranges"))
     )
     return map_batches(packed.join(ranges, same, "left").select("doc_id", "n_bytes", "packed", "ranges"), _remove, _KEPT)

@@ -101,6 +101,40 @@ def test_repeats_against_all_strings(make, odd_rows, monkeypatch, hot):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == sorted(brute.remove_repeats([r[:2] for r in odd_rows]), key=repr)
 
 
+def test_texts_of_null_ids_with_one_checksum_keep_their_own_ranges(make):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, other, texts = noise(260), noise(230), {}
+    while True:  # two texts with equal low bits of their CRC, which share passages with others at different places
+        one, two = noise(40) + passage + noise(300), noise(400) + other + noise(60)
+        texts.setdefault(brute.crc(one) & 0xFFFF, {})[0] = one
+        texts.setdefault(brute.crc(two) & 0xFFFF, {})[1] = two
+        pair = next((texts[brute.crc(t) & 0xFFFF] for t in (one, two) if len(texts[brute.crc(t) & 0xFFFF]) == 2), None)
+        if pair:
+            break
+    rows = [(None, pair[0]), (None, pair[1]), (1, passage + noise(50)), (2, noise(20) + other)]
+    got = suffixes.remove_repeats(make(rows)).withColumn("sha", F.sha2("kept", 256))
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == sorted(brute.remove_repeats(rows), key=repr)
+
+
+def test_null_ids_do_not_join_other_texts(make, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(20):
+        words = [f"n{rng.randrange(500)}" for _ in range(60)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words, "tail"]))]
+    confirm = neardup._confirm
+
+    def counted(batches):
+        for batch in batches:
+            assert batch.num_rows <= len(rows)  # one row for each class, not one for each pair of null ids
+            yield batch
+
+    monkeypatch.setattr(neardup, "_confirm", lambda batches: confirm(counted(batches)))
+    got = rows_of(neardup.near_duplicates(make(rows)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near_duplicates(rows), key=repr)
+
+
 def test_long_text_is_cut_into_overlapping_pieces(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 1000)
     text = bytes(random.Random(1).randrange(97, 123) for _ in range(5500))
