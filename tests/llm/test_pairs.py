@@ -60,6 +60,15 @@ def test_min_max_values_agree_as_often_as_the_sets():
     assert abs((a == b).mean() - 300 / 500) < 0.03
 
 
+def test_bands_lose_a_pair_at_the_threshold_as_rarely_as_stated():
+    columns, rng, lost = neardup.MinMax().columns, np.random.default_rng(1), 0
+    assert len(np.unique(columns)) == columns.size and all(len({c % neardup.PERMUTATIONS for c in band}) == len(band) for band in columns)
+    for _ in range(20):
+        same = rng.random((10_000, 2 * neardup.PERMUTATIONS)) < neardup.SIMILAR / 100
+        lost += int((~same[:, columns].all(2).any(1)).sum())
+    assert lost <= 8  # 4 in a million of 200,000; 78 when the bands shared 128 values
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in graph.components(edges, "a", "b").collect()}
