@@ -12,7 +12,7 @@ from flowdrift.llm.text import quoted
 from flowdrift.session import materialize
 
 SHORTEST = 16
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST},}}(?![A-Za-z0-9+/_-])"
+SHORT = 6  # for values of a secret name and passwords in addresses
 BEFORE, AFTER = 64, 32  # characters of context that a finding keeps
 KNOWN_WORD = 20  # occurrences in the corpus that make a word known
 TRAIN_PER_CLASS = 10_000
@@ -22,6 +22,16 @@ THRESHOLD = 0.5
 # Public key formats and the words that name a secret or its opposite.
 PROVIDER = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})$"
 NAMES = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer)"
+_KEY = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST},}}(?![A-Za-z0-9+/_-])"
+# Behind a secret name and : or =. The short look back comes first, as few places pass it.
+_NAMED = NAMES.replace("(?i)", "(?i:") + r")[\"']?\s{0,2}[:=]\s{0,2}"
+_VALUE = "|".join(
+    [rf"(?<=[:=]\s{{0,2}}{q})(?<={_NAMED}{q})[^\s{q}]{{{SHORT},}}(?={q})" for q in "\"'"]
+    + [rf"(?<=[:=]\s{{0,2}})(?<={_NAMED})(?:[^\s\"'<>&,;]|[&,;](?!\w{{1,32}}[=:])){{{SHORT - 1},}}[^\s\"'<>&,;.:)\]}}]"]
+)
+_ADDRESS = rf"(?<=:)(?<=://[^\s:/@\"']{{0,64}}:)[^\s/\"'<>]{{{SHORT},}}(?=@)"
+# A whole key run that a value ends with stays as it is; else the longer value goes before the run.
+CANDIDATE = rf"{_KEY}(?=$|[\s\"'<>&,;)\]}}])|{_VALUE}|{_ADDRESS}|{_KEY}"
 HARMLESS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|uuid|revision|isbn|card|invoice|order)"
 
 FEATURES = [
@@ -35,7 +45,13 @@ def _share(text: Column, kind: str) -> Column:
 
 
 def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (doc_id, source, candidate, start, end, before, after): runs of at least 16 key characters, in code points."""
+    """Rows (doc_id, source, candidate, start, end, before, after, context), in code points.
+
+    Candidates are runs of at least 16 key characters, and runs of at least 6 characters
+    without blanks that are assigned to a secret name (up to the closing quote, or else up
+    to a quote, angle bracket or next assignment) or stand as password in an address.
+    ``before`` reaches back to the last candidate, ``context`` also over it.
+    """
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(source).cast("string").alias("source"), quoted(text).alias("text"))
     rows = rows.filter(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("candidate"), F.split("text", CANDIDATE, -1).alias("gap"))
@@ -47,8 +63,9 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     parts = materialize(rows.select("doc_id", "source", "row", F.posexplode(cut).alias("at", "x")).select("doc_id", "source", "row", "at", "x.*"))
     along = Window.partitionBy("row").orderBy("at")
     start = F.sum(F.col("n") + F.coalesce(F.length("candidate"), F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.length("candidate")
-    placed = parts.withColumns({"start": start, "after": F.lead("after").over(along)}).filter("candidate is not null")
-    return placed.select("doc_id", "source", "candidate", "start", (F.col("start") + F.length("candidate")).alias("end"), "before", F.coalesce("after", F.lit("")).alias("after"))
+    context = F.right(F.concat(F.coalesce(F.lag("candidate").over(along), F.lit("")), "before"), F.lit(BEFORE))
+    placed = parts.withColumns({"start": start, "after": F.lead("after").over(along), "context": context}).filter("candidate is not null")
+    return placed.select("doc_id", "source", "candidate", "start", (F.col("start") + F.length("candidate")).alias("end"), "before", F.coalesce("after", F.lit("")).alias("after"), "context")
 
 
 def known_words(docs: DataFrame, text: str = "text", least: int = KNOWN_WORD) -> DataFrame:
@@ -92,7 +109,7 @@ def candidate_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
             "uppers": _share(c, "[A-Z]"),
             "lowers": _share(c, "[a-z]"),
             "hexes": _share(c, "[0-9a-fA-F]"),
-            "others": _share(c, "[+_-]"),
+            "others": _share(c, "[^A-Za-z0-9/]"),
             "slashes": _share(c, "/"),
             "switches": switches / F.length(c),
             "variety": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
@@ -102,9 +119,9 @@ def candidate_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def weak_label(candidate: Column, before: Column) -> Column:
-    """1 for public key formats and mixed values assigned to a secret name, 0 for letters or digits alone and named checksums, else null."""
+    """1 for public key formats and mixed values assigned to a secret name or in an address, 0 for letters or digits alone and named checksums, else null."""
     mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
-    assigned = before.rlike(NAMES + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?$")
+    assigned = before.rlike(NAMES + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?$") | before.rlike(r"://[^\s:/@\"']{0,64}:$")
     return (
         F.when(candidate.rlike(PROVIDER), 1).when(before.rlike(HARMLESS + r"\W{0,4}$"), 0).when(assigned & mixed, 1).when(~mixed, 0)
     )
@@ -116,7 +133,7 @@ def with_context(found: DataFrame) -> DataFrame:
     Stored before the joins that follow, which keeps each generated method small.
     """
     flag = lambda c: c.cast("double")
-    before, after = F.col("before"), F.col("after")
+    before, after = F.col("context"), F.col("after")
     return found.withColumns(
         {
             "in_path": flag(before.rlike(r"[/\\.~]$") | after.rlike(r"^[\\.][A-Za-z0-9]")),
@@ -133,7 +150,8 @@ def with_context(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """Rows (doc_id, start, end, candidate_sha256, label, score, secret), one for each candidate.
 
-    Candidates are runs of 16 or more key characters. The forest sees their length,
+    Candidates are runs of 16 or more key characters, and shorter or other values that are
+    assigned to a secret name or stand as password in an address. The forest sees their length,
     character classes and transitions, how far known corpus words cover them, whether
     they stand in a path or address, the words before them and the share of candidates
     with a digit in their source. It learns from at most about ``per_class`` findings of

@@ -45,6 +45,24 @@ def test_secret_findings_and_their_places(make):
     assert sorted(rows) == sorted(zip(found, found, ['token = "', '" und ', ", "], ['"', ",", "."], strict=True))
 
 
+def test_short_values_of_secret_names_and_addresses(make):
+    cases = {
+        'password = "Tr0ub4dor&3"': "Tr0ub4dor&3",
+        "pwd: hunter2-2024, then": "hunter2-2024",
+        "see postgres://user:p4ss!w0rd@host/db": "p4ss!w0rd",
+        "api_key='a1.b2.c3$d4e5f6g7h8i9j0k1'": "a1.b2.c3$d4e5f6g7h8i9j0k1",
+        "a=1;password=x7!kq9;port=5432": "x7!kq9",
+        "my_long_prefix_of_the_password: v3ry.s3cret": "v3ry.s3cret",
+        f"token={KEY}&user=me": KEY,
+    }
+    texts = list(cases)
+    found = secret_scan.findings(make([*enumerate(texts), (90, "time: 12:30 password: no"), (91, "http://host:8080/a@b")]))
+    rows = secret_scan.with_context(found).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+    got = {texts[r["doc_id"]]: (r["candidate"], texts[r["doc_id"]][r["start"] : r["end"]], r["rule"]) for r in rows if r["candidate"] != "my_long_prefix_of_the_password"}
+    assert got == {t: (c, c, 1) for t, c in cases.items()}
+
+
 def test_secret_forest(make):
     rng = random.Random(2)
     hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
