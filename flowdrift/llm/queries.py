@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowdrift.llm import decontam, langid, mixing, neardup, pii, quality, secret_scan, sharding, suffixes, toxicity
+from flowdrift.llm import decontam, langid, manifest, mixing, neardup, periodic, pii, quality, secret_scan, sharding, suffixes, toxicity, vectors
 from flowdrift.llm.text import read
 from flowdrift.session import materialize
 
@@ -200,6 +200,129 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+# CRC-32 of the decimal id: one list element for each bit, the byte joins in at its first bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(xor(a, b) >> 1, 3988292384)
+  ELSE xor(a, b) >> 1 END), 4294967295)"""
+
+
+def _leaf_part(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_leaf_part(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (g, lvl, i, n, h) of the trees over ``leaves`` (g, i, n, h)."""
+    return f"""{name} AS (
+  SELECT g, 0 AS lvl, i, n, h FROM {leaves}
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, lvl, i // 2, n)"""
+
+
+def _fold(name: str, start: str, tree: str) -> str:
+    """Rows (doc_id, g, i, lvl, h, n): ``start`` (doc_id, g, i, h) folded up ``tree``; n = 1 at the top."""
+    step = "sha256(CASE WHEN s.h IS NULL THEN f.h WHEN (f.i >> f.lvl) % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END)"
+    return f"""{name} AS (
+  SELECT doc_id, s.g, s.i, 0 AS lvl, s.h, t.n FROM {start} s JOIN {tree} t ON t.g = s.g AND t.lvl = 0 AND t.i = s.i
+  UNION ALL
+  SELECT f.doc_id, f.g, f.i, f.lvl + 1, {step}, (f.n + 1) // 2
+  FROM {name} f LEFT JOIN {tree} s ON s.g = f.g AND s.lvl = f.lvl AND s.i = xor(f.i >> f.lvl, 1) WHERE f.n > 1)"""
+
+
+def _siblings(of: str, tree: str) -> str:
+    """Rows (doc_id, h): the siblings on the way of ``of`` (doc_id, g, i) up ``tree``, joined level by level."""
+    return f"""SELECT d.doc_id, string_agg(s.h, '' ORDER BY s.lvl) AS h
+  FROM {of} d JOIN {tree} s ON s.g = d.g AND s.n > 1 AND s.i = xor(d.i >> s.lvl, 1) GROUP BY d.doc_id"""
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS changed, coalesce({_CRC} % 7 = 0, false) AS hit
+  FROM documents),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM d),
+{_tree("t", "l")},
+s AS (SELECT '' AS g, g AS of, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM t WHERE n = 1),
+{_tree("u", "s")},
+r AS (SELECT h AS root FROM u WHERE n = 1),
+b AS (SELECT doc_id, g, i, CASE WHEN hit THEN changed ELSE leaf END AS h FROM l),
+{_fold("f", "b", "t")},
+c AS (SELECT f.doc_id, s.g, s.i, f.h FROM f JOIN s ON s.of = f.g WHERE f.n = 1),
+{_fold("e", "c", "u")},
+low AS ({_siblings("l", "t")}),
+high AS ({_siblings("c", "u")})
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.root, sha256(coalesce(low.h, '') || coalesce(high.h, '')) AS proof_sha256,
+  e.h AS folded_root, e.h = r.root AS verified
+FROM l JOIN s ON s.of = l.g JOIN e ON e.doc_id = l.doc_id AND e.n = 1 LEFT JOIN low ON low.doc_id = l.doc_id
+  LEFT JOIN high ON high.doc_id = l.doc_id, r
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited_documents(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_periodic_runs",
+    f"""
+WITH d AS MATERIALIZED (
+  SELECT *, len(v) AS n FROM (
+    SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS v FROM documents)),
+a AS (SELECT *, CASE WHEN n > 0 THEN h // 10 % n END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM a),
+w AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: v[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE v END AS w FROM p),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM w),
+e AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e),
+r AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM g GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+m AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY ALL),
+k AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest
+  FROM m GROUP BY doc_id),
+b AS (
+  SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+z AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM m),
+c AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM x WHERE NOT EXISTS (FROM z WHERE z.doc_id = x.doc_id AND z.i = x.i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  coalesce(digest, sha256('')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.document_runs(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_embedding_near_dedup",
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x),
+r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, e.y FROM r JOIN e ON e.x = r.reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
+SELECT d.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, d.vec_id = component_id AS kept
+FROM embeddings d JOIN c ON c.vec_id = d.vec_id LEFT JOIN n ON n.x = d.vec_id
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_vectors(read(spark, sf_dir, "embeddings"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 

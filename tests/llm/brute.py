@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -149,3 +150,119 @@ def shards(rows, count=24, share=64):
 
 def crc(text):
     return zlib.crc32(data(text))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(row, tampered=False):
+    doc, text, lang, source, n_chars = row
+    if tampered and n_chars is not None:
+        n_chars += 1
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    return sha("".join(part(v) for v in (doc, source, lang, n_chars, text)))
+
+
+def levels(nodes, fanout):
+    out = [list(nodes)]
+    while len(out[-1]) > 1:
+        out.append([sha("".join(out[-1][i : i + fanout])) for i in range(0, len(out[-1]), fanout)])
+    return out
+
+
+def siblings(tree, at, fanout):
+    out = []
+    for level in tree[:-1]:
+        first = at - at % fanout
+        out.append("".join(level[first:at] + level[at + 1 : first + fanout]))
+        at //= fanout
+    return "".join(out)
+
+
+def manifest(rows, fanout=2):
+    """[(doc_id, text, lang, source, n_chars)] to [(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)]."""
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault("" if r[2] is None else "=" + r[2], []).append(r)
+    names = sorted(groups, key=str.encode)
+    for name in names:
+        groups[name].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {name: levels([leaf(r) for r in groups[name]], fanout) for name in names}
+    top = levels([trees[name][-1][0] for name in names], fanout)
+    out = []
+    for g, name in enumerate(names):
+        for k, r in enumerate(groups[name]):
+            changed = [leaf(x) for x in groups[name]]
+            changed[k] = leaf(r, r[0] is not None and crc(str(r[0])) % 7 == 0)
+            subroots = [trees[x][-1][0] for x in names]
+            subroots[g] = levels(changed, fanout)[-1][0]
+            folded = levels(subroots, fanout)[-1][0]
+            proof = sha(siblings(trees[name], k, fanout) + siblings(top, g, fanout))
+            out.append((r[0], leaf(r), trees[name][-1][0], top[-1][0], proof, folded, folded == top[-1][0]))
+    return out
+
+
+def planted(doc, w):
+    h = 1 if doc is None else crc(str(doc))
+    if h % 10 or not w:
+        return w
+    g = h // 10
+    a = g % len(w)
+    p = 1 + (len(w) - a) // (3 + g % 8)
+    return [w[a + (i - a) % p if i >= a else i] for i in range(len(w))]
+
+
+def runs(w):
+    """Runs (start, length, period) of a list of words."""
+    found = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + q < len(w):
+            begin = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i > begin and i - begin + q >= max(6, 4 * q):
+                found.setdefault((begin, i - begin + q), q)
+            i += 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def periodic(rows):
+    out = []
+    for doc, text in rows:
+        w = planted(doc, WORD.findall(data(text)))
+        found = runs(w)
+        best = None
+        for r in found:
+            if best is None or r[1] * best[2] > best[1] * r[2]:
+                best = r
+        gone = {i for s, n, q in found for i in range(s + q, s + n)}
+        digest = sha("".join(f"{s},{n},{q}\n" for s, n, q in found))
+        kept = hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()
+        out.append((doc, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], digest, kept))
+    return out
+
+
+def similar(rows, least=0.9):
+    """[(vec_id, embedding)] to [(vec_id, n_links, component_id, kept)]."""
+    good = lambda v: bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    label, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            b = rows[j][1]
+            if good(a) and good(b) and len(a) == len(b):
+                if sum(x * y for x, y in zip(a, b, strict=True)) >= least * math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)):
+                    links[i], links[j], label[find(i)] = links[i] + 1, links[j] + 1, find(j)
+    out = []
+    for i, (vec, v) in enumerate(rows):
+        known = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        component = min(known, default=None) if good(v) else vec
+        out.append((vec, links[i], component, vec == component))
+    return out
