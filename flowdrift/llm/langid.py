@@ -19,7 +19,7 @@ MAX_BITS = 63
 UNDETERMINED = "und"
 MARGIN = 0.2  # a lead of the best codeword below this is ambiguous
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and number characters such as ½ that are none
 # Bytes of letters in lower case, everything else a blank; bytes above 0x7F stay as they are.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256)], np.uint8)
 
@@ -142,7 +142,7 @@ def _scored_schema(bits: int) -> T.StructType:
 
 
 def _has_letter(data: bytes | None) -> bool:
-    return bool(data) and _LETTER.search(data.decode("utf-8", "replace")) is not None
+    return bool(data) and any(m.group().isalpha() for m in _LETTER.finditer(data.decode("utf-8", "replace")))
 
 
 _RESULT = T.StructType(
