@@ -12,7 +12,6 @@ from flowdrift.session import materialize
 
 SHARDS = 24
 ROW_BYTES = 8
-GROUP_SHARE = 64  # a group over this fraction of an even shard may be cut between its documents
 CELLS = 1 << 16
 
 
@@ -98,8 +97,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each document, law ``bytes``.
 
     Size is the length in UTF-8 plus 8; null counts as an empty text. Equal texts are
-    an atomic group; a group larger than a 64th of an even shard may be cut between
-    its documents, so that copies of one text cannot unbalance the shards. Groups
+    an atomic group; only a group that is larger than an even shard, so that no
+    division into near equal shards has room for it, is cut between its documents. Groups
     are ordered by the MD5 of their text, documents in a group by id. The capacity
     is the smallest with which the ordered groups fit into ``shards`` contiguous
     shards. Slots count from 0 in each shard. An empty table gives no rows. Rows with
@@ -120,8 +119,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str
     groups = narrow.groupBy("_text").agg(F.sum("size").alias("_bytes"))
     groups = materialize(groups)
     total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    # At most shards * GROUP_SHARE groups can be that large.
-    large = groups.filter(F.col("_bytes") * (shards * GROUP_SHARE) > total).select(F.col("_text").alias("_large"))
+    # Fewer groups than shards can be that large.
+    large = groups.filter(F.col("_bytes") * shards > total).select(F.col("_text").alias("_large"))
     marked = narrow.join(F.broadcast(large), F.col("_text") == F.col("_large"), "left")
     marked = marked.withColumn("_sub", F.when(F.col("_large").isNotNull(), F.coalesce("doc_id", F.lit(-1)))).drop("_large")
     order = [F.col("_text"), F.col("_sub"), F.col("doc_id")]

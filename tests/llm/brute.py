@@ -121,7 +121,7 @@ def remove_repeats(rows, length=200):
     return out
 
 
-def shards(rows, count=24, share=64):
+def shards(rows, count=24):
     """[(doc_id, text)] to the sorted (shard, size) pairs and the smallest capacity."""
     groups: dict = {}
     for doc, t in rows:
@@ -130,7 +130,7 @@ def shards(rows, count=24, share=64):
     atoms = []
     for k in sorted(groups):
         sizes = [n for _, n in sorted(groups[k], key=lambda x: (x[0] is not None, x[0] or 0))]
-        atoms.extend(sizes if sum(sizes) * count * share > total else [sum(sizes)])
+        atoms.extend(sizes if sum(sizes) * count > total else [sum(sizes)])
 
     def need(capacity):
         n, held = 1, 0

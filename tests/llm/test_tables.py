@@ -7,6 +7,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowdrift.llm import mixing, quality, sharding
@@ -50,6 +51,15 @@ def test_shards_against_brute_force(make, odd_rows):
     assert all(0 <= s < 24 for s in load) and all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        got = sharding.shard(docs)
+        even = got.agg({"size": "sum"}).first()[0] / sharding.SHARDS
+        cut = got.join(docs.select("doc_id", "text"), "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("n"), F.sum("size").alias("bytes"))
+        assert cut.filter("n > 1").filter(F.col("bytes") <= even).count() == 0
+
+
 @pytest.mark.parametrize("cells", [32, 400, 1 << 16])
 def test_cuts_do_not_depend_on_the_grid(spark, cells):
     rng = random.Random(cells)
