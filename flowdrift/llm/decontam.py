@@ -96,8 +96,8 @@ _FOUND = T.StructType(
 )
 
 
-def _scan(rows: DataFrame, pairs: list[tuple[str, bytes]]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(pairs)  # at most PART_BYTES of patterns
+def _scan(rows: DataFrame, shared) -> DataFrame:
+    """Hits of one automaton in (doc_id, data) rows; ``shared`` is the broadcast of its patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(shared.value)
@@ -117,6 +117,21 @@ def _scan(rows: DataFrame, pairs: list[tuple[str, bytes]]) -> DataFrame:
     return rows.mapInArrow(run, _FOUND)
 
 
+def _united(batch: pa.RecordBatch) -> pa.Table:
+    """The hits that several automata found in a text, as one automaton would have found them."""
+    at = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names) if c != "doc_id"}
+    out: dict[str, list] = {f.name: [] for f in _FOUND.fields if f.name != "doc_id"}
+    for data, ranges, items in zip(at["data"], at["ranges"], at["items"], strict=True):
+        data = data or b""
+        whole = merged([(r >> 32, r & 0xFFFFFFFF) for r in ranges or []])
+        out["check"].append(zlib.crc32(data))
+        out["n_words"].append(len(alnum_words(data)))
+        out["ranges"].append([a << 32 | b for a, b in whole])
+        out["items"].append(sorted(set(items or [])))
+        out["spans"].append(original_spans(data, whole))
+    return pa.table({"doc_id": batch.column(batch.schema.names.index("doc_id")), **out})
+
+
 _RESULT = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -144,17 +159,41 @@ def _result(batch: pa.RecordBatch) -> pa.Table:
     )
 
 
-def pattern_groups(benchmark: DataFrame, item_id: str, item_text: str, part_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """(item, pattern) pairs, dealt into groups of at most about ``part_bytes``; one group when all fit."""
+def pattern_parts(benchmark: DataFrame, item_id: str, item_text: str, part_bytes: int) -> tuple[DataFrame, int]:
+    """A stored table (item, pattern, part) of all patterns and the number of parts, each of at most about ``part_bytes``."""
     items = benchmark.select(F.coalesce(quoted(item_id).cast("string"), F.lit("")), quoted(item_text).cast("binary"))
     pairs = materialize(map_batches(items, _patterns, _PAIR).distinct())
     size = pairs.agg(F.sum(F.octet_length("pattern") + F.octet_length("item"))).first()[0] or 0
     parts = 1 if size <= part_bytes else -(-2 * size // part_bytes)
-    groups = []
-    for p in range(parts):
-        own = pairs if parts == 1 else pairs.filter(F.pmod(F.xxhash64("item", "pattern"), F.lit(parts)) == p)
-        groups.append([(r["item"], bytes(r["pattern"])) for r in own.toLocalIterator()])
-    return groups
+    return pairs.withColumn("part", F.pmod(F.xxhash64("item", "pattern"), F.lit(parts))), parts
+
+
+def _broadcast_part(pairs: DataFrame, part: int):
+    """The patterns of one part, at most about PART_BYTES of them."""
+    rows = pairs.filter(F.col("part") == part).toLocalIterator()
+    return pairs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["pattern"])) for r in rows])
+
+
+def _found(rows: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """Hits of all patterns in (doc_id, data) rows.
+
+    Parts are taken in turn: one is sent out, used and released before the next, so the driver holds one at a time.
+    Only documents with hits are stored in between. Their hits meet the text again for its spans.
+    """
+    if parts == 1:
+        return _scan(rows, _broadcast_part(pairs, 0))
+    hits = None
+    for part in range(parts):
+        shared = _broadcast_part(pairs, part)
+        some = materialize(_scan(rows, shared).filter("size(ranges) > 0").select("doc_id", "check", "ranges", "items"))
+        shared.destroy()
+        hits = some if hits is None else hits.union(some)
+    hits = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("check").alias("_check")).agg(
+        F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.crc32(F.coalesce("data", F.lit(b""))) == F.col("_check"))
+    return map_batches(rows.join(hits, same, "left").select("doc_id", "data", "ranges", "items"), _united, _FOUND)
 
 
 def contamination(
@@ -165,34 +204,17 @@ def contamination(
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.
     Each 13 consecutive words of an item, or all of a shorter one, are a pattern; a
     document is scanned once with the automaton of all patterns. ``spans`` are the
-    hit stretches in code points of the original text (null when several automata
-    were needed), ``check`` is the CRC-32 of the text. Null texts have no words; a
-    null item id counts as the empty id; equal items and repeated rows change
-    nothing; with an empty benchmark nothing is hit.
+    hit stretches in code points of the original text, ``check`` is the CRC-32 of the
+    text. Null texts have no words; a null item id counts as the empty id; equal items
+    and repeated rows change nothing; with an empty benchmark nothing is hit.
 
     Patterns are counted first. More than ``part_bytes`` of them are dealt to several
-    automata, each scanned apart, and the hits of a document are joined by id and
-    checksum; the result is the same.
+    automata, each scanned in turn, and the hits of a document are joined by id and
+    checksum; every column is the same.
     """
-    groups = pattern_groups(benchmark, item_id, item_text, part_bytes)
+    pairs, parts = pattern_parts(benchmark, item_id, item_text, part_bytes)
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("data"))
-    scans = [_scan(rows, pairs) for pairs in groups]
-    if len(scans) == 1:
-        return map_batches(scans[0], _result, _RESULT)
-    hits = scans[0].filter("size(ranges) > 0")
-    for s in scans[1:]:
-        hits = hits.union(s.filter("size(ranges) > 0"))
-    hits = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("check").alias("_check")).agg(
-        F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("_ranges"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"),
-    )
-    base = _scan(rows, []).drop("ranges", "items", "spans")
-    joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("check") == F.col("_check")), "left")
-    none, no_item = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    whole = joined.select(
-        "doc_id", "check", "n_words", F.coalesce("_ranges", none).alias("ranges"), F.coalesce("_items", no_item).alias("items"), F.lit(None).cast(_SPANS).alias("spans")
-    )
-    return map_batches(whole, _result, _RESULT)
+    return map_batches(_found(rows, pairs, parts), _result, _RESULT)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -200,9 +222,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "d
 
     With one automaton the rows are judged where they are read, without a shuffle.
     """
-    groups = pattern_groups(benchmark, "item_id", "text", part_bytes)
-    if len(groups) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(groups[0])
+    pairs, parts = pattern_parts(benchmark, "item_id", "text", part_bytes)
+    if parts == 1:
+        shared = _broadcast_part(pairs, 0)
         place = docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +239,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "d
 
         return docs.mapInArrow(run, docs.schema)
     key, sure = free_name(docs.columns, "_id"), free_name(docs.columns, "_crc")
-    judged = contamination(docs, benchmark, doc_id, text, part_bytes=part_bytes)
+    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("data"))
+    judged = map_batches(_found(rows, pairs, parts), _result, _RESULT)
     dirty = judged.filter("contaminated").select(F.col("doc_id").alias(key), F.col("check").alias(sure)).distinct()
     same = quoted(doc_id).cast("long").eqNullSafe(quoted(key)) & (F.crc32(F.coalesce(quoted(text), F.lit("")).cast("binary")) == quoted(sure))
     return docs.join(dirty, same, "left_anti")
