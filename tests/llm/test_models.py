@@ -26,6 +26,26 @@ def test_toxicity_on_labels_that_it_has_not_seen(spark):
     assert c.get((True, 0), 0) <= 0.02 * (c.get((True, 0), 0) + c[False, 0]), c
 
 
+def test_out_of_fold_probabilities_know_nothing_of_their_rows(spark):
+    """With labels set by a coin, a probability that had seen its own label would be right more often than not."""
+    docs = read(spark, "/root/testdata/sf0.1", "documents")
+    coin = lambda salt: F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(2)).cast("int")
+    labels = docs.select("doc_id", coin("t").alias("toxic"), coin("q").alias("quality"))
+    learn, vocabularies = toxicity.learning_rows(docs, labels, "doc_id", "text", 2_000, toxicity.TERMS)
+    *_, sample = toxicity.fit_chain(learn, toxicity._places(vocabularies)[1])
+    for name in ("low_quality", "toxic"):
+        right, n = sample.agg(F.sum(((F.col(f"p_{name}") >= 0.5).cast("int") == F.col(name)).cast("int")), F.count(F.lit(1))).first()
+        assert n > 3_000 and abs(right / n - 0.5) < 0.03, (name, right / n)
+
+
+def test_toxicity_of_long_texts_and_clashing_names(spark, make):
+    docs = make([(k, "good plain words here" if k % 2 else "vile words here", "en", "a") for k in range(60)] + [(90, "fine " * 50_000 + "vile", "en", "a"), (91, "fine " * 50_000 + "good plain", "en", "a")])
+    docs = docs.withColumn("toxic", F.lit(1)).withColumn("x", F.lit("x")).withColumn("fold", F.lit("f"))
+    labels = spark.createDataFrame([(k, 1, 1 - k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert got[90] and not got[91] and all(got[k] == (k % 2 == 0) for k in range(60))
+
+
 def test_toxicity_without_labels_and_with_one_class(spark, make):
     docs = make([(1, "a b"), (2, None), (None, ""), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -136,6 +156,9 @@ def test_language_held_out(spark):
 
 def test_language_odd_inputs(make):
     rows = [(k, "the house and the garden of the king", "en") for k in range(8)] + [(20 + k, "das haus und der garten des königs", "de") for k in range(8)]
+    numbers = [(54, "½ ²", None), (55, "① ②", None), (56, "Ⅷ", None), (57, "½ a", None)]
+    pred = {r["doc_id"]: r["lang_pred"] for r in langid.identify(make(rows + numbers)).collect()}
+    assert [pred[k] for k in (54, 55, 56)] == ["und"] * 3 and pred[57] != "und"
     odd = [(50, None, "en"), (51, "", "de"), (52, "123 ?!", "en"), (None, "der garten und das haus", None), (50, None, "en"), (53, "der garten und das haus " * 20_000, "de")]
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(make(rows + odd)).collect()]
     assert all(p == "und" and s == 0 for d, p, s in got if d in (50, 51, 52)) and len(got) == len(rows + odd)
