@@ -119,31 +119,27 @@ _SETS = T.StructType(
 )
 
 
-def _described(batch: pa.RecordBatch) -> pa.Table:
-    shingler, minmax = _tools()
-    counts, cls, nodes, keys = [], [], [], []
-    for data in batch.column(1).to_pylist():
-        s = shingler.set_of(data or b"")
-        counts.append(len(s))
-        if len(s) == 0:
-            cls.append(None), nodes.append(None), keys.append(None)
-            continue
-        key = set_key(s)
-        cls.append(key)
-        nodes.append(int(np.frombuffer(key, np.int64)[0]))
-        keys.append(minmax.keys(s).view(np.int64))
-    return pa.table(
-        {"doc_id": batch.column(0), "n_shingles": counts, "cls": pa.array(cls, pa.binary()), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "mark": batch.column(2)}
-    )
-
-
-_TOOLS: list = []
-
-
-def _tools() -> tuple[Shingler, MinMax]:
-    if not _TOOLS:
-        _TOOLS.append((Shingler(), MinMax()))
-    return _TOOLS[0]
+def _describing():
+    """A function that describes a batch. Its word memory is empty when a job ships it and lives as long as a task."""
+    shingler, minmax = Shingler(), MinMax()
+
+    def described(batch: pa.RecordBatch) -> pa.Table:
+        counts, cls, nodes, keys = [], [], [], []
+        for data in batch.column(1).to_pylist():
+            s = shingler.set_of(data or b"")
+            counts.append(len(s))
+            if len(s) == 0:
+                cls.append(None), nodes.append(None), keys.append(None)
+                continue
+            key = set_key(s)
+            cls.append(key)
+            nodes.append(int(np.frombuffer(key, np.int64)[0]))
+            keys.append(minmax.keys(s).view(np.int64))
+        return pa.table(
+            {"doc_id": batch.column(0), "n_shingles": counts, "cls": pa.array(cls, pa.binary()), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "mark": batch.column(2)}
+        )
+
+    return described
 
 
 def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similar: int = SIMILAR) -> list[tuple[int, int]]:
@@ -253,7 +249,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("data"))
     rows = rows.withColumn("mark", F.xxhash64(F.coalesce("data", F.lit(b""))))
-    described = materialize(map_batches(rows, _described, _SETS))
+    described = materialize(map_batches(rows, _describing(), _SETS))
     band = described.filter("keys is not null").select("node", F.explode("keys").alias("key"))
     hot = materialize(
         band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "low")

@@ -97,21 +97,24 @@ def suffix_array(symbols: list[int]) -> list[int]:
 _RNG = np.random.default_rng(23)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
-_POWERS: list[np.ndarray] = []
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(2 * PIECE + 1, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=np.uint64))
-    return _POWERS[0], _POWERS[1]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
 
 
-def find_runs(data: np.ndarray, owners_end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of concatenated texts: first start, number of starts, anchor offset, anchor hash, stretch hash."""
-    power, inverse = _powers()
+def find_runs(data: np.ndarray, owners_end: np.ndarray, powers: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of concatenated texts: first start, number of starts, anchor offset, anchor hash, stretch hash.
+
+    ``powers`` are those of ``_powers`` for more places than there are bytes; without them they are made here.
+    """
+    power, inverse = powers or _powers(len(data) + 1)
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -173,9 +176,11 @@ def _runs(batch: pa.RecordBatch) -> pa.Table | None:
     ids = batch.column(0)
     texts = [t or b"" for t in batch.column(1).to_pylist()]
     marks = pa.array([_mark(t) for t in texts], pa.binary())
+    size = sum(map(len, texts)) + LENGTH * (1 + sum(len(t) // PIECE for t in texts))
+    powers = _powers(min(size, 2 * PIECE) + 1)  # once a batch, no longer than its longest piece
     tables = []
     for data, ends, owner, shift in _pieces(texts):
-        first, length, offset, anchor, stretch = find_runs(data, ends)
+        first, length, offset, anchor, stretch = find_runs(data, ends, powers)
         which = np.searchsorted(ends, first, side="right")
         begins = np.concatenate([[0], ends[:-1]])
         start = first - begins[which] + shift[which]
@@ -224,6 +229,7 @@ def _cut_out(batch: pa.RecordBatch) -> pa.Table | None:
     unpress = zstandard.ZstdDecompressor()
     out: dict[str, list] = {f.name: [] for f in _STRETCH.fields}
     names = batch.schema.names
+    powers = _powers(256 + LENGTH)  # a stretch has no more starts than eight bits count
     seen = set()
     for doc_id, mark, packed, wanted in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc_id", "mark", "packed", "wanted")), strict=True):
         if (doc_id, mark) in seen:
@@ -236,7 +242,7 @@ def _cut_out(batch: pa.RecordBatch) -> pa.Table | None:
             if not w["split"]:
                 rows = [(w["anchor"], w["stretch"], w["n"], doc_id, mark, w["at"], False, data)]
             else:
-                sums, (power, inverse) = np.zeros(len(data) + 1, np.uint64), _powers()
+                sums, (power, inverse) = np.zeros(len(data) + 1, np.uint64), powers
                 np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * power[: len(data)], out=sums[1:])
                 keys = mix64((sums[LENGTH:] - sums[:-LENGTH]) * inverse[:count]).view(np.int64)
                 rows = [(w["anchor"], int(k), w["n"], doc_id, mark, (start + i) << 16 | 1, True, None) for i, k in enumerate(keys)]

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from flowdrift.llm import decontam, graph, neardup, suffixes
@@ -91,6 +92,21 @@ def test_contamination(spark, make, part_bytes):
     assert sorted((r[0] for r in clean.select("doc_id").collect()), key=repr) == sorted((d for d, *_, bad in brute.contamination(CHECKED, ITEMS) if not bad), key=repr)
 
 
+def test_parts_give_every_column_alike(spark, make, odd_rows):
+    """Many small automata and one large one, on texts with several hits, repeated rows and null ids."""
+    rows = [*CHECKED, *odd_rows, (None, " ".join(f"x{k}" for k in range(1, 30))), (None, None)]
+    items = spark.createDataFrame([*ITEMS, (50, odd_rows[8][1]), (51, odd_rows[8][1][200:500])], "item_id long, text string")
+    one, many = (sorted(map(repr, decontam.contamination(make(rows), items, part_bytes=n).collect())) for n in (decontam.PART_BYTES, 150))
+    assert one == many and any("start" in r for r in one)
+
+
+def test_functions_sent_to_executors_stay_small(make, odd_rows):
+    suffixes.find_runs(np.zeros(300_000, np.uint8), np.array([300_000]))
+    described = neardup._describing()
+    for fn in (suffixes._runs, suffixes.find_runs, described, neardup._confirm):
+        assert len(cloudpickle.dumps(fn)) < 100_000
+
+
 def test_spans_point_into_the_original(spark, make):
     text = "Före: ONE -- two! x1\tx2?"
     spans = decontam.contamination(make([(1, text)]), spark.createDataFrame(ITEMS, "item_id long, text string")).first()["spans"]
