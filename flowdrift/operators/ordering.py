@@ -28,14 +28,16 @@ def with_range_bucket(df: DataFrame, value: str, name: str = "_bucket", buckets:
     cut points reach the driver. They are literals of the plan afterwards, so every
     branch and every retried task agrees on them.
     """
+    # One range is still computed from the row: a literal would be folded, and joins on it lose their key.
+    single = F.pmod(F.hash(value), F.lit(1)).cast("double")
     if buckets is None:
         buckets = -(-df.count() // RANGE_ROWS)
     if buckets < 2:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, single)
     cuts = df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) < 3:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, single)
     return Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
 
 
