@@ -86,6 +86,7 @@ class DriftConfig:
     max_rows: int = 10000
     use_pca: bool = False
     scope: str = "model"
+    adaptive_chunks: ChunkConfig | None = None
 
     def __post_init__(self) -> None:
         _check(self.variant in VARIANTS, f"unknown model variant: {self.variant}")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowdrift.config import EVALUATORS, ConformalConfig
 from flowdrift.operators import conformal
+from flowdrift.operators.control import Levels
 from flowdrift.operators.metrics import model_metrics
 from flowdrift.operators.ml import fresh_estimator
 from flowdrift.operators.ordering import last_n
@@ -189,3 +190,10 @@ def make_evaluator(kind: str):
     }[kind]
 
 
+def observe_calibration(control: Levels, evaluator: Calibrated) -> Levels:
+    """Let a significance controller see the calibration scores: class by class for the cross evaluator, else all at once."""
+    seeds = evaluator.seeds.orderBy("seq").collect()  # at most `window` rows per class
+    groups = [[r for r in seeds if r["class"] == cls] for cls in sorted({r["class"] for r in seeds})] if evaluator.evaluator == "cce" else [seeds]
+    for rows in groups:
+        control.observe([r["class"] for r in rows], [r["score"] for r in rows])
+    return control

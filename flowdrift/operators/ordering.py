@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowdrift.session import materialize
 
@@ -185,20 +186,90 @@ def assign_chunks(df: DataFrame, n: int, order: list[str], by: list[str] | None
     return number_rows(df, order, by).withColumn("chunk_id", F.floor((F.col("row_no") - 1) / n).cast("bigint"))
 
 
-def last_n(df: DataFrame, n: int, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """The newest ``n`` rows, overall or per ``by`` group.
+def _tie_break(df: DataFrame) -> Column:
+    """A hash of the whole row: rows equal in their order are taken by it, so only identical rows are left to chance."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
-    Overall it is a top-n, where each task keeps ``n`` rows before the merge.
+
+def _newest_rows(df: DataFrame, n: int, order: list[str], small: int) -> DataFrame:
+    """The ``n`` largest rows by ``order``, found by narrowing down the place of the cut.
+
+    A pass counts how many rows lie above each of some pivots of the open interval. The two pivots around the
+    ``n``-th row bound the next interval, until that holds at most ``small`` rows; those alone are sorted. Rows
+    above the interval are taken by a filter, so no task merges the candidates of all others.
+    """
+    ranked = df.withColumn("_key", F.struct(*[F.col(c) for c in order], _tie_break(df).alias("_tie")))
+    above, left, inside, size = None, n, ranked, ranked.count()
+    if size <= n:
+        return df
+    while size > small:
+        pivots = _pivots(inside, size)
+        known = inside.sparkSession.createDataFrame([(pivots,)], T.StructType([T.StructField("_p", T.ArrayType(inside.schema["_key"].dataType))]))
+        pivot = known.select("_p").scalar()
+        counts = list(inside.agg(*[F.sum((F.col("_key") > pivot[i]).cast("long")) for i in range(len(pivots))]).first())
+        # The n-th row is not above the pivot ``high`` and lies above the one before it.
+        high = next((i for i, c in enumerate(counts) if c < left), None)
+        low = len(pivots) - 1 if high is None else high - 1
+        taken = 0 if high is None else counts[high]
+        if taken:
+            gone = inside.filter(F.col("_key") > pivot[high])
+            above = gone if above is None else above.union(gone)
+        if high is not None:
+            inside = inside.filter(F.col("_key") <= pivot[high])
+        if low >= 0:
+            inside = inside.filter(F.col("_key") > pivot[low])
+        left -= taken
+        now = (size if low < 0 else counts[low]) - taken
+        if now == size:
+            break  # the smallest row is a pivot, so all rows left are identical
+        size = now
+    rest = inside.orderBy(F.desc("_key")).limit(left) if size <= small else _some_of(inside, left)
+    return (rest if above is None else above.union(rest)).drop("_key")
+
+
+PIVOTS = 32
+
+
+def _pivots(inside: DataFrame, size: int) -> list:
+    """The smallest key and some others, drawn by their hashes, in ascending order as Spark compares them."""
+    chance, share = F.xxhash64("_key", F.lit(size)), max(1, size // (2 * PIVOTS))
+    lowest = inside.agg(F.min("_key").alias("_key"))
+    while True:
+        drawn = inside.select("_key").filter(F.pmod(chance, F.lit(share)) == 0).distinct().orderBy(chance).limit(PIVOTS)
+        found = [r["_key"] for r in drawn.union(lowest).distinct().orderBy("_key").collect()]
+        if len(found) > 1 or share == 1:
+            return found
+        share = max(1, share // 64)  # few different keys, of many rows each
+
+
+def _some_of(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` of identical rows: whole partitions first, then the beginning of one."""
+    stored = materialize(rows.withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright("_mid", 33)
+    sizes = {r["p"]: r["n"] for r in stored.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    allowed, left = [], n
+    for p in sorted(sizes):
+        allowed.append((p, min(left, sizes[p])))
+        left -= allowed[-1][1]
+    quota = rows.sparkSession.createDataFrame(allowed, "_p bigint, _q bigint")
+    inside = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.join(F.broadcast(quota), part == F.col("_p")).filter(inside < F.col("_q")).select(*rows.columns)
+
+
+def last_n(df: DataFrame, n: int, order: list[str], by: list[str] | None = None, small: int = RANGE_ROWS) -> DataFrame:
+    """The newest ``n`` rows, overall or per ``by`` group. Of rows with equal ``order`` those with the larger hash are newer.
+
+    Overall the place of the cut is narrowed down by counting until at most ``small`` rows are open.
     Per group, Spark cuts each group to ``n`` rows before the shuffle for small
-    ``n`` (window group limit); larger ``n`` goes through distributed numbering.
+    ``n`` (window group limit); larger ``n`` goes through distributed numbering. The rows are the same.
     """
-    newest = [F.desc(c) for c in order]
     if not by:
-        return df.orderBy(*newest).limit(n)
+        return _newest_rows(df, n, order, small)
+    tied = df.withColumn("_tie", _tie_break(df))
     if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        w = Window.partitionBy(*by).orderBy(*newest)
-        return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
-    numbered = number_rows(df, order, by, "_rank")
+        w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in [*order, "_tie"]])
+        return tied.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank", "_tie")
+    numbered = number_rows(tied, [*order, "_tie"], by, "_rank")
     sizes = df.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_size"))
     match = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by])
     return numbered.join(sizes, match).filter(F.col("_rank") > F.col("_size") - n).select(*df.columns)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from flowdrift.config import DriftConfig
 from flowdrift.operators.clean import fill_mean
 from flowdrift.operators.conformal import detect_drift
-from flowdrift.operators.control import adaptive_significance, drift_ema
+from flowdrift.operators.control import Levels, adaptive_significance, drift_ema
+from flowdrift.operators.evaluators import observe_calibration
 from flowdrift.operators.ml import align_to_model
 from flowdrift.operators.ordering import assign_chunks
 from flowdrift.session import materialize
@@ -55,7 +56,8 @@ def replay(
         first = scored.groupBy("chunk_id").agg(
             F.count(F.lit(1)).alias("rows"), F.min_by("class", order).alias("class"), F.min_by("p_value", order).alias("p_value")
         )
-        tested = adaptive_significance(first, config.significance, ["chunk_id"])
+        start = observe_calibration(Levels(config.significance), model.evaluator)
+        tested = adaptive_significance(first, config.significance, ["chunk_id"], start=start)
         chunks = tested.select("chunk_id", "rows", "alpha", F.coalesce(F.col("p_value") < F.col("alpha"), F.lit(False)).alias("drift"))
     followed = drift_ema(chunks.withColumn("chunk_no", F.col("chunk_id") + 1))
     return scored, followed.drop("chunk_no")

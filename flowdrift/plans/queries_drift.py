@@ -477,7 +477,26 @@ def adaptive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sizes.select("chunk_no", "chunk_size"))
 
 
-@query("j1_adaptive_significance")
+# The controller row by row: the window of every class after each row of its stream, then one step of each class at a time.
+LEVELS_SQL = f"""WITH RECURSIVE {RAW_FLOWS_SQL}, rows AS MATERIALIZED (
+ SELECT event_id, dst_ip, label AS class, totlen_fwd_pkts / 30000 AS p, row_number() OVER (PARTITION BY dst_ip ORDER BY event_id) AS step_no FROM raw_flows),
+seen AS MATERIALIZED (SELECT dst_ip, class, list(p ORDER BY step_no) AS ps FROM rows GROUP BY ALL),
+windows AS MATERIALIZED (SELECT dst_ip, step_no, class, n, list_slice(ps, greatest(1, n - 99), n) AS win FROM (
+ SELECT r.dst_ip, r.step_no, s.class, s.ps, sum((r.class = s.class)::int) OVER (PARTITION BY r.dst_ip, s.class ORDER BY r.step_no)::bigint AS n
+ FROM rows r JOIN seen s ON s.dst_ip = r.dst_ip)),
+levels AS (
+ SELECT dst_ip, class, 0::bigint AS step_no, 0.05::double AS alpha FROM seen
+ UNION ALL
+ SELECT dst_ip, class, step_no, CASE WHEN rate > 0.3 THEN round(least(alpha + 0.02::double, 0.3::double), 10)
+  WHEN rate < 0.05 THEN round(greatest(alpha - 0.02::double, 0.05::double), 10) ELSE alpha END
+ FROM (SELECT l.dst_ip, l.class, w.step_no, l.alpha, CASE WHEN w.n > 0 THEN len(list_filter(w.win, lambda x: x < l.alpha))::double / len(w.win) ELSE 0.1 END AS rate
+  FROM levels l JOIN windows w ON w.dst_ip = l.dst_ip AND w.class = l.class AND w.step_no = l.step_no + 1))"""
+
+
+@query(
+    "j1_adaptive_significance",
+    f"{LEVELS_SQL} SELECT r.event_id, r.dst_ip, r.class, r.p AS p_value, r.step_no, l.alpha FROM rows r JOIN levels l USING (dst_ip, class, step_no)",
+)
 def adaptive_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream per destination, classes are the labels; the p-value is the record's share of a price range."""
     rows = raw_flows(spark, sf_dir).select(

@@ -191,12 +191,19 @@ def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.score(rows.drop("fwd_iat_mean"), fitted, threshold=0.5).select("event_id", "prediction", "predicted_name")
 
 
-@query("g13_score_trailing")
+@query(
+    "g13_score_trailing",
+    f"""WITH {RAW_FLOWS_SQL}, chunked AS (SELECT event_id, label <> 'Benign' AS attack, epoch_us(timestamp) AS end_us,
+ (row_number() OVER (ORDER BY timestamp, event_id) - 1) // 1000 AS chunk_id FROM raw_flows),
+newest AS (SELECT chunk_id AS after_chunk, max(max(end_us)) OVER (ORDER BY chunk_id) AS newest FROM chunked GROUP BY chunk_id)
+SELECT c.event_id, c.chunk_id, n.after_chunk, attack::bigint AS label, true AS known FROM chunked c JOIN newest n
+ ON c.chunk_id <= n.after_chunk AND c.end_us >= n.newest - 3600000000""",
+)
 def score_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
     fitted = ml.train(rows, MODEL_COLUMNS, variant="dt", maxDepth=5)
     seen = ml.score_trailing(rows, fitted, "timestamp", ["timestamp", "event_id"], 1000, 3_600_000_000)
-    return seen.select("event_id", "chunk_id", "after_chunk", "label", "prediction")
+    return seen.select("event_id", "chunk_id", "after_chunk", F.col("label").cast("bigint"), F.col("prediction").isin(0.0, 1.0).alias("known"))
 
 
 def _explained(spark: SparkSession, sf_dir: str):

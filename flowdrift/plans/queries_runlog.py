@@ -131,10 +131,10 @@ def extract_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k5_rescale_percent",
-    f"""WITH {_REPORTS_SQL}, tops AS (SELECT path, metric, max(value) AS top FROM series GROUP BY ALL)
-SELECT o_orderkey, s.path AS classifier, series, s.metric, cast(step AS bigint) AS step,
- round(CASE WHEN top > 1.05 THEN value / 100 ELSE value END, 9) AS value
-FROM series s JOIN tops t ON s.path = t.path AND s.metric = t.metric""",
+    f"""WITH {_REPORTS_SQL.replace("series AS (", "series AS MATERIALIZED (")}
+SELECT o_orderkey, path AS classifier, series, metric, cast(step AS bigint) AS step,
+ round(CASE WHEN max(value) OVER (PARTITION BY path, metric) > 1.05 THEN value / 100 ELSE value END, 9) AS value
+FROM series""",
 )
 def rescale_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports(spark, sf_dir).withColumnRenamed("path", "classifier")

@@ -12,6 +12,7 @@ from flowdrift.config import ChunkConfig, ConformalConfig, DriftConfig
 from flowdrift.operators import ml, sampling
 from flowdrift.operators.evaluators import make_evaluator
 from flowdrift.operators.features import WINDOW_FEATURES
+from flowdrift.plans.queries_drift import LEVELS_SQL
 from flowdrift.plans.queries_models import MODEL_COLUMNS, labelled
 from flowdrift.plans.queries_features import RATES, _hops_sql
 from flowdrift.plans.registry import query
@@ -19,9 +20,10 @@ from flowdrift.plans.tables import FLOWS_SQL, RAW_FLOWS_SQL, flows, raw_flows, r
 from flowdrift.session import ensure_checkpoint_dir, materialize
 from flowdrift.sources import readers, sinks
 from flowdrift.sources.rolling_log import RollingLog
-from flowdrift.streaming.drift import DriftStream
+from flowdrift.streaming.drift import DriftStream, ProgressLog
 from flowdrift.streaming.hopping import stream_hopping_features
-from flowdrift.streaming.state import last_n_stream, rechunk_stream, significance_stream
+from flowdrift.streaming.chunks import chunk_stream, chunk_table, rechunk_stream
+from flowdrift.streaming.state import last_n_stream, significance_stream
 
 
 def scratch(spark: SparkSession) -> str:
@@ -222,7 +224,7 @@ def calibrate_approx_tce(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams -----------------------------------------------------------------------
 
 
-@query("j1_significance_stream")
+@query("j1_significance_stream", f"{LEVELS_SQL} SELECT r.dst_ip AS stream, r.event_id AS seq, r.class, r.p AS p_value, l.alpha FROM rows r JOIN levels l USING (dst_ip, class, step_no)")
 def j1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw_flows(spark, sf_dir).select(
         F.col("event_id").alias("seq"), "dst_ip", F.col("label").alias("class"), (F.col("totlen_fwd_pkts") / 30000).alias("p_value")
@@ -231,11 +233,65 @@ def j1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(significance_stream(readers.stream_flows(spark, path, schema, "parquet"), "dst_ip"))
 
 
-@query("j4_rechunk_stream")
+def _loop_sql(rows: str, hit: str, tail: bool) -> str:
+    """Chunks of each stream by the fold, chunk after chunk: ``rows`` has stream, n (from 0), seq, flag; ``hit`` is the verdict."""
+    size = "CASE WHEN ema > 0.2 THEN greatest(1, size // 2) WHEN ema < 0.05 THEN least(1000, size + 5) ELSE size END"
+    inside = "least(l.place + l.size, c.total)" if tail else "l.place + l.size"
+    more = "l.place < c.total" if tail else "l.place + l.size <= c.total"
+    return f"""{rows},
+counted AS MATERIALIZED (SELECT *, sum(flag::int) OVER (PARTITION BY stream ORDER BY n) AS upto FROM numbered),
+totals AS (SELECT stream, count(*) AS total FROM numbered GROUP BY stream),
+loop AS (
+ SELECT stream, 0::bigint AS chunk_no, 0::bigint AS begin_at, 0::bigint AS place, 10::bigint AS size, 0::bigint AS taken, 0::double AS ema, 0::bigint AS drifts, false AS drift
+ FROM totals
+ UNION ALL
+ SELECT stream, chunk_no, begin_at, place, {size}, size, ema, drifts, drift FROM (
+  SELECT l.stream, l.chunk_no + 1 AS chunk_no, l.place AS begin_at, {inside} AS place, l.size,
+   0.9::double * l.ema + (1::double - 0.9::double) * ((l.drifts + ({hit})::int)::double / (l.chunk_no + 1)) AS ema,
+   l.drifts + ({hit})::int AS drifts, {hit} AS drift
+  FROM loop l JOIN totals c ON c.stream = l.stream AND {more}
+  JOIN counted f ON f.stream = l.stream AND f.n = l.place JOIN counted z ON z.stream = l.stream AND z.n = {inside} - 1))
+SELECT l.stream, n.seq, l.chunk_no, l.place - l.begin_at AS chunk_rows, l.drift, l.size AS next_size, l.place - l.begin_at = l.taken AS whole
+FROM loop l JOIN numbered n ON n.stream = l.stream AND n.n >= l.begin_at AND n.n < l.place WHERE l.chunk_no > 0"""
+
+
+_J4_ROWS = f"""WITH RECURSIVE {RAW_FLOWS_SQL}, numbered AS MATERIALIZED (
+ SELECT dst_ip AS stream, event_id AS seq, label = 'TCPAttack' AS flag, row_number() OVER (PARTITION BY dst_ip ORDER BY event_id) - 1 AS n FROM raw_flows)"""
+
+
+@query("j4_rechunk_stream", _loop_sql(_J4_ROWS, "f.flag", False))
 def j4_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw_flows(spark, sf_dir).select(F.col("event_id").alias("seq"), "dst_ip", (F.col("label") == "TCPAttack").alias("drift"))
     path, schema = arriving(rows, "seq", 4)
-    return drained(rechunk_stream(readers.stream_flows(spark, path, schema, "parquet"), "dst_ip", config=ChunkConfig()))
+    return drained(rechunk_stream(readers.stream_flows(spark, path, schema, "parquet"), "dst_ip", config=ChunkConfig())).drop("alpha")
+
+
+@query("j4_rechunk_tail", _loop_sql(_J4_ROWS, "f.flag", True))
+def j4_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unfinished chunks too: a row of another stream, far ahead in time, lets the watermark pass all others."""
+    rows = raw_flows(spark, sf_dir).select(
+        F.col("event_id").alias("seq"), "dst_ip", (F.col("label") == "TCPAttack").alias("drift"), F.timestamp_seconds(F.col("event_id") + 86400).alias("at")
+    )
+    path, schema = arriving(rows, "seq", 4)
+    clock = rows.agg((F.max("seq") + 10_000).alias("seq")).select(
+        "seq", F.lit("clock").alias("dst_ip"), F.lit(False).alias("drift"), F.timestamp_seconds(F.col("seq") + 86400).alias("at")
+    )
+    clock.coalesce(1).write.mode("append").parquet(path)
+    stream = readers.stream_flows(spark, path, schema, "parquet").withWatermark("at", "10 minutes")
+    found = drained(rechunk_stream(stream, "dst_ip", config=ChunkConfig(), tail_after="20 minutes", ts="at"))
+    return found.filter("stream <> 'clock'").drop("alpha")
+
+
+_J5_ROWS = f"""WITH RECURSIVE {RAW_FLOWS_SQL}, numbered AS MATERIALIZED (
+ SELECT dst_ip AS stream, event_id AS seq, totlen_fwd_pkts < 1500 AS flag, row_number() OVER (PARTITION BY dst_ip ORDER BY event_id) - 1 AS n FROM raw_flows)"""
+
+
+@query("j5_adaptive_chunks", _loop_sql(_J5_ROWS, "z.upto - f.upto + f.flag::int > 0.1 * (z.n - f.n + 1)", False))
+def j5_adaptive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop of the drift stream for a fixed test: a chunk drifts where over a tenth of its rows do, and that sets the next size."""
+    rows = raw_flows(spark, sf_dir).select(F.col("event_id").alias("seq"), "dst_ip", (F.col("totlen_fwd_pkts") < 1500).alias("row_drift"))
+    path, schema = arriving(rows, "seq", 4)
+    return drained(chunk_stream(readers.stream_flows(spark, path, schema, "parquet"), "dst_ip", mode="rate", rate=0.1)).drop("alpha")
 
 
 @query(
@@ -296,33 +352,80 @@ def _drift_stream(spark: SparkSession, sf_dir: str, seeded: bool) -> DriftStream
     return run
 
 
-@query("j5_drift_stream")
+def _arrivals_sql(files: int) -> str:
+    """Rows with the micro-batch that ``arriving`` puts them into."""
+    return f"""{RAW_FLOWS_SQL}, arrived AS (SELECT event_id, least(floor((event_id - low) / ((high - low)::double / {files})), {files - 1})::bigint AS batch_id
+ FROM raw_flows, (SELECT min(event_id) AS low, max(event_id) AS high FROM raw_flows))"""
+
+
+@query(
+    "j5_drift_stream",
+    f"""WITH {_arrivals_sql(3)} SELECT batch_id AS chunk_id, count(*) AS rows, true AS refitted_on_drift, true AS earlier_model, true AS judged
+ FROM arrived GROUP BY batch_id""",
+)
 def j5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded from all flows, then replayed over them in three micro-batches; retrains where drift is found."""
-    return _drift_stream(spark, sf_dir, True).chunks().drop("latency_s", "controller")
+    """Seeded from all flows, then replayed over them in three micro-batches; retrains where drift is found, for the next batch on."""
+    chunks = _drift_stream(spark, sf_dir, True).chunks()
+    return chunks.select(
+        "chunk_id", "rows", (F.col("retrained") == F.col("drift")).alias("refitted_on_drift"),
+        (F.col("version") < F.col("chunk_id")).alias("earlier_model"), F.col("p_first").between(0, 1).alias("judged"),
+    )
 
 
-@query("j9_bootstrap_calibration")
+@query(
+    "j9_bootstrap_calibration",
+    f"WITH {_arrivals_sql(3)} SELECT batch_id, event_id, true AS known, true AS judged FROM arrived WHERE batch_id > 0",
+)
 def j9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No model at the start: the first micro-batch calibrates and emits nothing."""
-    return _drift_stream(spark, sf_dir, False).scored().select("batch_id", "event_id", "prediction", "class", "p_value", "row_drift")
+    """No model at the start: the first micro-batch calibrates and emits nothing, all rows of the others come out judged."""
+    scored = _drift_stream(spark, sf_dir, False).scored()
+    judged = F.col("p_value").between(0, 1) & F.col("row_drift").isNotNull() & (F.col("class") == F.col("prediction"))
+    return scored.select(F.col("batch_id").cast("bigint"), "event_id", F.col("prediction").isin(0, 1).alias("known"), judged.alias("judged"))
 
 
-@query("j7_pseudo_label_log")
+@query(
+    "j7_pseudo_label_log",
+    f"""WITH {_arrivals_sql(3)}, logged AS (SELECT batch_id, event_id, 'prediction' AS label_source FROM arrived
+ UNION ALL SELECT -1, event_id, 'truth' FROM arrived)
+SELECT event_id AS seq, label_source, true AS known FROM logged ORDER BY batch_id DESC, event_id DESC LIMIT 2000""",
+)
 def j7_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after a run: its newest rows, labelled with predictions, before them the rows of the seed."""
     run = _drift_stream(spark, sf_dir, True)
-    return run.log.read(spark).groupBy("BinLabel", "label_source", "drift").agg(F.count(F.lit(1)).alias("rows"))
+    return run.log.read(spark).select("seq", "label_source", F.col("BinLabel").isin(0, 1).alias("known"))
 
 
-@query("j8_retrain_from_log")
+@query("j8_retrain_from_log", "SELECT true AS one_for_each_refit, true AS accuracies, true AS seeded")
 def j8_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every model version of a run, the seed first."""
-    return _drift_stream(spark, sf_dir, True).calibrations()
+    """Every refit leaves the quality of its version, the seed first."""
+    run = _drift_stream(spark, sf_dir, True)
+    refits = run.chunks().agg(F.count_if("retrained").alias("refits"), F.min("version").alias("first"))
+    quality = run.calibrations().agg(F.count(F.lit(1)).alias("versions"), F.bool_and(F.col("accuracy").between(0, 1)).alias("accuracies"))
+    one = quality.withColumn("refits", refits.select("refits").scalar()).withColumn("first", refits.select("first").scalar())
+    return one.select((F.col("versions") == F.col("refits") + 1).alias("one_for_each_refit"), "accuracies", (F.col("first") == -1).alias("seeded"))
 
 
-@query("h10_latency_summary")
+@query("h10_latency_summary", "SELECT 3::bigint AS chunks, true AS measured")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drift_stream(spark, sf_dir, True).latency()
+    run = _drift_stream(spark, sf_dir, True)
+    shortest = run.chunks().agg(F.min("latency_s")).scalar()
+    return run.latency().select(F.col("chunks").cast("bigint"), (shortest > 0).alias("measured"))
+
+
+@query("h10_progress_log", f"WITH {_arrivals_sql(12)} SELECT batch_id, count(*) AS rows, true AS timed FROM arrived GROUP BY batch_id")
+def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and seconds of every micro-batch of a stream, kept by a listener."""
+    path, schema = arriving(raw_flows(spark, sf_dir).select("event_id"), "event_id", 12)
+    log = ProgressLog(spark, scratch(spark), every=5)
+    spark.streams.addListener(log)
+    try:
+        stream = readers.stream_flows(spark, path, schema, "parquet").writeStream.format("noop").option("checkpointLocation", scratch(spark))
+        running = stream.trigger(availableNow=True).start()
+        running.awaitTermination()
+        log.wait_for(running)
+    finally:
+        spark.streams.removeListener(log)
+    return log.table().filter((F.col("rows") > 0) & (F.col("query") == str(running.id))).select("batch_id", "rows", (F.col("latency_s") > 0).alias("timed"))
 
 
 @query("drift_replay")

@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.utils import AnalysisException
 
 from flowdrift.config import DriftConfig, SignificanceConfig
 from flowdrift.operators.clean import clean_flows, fill_mean
-from flowdrift.operators.evaluators import Calibrated, make_evaluator
+from flowdrift.operators.control import Levels
+from flowdrift.operators.evaluators import Calibrated, make_evaluator, observe_calibration
 from flowdrift.operators.label import quarantine_bad_labels
 from flowdrift.operators.metrics import latency_summary, model_metrics
 from flowdrift.operators.ml import align_to_model, fit_features, make_estimator
 from flowdrift.session import materialize
 from flowdrift.sources.rolling_log import RollingLog
-from flowdrift.streaming.state import SignificanceState
+from flowdrift.streaming.chunks import CHUNKED, ChunkLoop, chunk_table
+
+_STATE = "version bigint, controller string, learned bigint, loop string"
+STATES_KEPT = 10  # only the last batch is ever repeated
 
 
 @dataclass
@@ -69,8 +77,14 @@ class DriftStream:
     """State of one drift stream, kept under ``base``: log, model versions, scored rows, chunk results.
 
     Everything a micro-batch writes is stored under its batch id, and it reads
-    only versions of earlier batches. A batch that is repeated after a failure
-    therefore overwrites its own output and leaves the rest alone.
+    only what earlier batches left: one row of state (model version, controller,
+    chunk loop), found by the name of its folder. A batch that is repeated after a
+    failure therefore overwrites its own output and leaves the rest alone.
+
+    With ``config.adaptive_chunks`` the rows of a batch are cut into chunks by the
+    verdicts on the chunks before (``ChunkLoop``); rows that fill no chunk wait for
+    the next batch, or for ``finish``. A model is refitted after a batch with a drift
+    chunk and serves the next batch on; ``retrain=False`` keeps the first model.
     """
 
     spark: SparkSession
@@ -84,6 +98,7 @@ class DriftStream:
     learn_from_truth: bool = False
     classifier_params: dict = field(default_factory=dict)
     on_batch: Callable[[DataFrame, int], None] | None = None
+    retrain: bool = True
 
     def __post_init__(self) -> None:
         self.base = self.base.rstrip("/")
@@ -92,13 +107,28 @@ class DriftStream:
 
     # versions ---------------------------------------------------------------
 
-    def _newest_before(self, batch_id: int) -> int | None:
-        """The newest version of an earlier batch (the seed counts as batch -1)."""
-        try:
-            versions = self.spark.read.schema("version bigint, batch bigint").parquet(f"{self.base}/versions")
-        except AnalysisException:
-            return None
-        return versions.filter(F.col("batch") < batch_id).agg(F.max("version")).first()[0]
+    def _batches(self, name: str) -> list[int]:
+        """Ids of the folders of one kind, by their names."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        names = (f.getPath().getName() for f in files.listStatus(folder))
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch_id="))
+
+    def _state_before(self, batch_id: int) -> tuple[int | None, dict]:
+        """The newest earlier batch that left a state (the seed counts as batch -1), and that state."""
+        earlier = [b for b in self._batches("state") if b < batch_id]
+        if not earlier:
+            return None, {"version": None, "controller": None, "learned": None, "loop": None}
+        return earlier[-1], self.spark.read.schema(_STATE).parquet(f"{self.base}/state/batch_id={earlier[-1]}").first().asDict()
+
+    def _keep_state(self, batch_id: int, **state) -> None:
+        row = tuple(state.get(c.split()[0]) for c in _STATE.split(", "))
+        self.spark.createDataFrame([row], _STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/state/batch_id={batch_id}")
+        for old in self._batches("state")[:-STATES_KEPT]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/state/batch_id={old}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _path(self, version: int) -> str:
         return f"{self.base}/models/version={version + 1}"
@@ -113,8 +143,7 @@ class DriftStream:
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/versions/v={model.version + 1}")
         self._held = model
 
-    def model_for(self, batch_id: int) -> ModelVersion | None:
-        version = self._newest_before(batch_id)
+    def model_for(self, version: int | None) -> ModelVersion | None:
         if version is None:
             return None
         if self._held is None or self._held.version != version:
@@ -138,6 +167,7 @@ class DriftStream:
         if model is None:
             raise ValueError("training data holds one class only")
         self._save(model)
+        self._keep_state(-1, version=-1)
 
     # one micro-batch -----------------------------------------------------------
 
@@ -158,7 +188,8 @@ class DriftStream:
         rows = cleaned.count()
         if not rows:
             return
-        model = self.model_for(batch_id)
+        before, state = self._state_before(batch_id)
+        model = self.model_for(state["version"])
         if model is None:
             self._bootstrap(cleaned, batch_id)
             return
@@ -173,10 +204,12 @@ class DriftStream:
         path = f"{self.base}/scored/batch_id={batch_id}"
         scored.select(*kept).write.mode("overwrite").parquet(path)
         result = self.spark.read.parquet(path)
-        decision = self._test(result, model, batch_id)
+        decision = self._test(result, model, batch_id, before, state)
         self.log.append(self._pseudo_labelled(result, decision["drift"]), batch_id)
         self.log.prune(self.spark)
-        decision["retrained"] = decision["drift"] and self._retrain(batch_id)
+        decision["retrained"] = self.retrain and decision["drift"] and self._retrain(batch_id)
+        version = batch_id if decision["retrained"] else model.version
+        self._keep_state(batch_id, version=version, learned=model.version, controller=decision["controller"], loop=decision["loop"])
         self._record(result, batch_id, rows, model.version, decision, time.time() - started)
         if self.on_batch is not None:
             self.on_batch(result.withColumn("drift", F.lit(decision["drift"])), batch_id)
@@ -190,6 +223,7 @@ class DriftStream:
         model = fit_version(rows, self.columns, self.config, batch_id, label, **self.classifier_params)
         if model is not None:
             self._save(model)
+            self._keep_state(batch_id, version=batch_id)
 
     def _score(self, prepared: DataFrame, model: ModelVersion) -> DataFrame:
         vector = "features_pca" if self.config.use_pca else "features"
@@ -205,9 +239,9 @@ class DriftStream:
         flagged = model.evaluator.flags(judged, self.config.conformal.rule, self.config.conformal.significance)
         return flagged.withColumnsRenamed({"_prediction": "prediction", "drift": "row_drift"}).drop("features")
 
-    def _test(self, scored: DataFrame, model: ModelVersion, batch_id: int) -> dict:
+    def _test(self, scored: DataFrame, model: ModelVersion, batch_id: int, before: int | None, state: dict) -> dict:
         """Decision for the batch; only its few numbers reach the driver."""
-        out = {"drift": False, "p_first": None, "class_first": None, "alpha": None, "controller": None}
+        out = {"drift": False, "p_first": None, "class_first": None, "alpha": None, "controller": None, "loop": None}
         if model.evaluator is None:
             return out
         c = self.config.conformal
@@ -218,34 +252,77 @@ class DriftStream:
         ).first()
         decided = {"first": first["first"], "any": first["any"], "rate": (first["rate"] or 0.0) > c.rate}
         out.update(p_first=first["p"], class_first=first["class"])
-        if self.config.significance is not None and first["p"] is not None:
-            control = self._significance(model, batch_id, self.config.significance)
-            control.update([first["class"]], [first["p"]])
-            out["alpha"] = control.levels[first["class"]]
-            decided["first"] = first["p"] < out["alpha"]
-            out["controller"] = json.dumps([[k, control.levels[k], list(control.history[k])] for k in control.levels])
-        out["drift"] = bool(decided[c.mode])
+        control = None if self.config.significance is None else self._levels(model, state, self.config.significance)
+        if self.config.adaptive_chunks is not None:
+            loop = self._loop(state, control)
+            cut = self._cut(self._narrow(scored, batch_id), batch_id, before, loop)
+            out["loop"] = cut.agg(F.max("loop")).first()[0]
+            out["drift"] = bool(cut.agg(F.bool_or("drift")).first()[0])
+            control = self._loop({"loop": out["loop"]}, None).levels
+        elif control is not None and first["p"] is not None:
+            control.observe([first["class"]], [first["p"]])
+            out["alpha"] = control.alpha(first["class"])
+            out["drift"] = first["p"] < out["alpha"]
+        else:
+            out["drift"] = bool(decided[c.mode])
+        if control is not None:
+            out["controller"] = json.dumps([[k, level, seen] for k, (level, seen) in control.held.items()])
         return out
 
-    def _significance(self, model: ModelVersion, batch_id: int, config: SignificanceConfig) -> SignificanceState:
+    def _levels(self, model: ModelVersion, state: dict, config: SignificanceConfig) -> Levels:
         """The controller after the previous batch; after a retrain it lives on and learns the new calibration scores too."""
-        past, control = self.chunks(), SignificanceState(config)
-        if past is not None:
-            seen = past.filter((F.col("chunk_id") < batch_id) & F.col("controller").isNotNull())
-            last = seen.agg(F.max_by(F.struct("controller", "version"), "chunk_id")).first()[0]
-            if last is not None:
-                held = json.loads(last["controller"])
-                control = SignificanceState(config, {k: a for k, a, _ in held}, {k: h for k, _, h in held})
-                if last["version"] == model.version:
-                    return control
-        seeds = model.evaluator.seeds.orderBy("seq").collect()  # at most `window` rows per class
-        if model.evaluator.evaluator == "cce":
-            for cls in sorted({r["class"] for r in seeds}):
-                mine = [r["score"] for r in seeds if r["class"] == cls]
-                control.update([cls] * len(mine), mine)
-        else:
-            control.update([r["class"] for r in seeds], [r["score"] for r in seeds])
-        return control
+        control = Levels(config)
+        if state["controller"] is not None:
+            control = Levels(config, {k: (level, seen) for k, level, seen in json.loads(state["controller"])})
+            if state["learned"] == model.version:
+                return control
+        return observe_calibration(control, model.evaluator)
+
+    # adaptive chunks -----------------------------------------------------------
+
+    def _loop(self, state: dict, control: Levels | None) -> ChunkLoop:
+        c = self.config
+        loop = ChunkLoop(c.adaptive_chunks, c.conformal.mode, c.conformal.rate, c.significance)
+        if state["loop"] is not None:
+            loop.load(state["loop"])
+        if control is not None:
+            loop.levels = control
+        return loop
+
+    @staticmethod
+    def _narrow(scored: DataFrame, batch_id: int) -> DataFrame:
+        return scored.select(F.lit(batch_id).cast("bigint").alias("arrived"), F.col("seq").cast("bigint").alias("seq"), F.col("class").alias("kind"), F.col("p_value").cast("double").alias("p_value"), "row_drift")
+
+    def _cut(self, rows: DataFrame | None, batch_id: int, before: int | None, loop: ChunkLoop, flush: bool = False) -> DataFrame:
+        """Rows that waited and new ones with their chunks, stored under the batch id; rows without a chunk wait on."""
+        waiting = None
+        if before is not None and before in self._batches("cuts"):
+            waiting = self.spark.read.parquet(f"{self.base}/cuts/batch_id={before}").filter("chunk_no IS NULL").select("arrived", "seq", "kind", "p_value", "row_drift")
+        parts = [p for p in (waiting, rows) if p is not None]
+        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        kinds, names = ", ".join(f"`{c}` {t}" for c, t in both.dtypes), [*both.columns, *(c.split()[0] for c in CHUNKED.split(", "))]
+
+        def one(pdf):
+            done, rest = loop.cut(pdf.sort_values(["arrived", "seq"], ignore_index=True).astype({"kind": object}), flush)
+            whole = done if rest.empty else rest if done.empty else pd.concat([done, rest], ignore_index=True)
+            return whole.reindex(columns=names).assign(loop=[loop.dump()] + [None] * (len(whole) - 1))
+
+        cut = both.groupBy(F.lit(0)).applyInPandas(one, f"{kinds}, {CHUNKED}, loop string")
+        path = f"{self.base}/cuts/batch_id={batch_id}"
+        cut.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def finish(self) -> None:
+        """Close the unfinished chunk of a stream that has ended; a later batch takes its rows up again instead."""
+        last = self._batches("state")[-1]
+        _, state = self._state_before(last + 1)
+        if last in self._batches("cuts"):
+            self._cut(None, last + 1, last, self._loop(state, None), flush=True)
+
+    def adaptive_chunks(self) -> DataFrame | None:
+        """One row for each chunk of the loop."""
+        cuts = self._table("cuts")
+        return None if cuts is None else chunk_table(cuts.filter("chunk_no IS NOT NULL"), [])
 
     def _pseudo_labelled(self, result: DataFrame, drift: bool) -> DataFrame:
         """Log rows labelled with the prediction; a known truth replaces it where that is allowed."""
@@ -330,6 +407,57 @@ class DriftStream:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+class ProgressLog(StreamingQueryListener):
+    """Keeps the progress of every micro-batch of a query in a table, however many there are.
+
+    Spark itself remembers the last hundred only. Rows are gathered and written ``every`` so many batches, and when
+    the query ends. A batch that is run again is reported again; ``table`` takes the last report.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, every: int = 50) -> None:
+        self.spark, self.base, self.every = spark, base.rstrip("/"), every
+        self.rows, self.newest, self.lock = [], {}, threading.Lock()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.rows.append((str(p.id), int(p.batchId), int(p.numInputRows), float(p.batchDuration) / 1000, p.timestamp))
+        self.newest[str(p.id)] = int(p.batchId)
+        if len(self.rows) >= self.every:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.flush()
+
+    def flush(self) -> None:
+        with self.lock:  # who asks for the table waits for a write that is under way
+            rows, self.rows = self.rows, []
+            if rows:
+                self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(f"{self.base}/part={uuid.uuid4().hex}")
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 30.0) -> None:
+        """Reports come a little after their batch: wait until that of the query's last batch is here."""
+        last = query.lastProgress
+        ends = time.time() + seconds
+        while last is not None and time.time() < ends and self.newest.get(str(last["id"]), -1) < int(last["batchId"]):
+            time.sleep(0.05)
+
+    def table(self) -> DataFrame:
+        """One row for each batch: query, batch_id, rows, latency_s, at."""
+        self.flush()
+        found = self.spark.read.schema(PROGRESS).parquet(f"{self.base}/part=*")
+        last = F.max_by(F.struct("rows", "latency_s", "at"), "at").alias("last")
+        return found.groupBy("query", "batch_id").agg(last).select("query", "batch_id", "last.*")
+
+
+PROGRESS = "query string, batch_id bigint, rows bigint, latency_s double, at string"
+
+
 def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Recent micro-batches of a query: id, rows and seconds."""
     schema = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("latency_s", T.DoubleType())])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,14 @@ def stream_hopping_features(
     """Window features in append mode: a window is emitted once the watermark has passed its end.
 
     Windows start at ``anchor_us`` plus multiples of the step (a stream has no
-    earliest row). Counts per window and address are one stateful aggregation,
-    the window itself a second one, so state holds one row per open window and address.
+    earliest row). Three aggregations follow each other: flows per pane (a stretch
+    that no window cuts) and address, panes per window and address, and the window
+    itself. Only closed panes are copied into their windows, so the state of the flows
+    holds one row per open pane and address, whatever size / step is.
     """
     size_us, step_us = parse_duration_us(size), parse_duration_us(step)
-    window = F.window(
-        F.col(ts), f"{size_us} microseconds", f"{step_us} microseconds", f"{anchor_us % step_us} microseconds"
-    )
+    pane_us, start = gcd(size_us, step_us), f"{anchor_us % step_us} microseconds"
+    pane = F.window(F.col(ts), f"{pane_us} microseconds", f"{pane_us} microseconds", f"{anchor_us % pane_us} microseconds")
     features = [*WINDOW_SUMS.values(), *WINDOW_MEANS.values(), *WINDOW_MINS.values(), *WINDOW_MAXS.values()]
     sided = flows.withWatermark(ts, watermark).select(ts, *features, sides().alias("_side"))
     is_src = F.col("_side.kind") == SRC
@@ -44,25 +47,27 @@ def stream_hopping_features(
         ts, F.col("_side.kind").alias("_kind"), F.col("_side.ip").alias("_ip"),
         *[F.when(is_src, F.col(c)).alias(c) for c in features],
     )
-    per_ip = sided.groupBy(window.alias("_w"), "_kind", "_ip").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.unix_micros(F.col(ts))).alias("_first"),
-        F.max(F.unix_micros(F.col(ts))).alias("_last"),
-        *[F.sum(c).alias(c) for c in WINDOW_SUMS.values()],
-        *[F.sum(c).alias(c) for c in WINDOW_MEANS.values()],
-        *[F.count(c).alias(f"_n_{c}") for c in WINDOW_MEANS.values()],
-        *[F.min(c).alias(c) for c in WINDOW_MINS.values()],
-        *[F.max(c).alias(c) for c in WINDOW_MAXS.values()],
-    )
+    parts = {
+        "_n": (F.count(F.lit(1)), F.sum),
+        "_first": (F.min(F.unix_micros(F.col(ts))), F.min),
+        "_last": (F.max(F.unix_micros(F.col(ts))), F.max),
+        **{f"_s_{c}": (F.sum(c), F.sum) for c in dict.fromkeys([*WINDOW_SUMS.values(), *WINDOW_MEANS.values()])},
+        **{f"_c_{c}": (F.count(c), F.sum) for c in WINDOW_MEANS.values()},
+        **{f"_l_{c}": (F.min(c), F.min) for c in WINDOW_MINS.values()},
+        **{f"_h_{c}": (F.max(c), F.max) for c in WINDOW_MAXS.values()},
+    }
+    in_pane = sided.groupBy(pane.alias("_pane"), "_kind", "_ip").agg(*[first.alias(c) for c, (first, _) in parts.items()])
+    window = F.window(F.window_time("_pane"), f"{size_us} microseconds", f"{step_us} microseconds", start)
+    per_ip = in_pane.groupBy(window.alias("_w"), "_kind", "_ip").agg(*[again(c).alias(c) for c, (_, again) in parts.items()])
     src = F.col("_kind") == SRC
     merged = per_ip.groupBy("_w").agg(
         F.sum(F.when(src, F.col("_n"))).alias("packet_count_window"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in WINDOW_SUMS.items()],
-        *[(F.sum(c) / F.sum(F.when(src, F.col(f"_n_{c}")))).alias(name) for name, c in WINDOW_MEANS.items()],
-        *[F.min(c).alias(name) for name, c in WINDOW_MINS.items()],
-        *[F.max(c).alias(name) for name, c in WINDOW_MAXS.items()],
+        *[F.coalesce(F.sum(f"_s_{c}"), F.lit(0)).alias(name) for name, c in WINDOW_SUMS.items()],
+        *[(F.sum(f"_s_{c}") / F.sum(F.when(src, F.col(f"_c_{c}")))).alias(name) for name, c in WINDOW_MEANS.items()],
+        *[F.min(f"_l_{c}").alias(name) for name, c in WINDOW_MINS.items()],
+        *[F.max(f"_h_{c}").alias(name) for name, c in WINDOW_MAXS.items()],
         *address_entropies(F.when(F.col("_ip").isNotNull(), F.col("_n"))),
     )
     return merged.withColumns(window_rates()).select(

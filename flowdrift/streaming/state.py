@@ -1,12 +1,12 @@
 """Keyed streaming state: bounded buffers and controllers, one stream key at a time.
 
-State per key is bounded (the last rows, the last p-values, one unfinished
-chunk). Rows of a micro-batch are taken in the order of their sequence number.
+State per key is bounded (the last rows, the last p-values). Rows of a
+micro-batch are taken in the order of their sequence number, all at once: the
+controllers are the tables of ``operators.control``, not a step per row.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,54 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowdrift.config import ChunkConfig, SignificanceConfig
-
-
-class SignificanceState:
-    """Recent p-values and significance level per class."""
-
-    def __init__(self, config: SignificanceConfig, levels: dict | None = None, history: dict | None = None) -> None:
-        self.config = config
-        self.levels = dict(levels or {})
-        self.history = {c: deque(h, maxlen=config.window) for c, h in (history or {}).items()}
-
-    def update(self, classes: list, values: list[float]) -> None:
-        """Add p-values, then let the level of every known class take one step."""
-        c = self.config
-        for cls, value in zip(classes, values):
-            self.levels.setdefault(cls, c.min_alpha)
-            self.history.setdefault(cls, deque(maxlen=c.window)).append(value)
-        for cls, seen in self.history.items():
-            alpha = self.levels[cls]
-            rate = sum(v < alpha for v in seen) / len(seen)
-            if rate > c.increase_above:
-                alpha = min(alpha + c.step, c.max_alpha)
-            elif rate < c.decrease_below:
-                alpha = max(alpha - c.step, c.min_alpha)
-            self.levels[cls] = round(alpha, 10)
-
-
-class ChunkState:
-    """Chunk size with the moving average that steers it."""
-
-    def __init__(self, config: ChunkConfig, size: int = 0, ema: float = 0.0, chunks: int = 0, drifts: int = 0, wait: int = 0):
-        self.config, self.size, self.ema = config, size or config.init_size, ema
-        self.chunks, self.drifts, self.wait = chunks, drifts, wait
-
-    def update(self, drift: bool) -> int:
-        c = self.config
-        self.chunks += 1
-        self.drifts += bool(drift)
-        self.ema = c.ema_decay * self.ema + (1.0 - c.ema_decay) * self.drifts / self.chunks
-        if self.wait > 0:
-            self.wait -= 1
-            return self.size
-        if self.ema > c.shrink_above:
-            self.size = max(c.min_size, self.size // 2)
-        elif self.ema < c.grow_below:
-            self.size = min(c.max_size, self.size + c.step)
-        self.wait = c.cooldown
-        return self.size
+from flowdrift.config import SignificanceConfig
+from flowdrift.operators.control import Levels
 
 
 def _in_order(batches: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
@@ -79,60 +33,20 @@ def significance_stream(
     slim = df.select(F.col(key).cast("string").alias("stream"), F.col(seq).cast("bigint").alias("seq"),
                      F.col(cls).cast("string").alias("class"), F.col(p_value).cast("double").alias("p_value"))
     out = "stream string, seq bigint, class string, p_value double, alpha double"
-    held = "classes array<string>, alphas array<double>, history array<array<double>>"
+    held = "classes array<string>, levels array<int>, seen array<array<double>>"
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, alphas, seen = state.get if state.exists else ([], [], [])
-        control = SignificanceState(config, dict(zip(names, alphas)), {n: list(h) for n, h in zip(names, seen)})
+        before = state.get if state.exists else ([], [], [])
+        control = Levels(config, {c: (level, seen) for c, level, seen in zip(*before)})
         rows = _in_order(batches, "seq")
-        found = []
-        for c, p in zip(rows["class"], rows["p_value"]):
-            control.update([c], [p])
-            found.append(control.levels[c])
-        order = list(control.levels)
-        state.update((order, [control.levels[c] for c in order], [list(control.history[c]) for c in order]))
+        found = control.scan(rows["class"].to_numpy(dtype=object), rows["p_value"].to_numpy(dtype=float))
+        classes = list(control.held)
+        state.update((classes, *([control.held[c][k] for c in classes] for k in (0, 1))))
         yield rows.assign(alpha=found)[["stream", "seq", "class", "p_value", "alpha"]]
 
     return slim.groupBy("stream").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
-def rechunk_stream(
-    df: DataFrame, key: str, seq: str = "seq", drift: str = "drift", config: ChunkConfig | None = None
-) -> DataFrame:
-    """Cut each stream into chunks of the current adaptive size; the drift flag of a chunk's first row steers the size.
-
-    Rows that do not fill a chunk wait in the state for the next micro-batch. A
-    chunk that never fills is not emitted. One stream is one sequence, so a
-    stream is handled by one task at a time; different streams run in parallel.
-    """
-    config = config or ChunkConfig()
-    slim = df.select(F.col(key).cast("string").alias("stream"), F.col(seq).cast("bigint").alias("seq"),
-                     F.col(drift).cast("boolean").alias("drift"))
-    out = "stream string, chunk_no bigint, first_seq bigint, last_seq bigint, rows bigint, drift boolean, next_size bigint"
-    held = "size bigint, ema double, chunks bigint, drifts bigint, wait bigint, seqs array<bigint>, flags array<boolean>"
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            *numbers, seqs, flags = state.get
-            control, seqs, flags = ChunkState(config, *numbers), list(seqs), list(flags)
-        else:
-            control, seqs, flags = ChunkState(config), [], []
-        rows = _in_order(batches, "seq")
-        seqs += rows["seq"].tolist()
-        flags += rows["drift"].tolist()
-        at, found = 0, []
-        while len(seqs) - at >= control.size:
-            size = control.size
-            first = bool(flags[at])
-            after = control.update(first)
-            found.append((keys[0], control.chunks, seqs[at], seqs[at + size - 1], size, first, after))
-            at += size
-        state.update((control.size, control.ema, control.chunks, control.drifts, control.wait, seqs[at:], flags[at:]))
-        yield pd.DataFrame(found, columns=["stream", "chunk_no", "first_seq", "last_seq", "rows", "drift", "next_size"])
-
-    return slim.groupBy("stream").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.NoTimeout)
-
-
 def last_n_stream(df: DataFrame, key: str, n: int, seq: str = "seq", value: str = "value") -> DataFrame:
     """After each micro-batch the newest ``n`` values of every stream that received rows, oldest first."""
     kind = df.schema[value].dataType

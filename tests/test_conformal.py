@@ -12,9 +12,21 @@ from pyspark.sql import functions as F
 from flowdrift.config import ChunkConfig, ConformalConfig, DriftConfig, SignificanceConfig
 from flowdrift.operators import conformal, control, metrics
 from flowdrift.operators.evaluators import make_evaluator
-from flowdrift.streaming.state import ChunkState, SignificanceState
 
 RNG = random.Random(3)
+
+
+def plain_levels(alphas, seen, config, cls, p):
+    """One row of the significance controller, written out."""
+    alphas.setdefault(cls, config.min_alpha)
+    seen.setdefault(cls, []).append(p)
+    for c, values in seen.items():
+        last = values[-config.window :]
+        rate = sum(v < alphas[c] for v in last) / len(last)
+        up, down = min(alphas[c] + config.step, config.max_alpha), max(alphas[c] - config.step, config.min_alpha)
+        alphas[c] = round(up if rate > config.increase_above else down if rate < config.decrease_below else alphas[c], 10)
+
+
 CAL = [("hot" if i % 3 else RNG.choice("ab"), round(RNG.random(), 2)) for i in range(500)]
 TEST = [(i, RNG.choice(["hot", "a", "b", "new"]), round(RNG.random(), 2)) for i in range(400)]
 
@@ -113,12 +125,12 @@ def test_adaptive_significance_equals_fold(spark, config):
     assert len(got) == len(data)
     levels = set()
     for s in ("x", "y"):
-        fold = SignificanceState(config)
+        alphas, seen = {}, {}
         for stream, i, cls, p in data:
             if stream == s:
-                fold.update([cls], [p])
-                levels.add(fold.levels[cls])
-                assert got[(s, i)] == pytest.approx(fold.levels[cls], abs=1e-9), (s, i, cls)
+                plain_levels(alphas, seen, config, cls, p)
+                levels.add(alphas[cls])
+                assert got[(s, i)] == pytest.approx(alphas[cls], abs=1e-9), (s, i, cls)
     assert len(levels) > 3
 
 
@@ -130,15 +142,37 @@ def test_adaptive_chunks_equal_fold(spark, config):
     got = {(r["stream"], r["chunk_no"]): (r["drift_ema"], r["chunk_size"]) for r in control.adaptive_chunks(df, config, by=["stream"], block=29).collect()}
     sizes = set()
     for s in ("x", "y"):
-        fold = ChunkState(config)
+        size, ema, drifts = config.init_size, 0.0, 0
         for stream, n, drift in data:
             if stream == s:
-                size = fold.update(drift)
+                drifts += drift
+                ema = config.ema_decay * ema + (1 - config.ema_decay) * drifts / n
+                if (n - 1) % (config.cooldown + 1) == 0 and ema > config.shrink_above:
+                    size = max(config.min_size, size // 2)
+                elif (n - 1) % (config.cooldown + 1) == 0 and ema < config.grow_below:
+                    size = min(config.max_size, size + config.step)
                 sizes.add(size)
-                assert got[(s, n)][1] == size and abs(got[(s, n)][0] - fold.ema) < 1e-9
+                assert got[(s, n)][1] == size and abs(got[(s, n)][0] - ema) < 1e-9
     assert len(sizes) > 3
 
 
+def test_adaptive_significance_goes_on_from_a_controller(spark):
+    """Calibration scores first, then rows: as one fold; classes without calibration rows start at the lowest level."""
+    config, rng = SignificanceConfig(window=9), random.Random(12)
+    before = [(rng.choice("ab"), rng.random() * 0.2) for _ in range(40)]
+    rows = [(i, rng.choice("abc"), rng.random() * (0.2 if i % 70 < 30 else 1.0)) for i in range(300)]
+    start, alphas, seen = control.Levels(config), {}, {}
+    for cls, p in before:
+        start.observe([cls], [p])
+        plain_levels(alphas, seen, config, cls, p)
+    df = spark.createDataFrame(rows, "step int, class string, p_value double").repartition(3)
+    got = {r["step"]: r["alpha"] for r in control.adaptive_significance(df, config, ["step"], block=23, start=start).collect()}
+    assert len(got) == len(rows)
+    for i, cls, p in rows:
+        plain_levels(alphas, seen, config, cls, p)
+        assert got[i] == pytest.approx(alphas[cls], abs=1e-9), i
+
+
 def test_drift_ema_without_stream_key(spark):
     flags = [i % 4 == 0 for i in range(50)]
     df = spark.createDataFrame([(i + 1, f) for i, f in enumerate(flags)], "chunk_no bigint, drift boolean")

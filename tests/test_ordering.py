@@ -143,3 +143,32 @@ def test_best_by_stat_keeps_ties(spark):
     assert got == {(1, "lowest"), (2, "highest"), (3, "highest"), (4, "listed")}
     with pytest.raises(ValueError):
         ordering.best_by_stat(df, "stat", "v", {"a": "worst"})
+
+
+@pytest.mark.parametrize("small", [3, 40, 10_000])
+@pytest.mark.parametrize("n", [0, 1, 7, 250, 700, 2000])
+def test_newest_rows_by_selection(spark, small, n):
+    """Ties, nulls, a value that holds half of all rows, identical rows: always n rows, the largest ones, the same each time."""
+    import random
+
+    rng = random.Random(n)
+    rows = [(rng.choice([5, 5, 5, None, *range(30)]), rng.choice("ab"), rng.randrange(4)) for _ in range(600)] + [(5, "a", 1)] * 200
+    df = spark.createDataFrame(rows, "k int, s string, v int").repartition(7)
+    got = ordering.last_n(df, n, ["k", "s"], small=small)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    found = sorted(map(tuple, got.collect()), key=lambda r: (key(r), r[2]))
+    assert [key(r) for r in found] == sorted(map(key, rows))[max(0, len(rows) - n) :]
+    assert found == sorted(map(tuple, ordering.last_n(df.repartition(3), n, ["k", "s"], small=100_000).collect()), key=lambda r: (key(r), r[2]))
+
+
+def test_newest_rows_per_group_alike(spark):
+    rows = [(g, k % 9, v) for g in "xy" for k in range(40) for v in range(3)]
+    df = spark.createDataFrame(rows, "g string, k int, v int").repartition(5)
+    few = sorted(map(tuple, ordering.last_n(df, 31, ["k"], ["g"]).collect()))
+    threshold = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+    try:
+        many = sorted(map(tuple, ordering.last_n(df.repartition(2), 31, ["k"], ["g"]).collect()))
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+    assert few == many and len(few) == 62

@@ -16,9 +16,10 @@ from flowdrift.sources import readers
 from flowdrift.operators.clean import clean_flows
 from flowdrift.plans.features import aggregated_features
 from flowdrift.sources.rolling_log import RollingLog, seed_rows
-from flowdrift.streaming.drift import DriftStream, progress_table, run_payloads
+from flowdrift.streaming.drift import DriftStream, ProgressLog, run_payloads
 from flowdrift.streaming.hopping import stream_hopping_features
-from flowdrift.streaming.state import ChunkState, rechunk_stream, significance_stream
+from flowdrift.streaming.chunks import ChunkLoop, chunk_stream, chunk_table, rechunk_stream
+from flowdrift.streaming.state import significance_stream
 from tests.test_features import SCHEMA, flow
 
 
@@ -92,9 +93,8 @@ def test_payload_callback(spark, tmp_path):
     stream = readers.stream_flows(spark, str(tmp_path / "in"), T.StructType([T.StructField("value", T.StringType())]), "parquet")
     q = run_payloads(stream, schema, lambda df, i: seen.extend(r["a"] for r in df.collect()), str(tmp_path / "cp"))
     q.processAllAvailable()
-    progress = progress_table(spark, q)
     q.stop()
-    assert sorted(seen) == [1, 2] and progress.agg(F.sum("rows")).first()[0] == 1
+    assert sorted(seen) == [1, 2]
 
 
 def test_rolling_log(spark, tmp_path):
@@ -152,33 +152,122 @@ def test_significance_stream_equals_batch(spark, tmp_path):
     assert got == pytest.approx({r["seq"]: r["alpha"] for r in batch.collect()})
 
 
-def test_rechunk_restart_gives_the_same_chunks(spark, tmp_path):
+def plain_loop(flags, config, mode="first", rate=0.0, tail=False):
+    """(chunk_no, first, rows, drift, size after) of one sequence, chunk after chunk."""
+    size, ema, drifts, at, wait, out = config.init_size, 0.0, 0, 0, 0, []
+    while at < len(flags) and (at + size <= len(flags) or tail):
+        own = flags[at : at + size]
+        drift = {"first": own[0], "any": any(own), "rate": sum(own) > rate * len(own)}[mode]
+        first, at = at, at + len(own)
+        drifts += drift
+        ema = config.ema_decay * ema + (1 - config.ema_decay) * (drifts / (len(out) + 1))
+        if wait:
+            wait -= 1
+        else:
+            if ema > config.shrink_above:
+                size = max(config.min_size, size // 2)
+            elif ema < config.grow_below:
+                size = min(config.max_size, size + config.step)
+            wait = config.cooldown
+        out.append((len(out) + 1, first, len(own), bool(drift), size))
+    return out
+
+
+@pytest.mark.parametrize("mode,rate", [("first", 0.0), ("any", 0.0), ("rate", 0.2)])
+def test_chunk_loop_equals_the_plain_fold(mode, rate):
+    import pandas as pd
+
+    rng = random.Random(4)
+    for cooldown in (0, 2):
+        config = ChunkConfig(init_size=7, max_size=60, cooldown=cooldown)
+        flags = [rng.random() < (0.02 if (k // 400) % 2 else 0.3) for k in range(2000)]
+        rows = pd.DataFrame({"seq": range(2000), "kind": None, "p_value": float("nan"), "row_drift": flags})
+        loop, found, waiting = ChunkLoop(config, mode, rate), [], rows.iloc[:0]
+        for low, high in ((0, 5), (5, 311), (311, 312), (312, 2000)):
+            done, waiting = ChunkLoop.cut(loop, pd.concat([waiting, rows.iloc[low:high]]))
+            loop = ChunkLoop(config, mode, rate).load(loop.dump())  # as after a restart
+            found.append(done)
+        done, _ = loop.cut(waiting, flush=True)
+        rows = pd.concat([*found, done])
+        got = [(n, int(g["seq"].min()), len(g), bool(g["drift"].iloc[0]), int(g["next_size"].iloc[0])) for n, g in rows.groupby("chunk_no")]
+        assert got == plain_loop(flags, config, mode, rate, tail=True)
+
+
+def test_chunks_with_adaptive_levels():
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = pd.DataFrame({"seq": range(500), "kind": [rng.choice("ab") for _ in range(500)], "p_value": [rng.random() * 0.4 for _ in range(500)], "row_drift": False})
+    settings = SignificanceConfig(window=6)
+    done, _ = ChunkLoop(ChunkConfig(init_size=5, max_size=5, min_size=5), significance=settings).cut(rows)
+    levels = control.Levels(settings)
+    for k in range(0, 500, 5):
+        levels.observe([rows["kind"][k]], [rows["p_value"][k]])
+        assert done["alpha"][k] == levels.alpha(rows["kind"][k]) and done["drift"][k] == (rows["p_value"][k] < done["alpha"][k])
+
+
+def test_chunk_stream_restart_gives_the_same_chunks(spark, tmp_path):
     rng = random.Random(6)
     data = [(i, "xy"[i % 2], rng.random() < 0.1) for i in range(500)]
     df = spark.createDataFrame(data, "seq bigint, stream string, drift boolean")
     config = ChunkConfig(init_size=10, max_size=40)
 
     def run(base, stops):
-        # the stream is stopped after each part and resumed from its checkpoint
+        # the stream is stopped after each part, in mid-chunk, and resumed from its checkpoint
         source, low = str(tmp_path / base / "in"), 0
         for high in [*stops, 500]:
             df.filter((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(source)
             low = high
             out = drain(rechunk_stream(readers.stream_flows(spark, source, df.schema, "parquet"), "stream", config=config), str(tmp_path / base))
-        return sorted(tuple(r) for r in out.collect())
+        return sorted(out.collect())
 
     once, thrice = run("once", []), run("thrice", [77, 301])
     assert once == thrice
     want = []
     for s in "xy":
         mine = [(i, d) for i, k, d in data if k == s]
-        fold, at = ChunkState(config), 0
-        while len(mine) - at >= fold.size:
-            size = fold.size
-            after = fold.update(mine[at][1])
-            want.append((s, fold.chunks, mine[at][0], mine[at + size - 1][0], size, mine[at][1], after))
-            at += size
-    assert once == sorted(want)
+        for no, first, rows, drift, after in plain_loop([d for _, d in mine], config):
+            want += [(s, i, no, rows, drift, None, after, True) for i, _ in mine[first : first + rows]]
+    assert [tuple(r) for r in once] == sorted(want)
+
+
+def test_tails_come_out_when_their_time_has_passed(spark, tmp_path):
+    """Event time: a stream's unfinished chunk is closed once the watermark is far enough ahead; no row is lost or repeated."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "xyz"[i % 3], i % 7 == 0, t0 + dt.timedelta(seconds=i)) for i in range(100)]
+    rows += [(1000, "clock", False, t0 + dt.timedelta(hours=1)), (1001, "clock", False, t0 + dt.timedelta(hours=2)), (1002, "x", False, t0 + dt.timedelta(hours=2))]
+    df = spark.createDataFrame(rows, "seq bigint, stream string, drift boolean, at timestamp")
+    feed(df, str(tmp_path / "in"), "seq", [60, 1000, 1001, 1002])
+    stream = readers.stream_flows(spark, str(tmp_path / "in"), df.schema, "parquet").withWatermark("at", "1 second")
+    config = ChunkConfig(init_size=10, max_size=20)
+    out = drain(rechunk_stream(stream, "stream", config=config, tail_after="5 minutes", ts="at"), str(tmp_path)).filter("stream <> 'clock'")
+    got = {}
+    for r in out.filter("seq < 1000").collect():
+        got.setdefault((r["stream"], r["chunk_no"]), []).append((r["seq"], r["whole"]))
+    assert sorted(i for c in got.values() for i, _ in c) == list(range(100))
+    for s in "xyz":
+        mine = [(i, d) for i, k, d, _ in rows[:100] if k == s]
+        want = plain_loop([d for _, d in mine], config, tail=True)
+        assert [sorted(got[s, no]) for no, *_ in want] == [[(i, n < len(want)) for i, _ in mine[f : f + c]] for n, f, c, *_ in want]
+    table = chunk_table(out).filter("NOT whole")
+    assert {r["stream"] for r in table.collect()} >= set("xyz")
+
+
+def test_progress_of_more_than_a_hundred_batches(spark, tmp_path):
+    for k in range(105):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k:03d}.csv").write_text("".join(f"{i}\n" for i in range(k % 3 + 1)))
+    log = ProgressLog(spark, str(tmp_path / "progress"), every=20)
+    spark.streams.addListener(log)
+    try:
+        stream = spark.readStream.schema("a int").option("maxFilesPerTrigger", 1).csv(str(tmp_path / "in"))
+        q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        log.wait_for(q)
+    finally:
+        spark.streams.removeListener(log)
+    rows = log.table().filter("rows > 0").collect()
+    assert len(rows) == 105 and sum(r["rows"] for r in rows) == sum(k % 3 + 1 for k in range(105)) and len(q.recentProgress) <= 100
 
 
 COLUMNS = ["a", "b"]
@@ -221,6 +310,44 @@ def test_drift_stream_retrains_and_repeats_cleanly(spark, tmp_path):
     assert again.latency().first()["chunks"] == 2
 
 
+@pytest.mark.parametrize("significance", [None, SignificanceConfig(window=20)])
+def test_drift_stream_cuts_adaptive_chunks(spark, tmp_path, significance):
+    """Chunks of a fixed model equal the plain fold over all its rows, whatever the micro-batches, also when one is repeated."""
+    config = ChunkConfig(init_size=8, max_size=30)
+    first, second, third = (_flows(spark, n, shift=s, start=1000 * k, seed=k) for k, (n, s) in enumerate([(45, 0.0), (30, 2.0), (47, 0.5)], 1))
+
+    def run(base, batches):
+        stream = _run(spark, tmp_path / base, mode="first" if significance else "any", adaptive_chunks=config, significance=significance)
+        stream.retrain = False
+        stream.seed(_flows(spark, 200))
+        for k, b in enumerate(batches):
+            stream.process(b, k)
+        return stream
+
+    parts = run("parts", [first, second, second.limit(0), third])
+    parts.process(third, 3)  # as after a failure
+    whole = run("whole", [first.unionByName(second).unionByName(third)])
+    scored = parts.scored().orderBy("seq").collect()
+    for stream in (parts, whole):
+        stream.finish()
+        got = [tuple(r) for r in stream.adaptive_chunks().orderBy("chunk_no").select("chunk_no", "first_seq", "rows", "drift", "next_size").collect()]
+        assert sum(r[2] for r in got) == 122
+        if significance is None:
+            want = plain_loop([r["row_drift"] for r in scored], config, "any", tail=True)
+            assert got == [(no, scored[f]["seq"], n, d, size) for no, f, n, d, size in want]
+    tables = [sorted(map(tuple, s.adaptive_chunks().collect()), key=repr) for s in (parts, whole)]
+    assert tables[0] == tables[1]
+    assert len(parts._batches("state")) == 4  # the seed and three batches with rows
+
+
+def test_state_rows_are_found_by_name_and_stay_few(spark, tmp_path):
+    run = _run(spark, tmp_path)
+    for b in range(-1, 40):
+        run._keep_state(b, version=b)
+    assert run._batches("state") == list(range(30, 40))
+    assert run._state_before(36) == (35, {"version": 35, "controller": None, "learned": None, "loop": None}) and run._state_before(30)[0] is None
+
+
 def test_bootstrap_then_score(spark, tmp_path):
     run = _run(spark, tmp_path, evaluator="approx_cce")
     run.process(_flows(spark, 200), 0)
