@@ -307,7 +307,7 @@ class DriftStream:
             whole = done if rest.empty else rest if done.empty else pd.concat([done, rest], ignore_index=True)
             return whole.reindex(columns=names).assign(loop=[loop.dump()] + [None] * (len(whole) - 1))
 
-        cut = both.groupBy(F.lit(0)).applyInPandas(one, f"{kinds}, {CHUNKED}, loop string")
+        cut = both.groupBy().applyInPandas(one, f"{kinds}, {CHUNKED}, loop string")
         path = f"{self.base}/cuts/batch_id={batch_id}"
         cut.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
