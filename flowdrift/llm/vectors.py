@@ -18,6 +18,7 @@ STRIP_BYTES = 8 << 20  # of vectors in full precision; a task holds two strips
 LEAST_STRIP = 512  # vectors; more strips than this allows are not worth a task each
 STRIPS = 16  # strips of a small table, so that all cores have pairs of strips
 EXACT = 1 << 17  # cosines recomputed at once
+MOST_TASKS = 20_000  # beyond it a task gets several pairs of strips, one after the other
 WIDE = 1 << 10  # components whose int8 products add up without rounding in single precision
 
 
@@ -185,16 +186,15 @@ def similar_vectors(vectors: DataFrame, least: float = SIMILAR, vec_id: str = "v
         F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")
     )
     classes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "width": F.size("vector")}))
-    wide = classes.groupBy("width").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) * F.col("width") * 4 / STRIP_BYTES), F.least(F.ceil(F.count(F.lit(1)) / LEAST_STRIP), F.lit(STRIPS))
-        ).cast("int").alias("strips")
-    )
-    placed = classes.join(wide, "width").withColumn("strip", F.pmod(F.xxhash64("node"), "strips").cast("int"))
+    total = classes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("width"), F.lit(0)).alias("values")).first()
+    strips = max(1, -(-total["values"] * 4 // STRIP_BYTES), min(STRIPS, -(-total["rows"] // LEAST_STRIP)))
+    placed = classes.withColumn("strip", F.pmod(F.xxhash64("node"), F.lit(strips)).cast("int"))
     packed = materialize(placed.select("width", "strip", "node", "copies", "vector").groupBy("width", "strip").applyInArrow(_pack, _PACKED))
-    peers = packed.join(wide, "width").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
-    peers = peers.withColumns({"t": F.least("strip", "peer"), "u": F.greatest("strip", "peer")})
-    linked = materialize(peers.select(*packed.columns, "t", "u").groupBy("width", "t", "u").applyInArrow(_compare(least), _LINKED))
+    peers = packed.withColumn("peer", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    peers = peers.select(*packed.columns, F.least("strip", "peer").alias("t"), F.greatest("strip", "peer").alias("u"))
+    # Pairs of strips are few bytes and much work, so their number is that of the tasks, whatever their size.
+    tasks = min(strips * (strips + 1) // 2, MOST_TASKS)
+    linked = materialize(peers.repartition(tasks, "width", "t", "u").groupBy("width", "t", "u").applyInArrow(_compare(least), _LINKED))
     labels = components(linked, "node", "low").withColumnsRenamed({"node": "_node", "label": "_label"})
     ids = classes.select("node", "least")
     lowest = labels.join(ids, F.col("node") == F.col("_node")).groupBy("_label").agg(F.min("least").alias("_low")).withColumnRenamed("_label", "_l")
