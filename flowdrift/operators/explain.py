@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _unit(*parts: Column) -> Column:
@@ -88,8 +91,11 @@ def local_surrogate(
 ) -> DataFrame:
     """Weights of a local linear model around each row: (row, feature, weight), and an ``(intercept)``.
 
-    Each row is perturbed with standard normal noise, scored, and a weighted
-    least-squares fit runs per row on its fixed number of samples.
+    Each row is perturbed with standard normal noise and scored. A weighted
+    least-squares fit per row needs only sums over its samples (products of the
+    inputs, products with the probability), so each Arrow batch of scored samples is
+    reduced to one line of sums per row; only these lines are shuffled, and small
+    systems are solved for many rows at once. ``row_id`` is unique and not null.
     """
     d = len(names)
     width = 0.75 * float(np.sqrt(d))
@@ -112,13 +118,40 @@ def local_surrogate(
         row_id, "_x", "_z", F.get(vector_to_array("probability"), F.lit(target)).alias("_p")
     )
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.vstack(pdf["_z"].to_numpy())
-        gap = z - np.vstack(pdf["_x"].to_numpy())
-        weight = np.sqrt(np.exp(-(gap**2).sum(axis=1) / width**2))
-        a = np.hstack([np.ones((len(z), 1)), gap]) * weight[:, None]
-        coef = np.linalg.solve(a.T @ a + ridge * np.eye(d + 1), a.T @ (pdf["_p"].to_numpy() * weight))
-        return pd.DataFrame({row_id: pdf[row_id].iloc[0], "feature": ["(intercept)", *names], "weight": coef})
+    at = np.triu_indices(d + 2)
+    sums_type = T.StructType([df.schema[row_id], T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            gap = np.vstack(pdf["_z"].to_numpy()) - np.vstack(pdf["_x"].to_numpy())
+            weight = np.exp(-(gap**2).sum(axis=1) / width**2)
+            full = np.hstack([np.ones((len(gap), 1)), gap, pdf["_p"].to_numpy()[:, None]])
+            ids = pdf[row_id].to_numpy()
+            # samples of a row follow each other, so a row has one line in a batch, two if it goes on in the next
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            sums = np.stack([np.add.reduceat(full[:, i] * full[:, j] * weight, first) for i, j in zip(*at)], axis=1)
+            yield pd.DataFrame({row_id: ids[first], "_sums": list(sums)})
 
-    kind = df.schema[row_id].dataType.simpleString()
-    return scored.groupBy(row_id).applyInPandas(fit, f"{row_id} {kind}, feature string, weight double")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sums in batches:
+            if not len(sums):
+                yield pd.Series([], dtype=object)
+                continue
+            square = np.zeros((len(sums), d + 2, d + 2))
+            square[:, at[0], at[1]] = square[:, at[1], at[0]] = np.vstack(sums.to_numpy())
+            left = square[:, : d + 1, : d + 1] + ridge * np.eye(d + 1)
+            yield pd.Series(list(np.linalg.solve(left, square[:, : d + 1, d + 1 :])[:, :, 0]))
+
+    lines = scored.mapInPandas(reduce, sums_type)
+    total = lines.groupBy(row_id).agg(F.collect_list("_sums").alias("_lines")).select(  # a line per batch that held the row
+        row_id,
+        F.reduce(
+            F.slice("_lines", F.lit(2), F.size("_lines")), F.get("_lines", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        ).alias("_sums"),
+    )
+    labels = F.array(*[F.lit(n) for n in ["(intercept)", *names]])
+    fitted = total.select(row_id, F.arrays_zip(labels.alias("feature"), solve("_sums").alias("weight")).alias("_w"))
+    return fitted.select(row_id, F.inline("_w").alias("feature", "weight"))

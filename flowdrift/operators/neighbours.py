@@ -1,37 +1,48 @@
-"""Exact k nearest neighbours by Euclidean distance."""
+"""Exact k nearest neighbours by Euclidean distance, with blocks that the triangle inequality rules out."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Training rows that one task compares with a part of the test rows.
-BLOCK_BYTES = 32_000_000
+from flowdrift.operators.ordering import number_rows
+from flowdrift.session import materialize
+
+# Training rows of one block; beyond MAX_BLOCKS blocks the blocks grow instead.
+BLOCK_ROWS = 4096
+MAX_BLOCKS = 16384
+# Cells around pivots: as many as give each a quarter of a block's rows, up to MAX_PIVOTS.
+CELLS = 4
+MAX_PIVOTS = 1024
 TEST_ROWS = 20_000
 STEP = 256
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, 0.0)
+
+
 def _nearest(
-    x: np.ndarray, train: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int
-) -> Iterator[tuple[list, list, list]]:
-    """The k nearest training rows of each row of x, ordered by (squared distance to 9 places, id)."""
-    norms = (train**2).sum(axis=1)
+    x: np.ndarray, train: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int, bound: np.ndarray
+) -> Iterator[list[dict]]:
+    """The k nearest training rows of each row of x within its bound, by (squared distance to 9 places, id)."""
     for i in range(0, len(x), STEP):
-        part = x[i : i + STEP]
-        squared = np.round(np.maximum((part**2).sum(axis=1)[:, None] + norms - 2 * part @ train.T, 0.0), 9)
+        squared = np.round(_squares(x[i : i + STEP], train), 9)
         kept = min(k, len(ids))
-        limit = np.partition(squared, kept - 1, axis=1)[:, kept - 1]
+        limit = np.minimum(np.partition(squared, kept - 1, axis=1)[:, kept - 1], bound[i : i + STEP])
         for row, top in zip(squared, limit):
             near = np.flatnonzero(row <= top)
             near = near[np.lexsort((ids[near], row[near]))][:kept]
-            yield row[near].tolist(), ids[near].tolist(), labels[near].tolist()
+            yield [{"squared": d, "id": j, "label": c} for d, j, c in zip(row[near].tolist(), ids[near].tolist(), labels[near].tolist())]
 
 
 _HITS = T.ArrayType(
@@ -41,11 +52,130 @@ _HITS = T.ArrayType(
 )
 
 
-def _hits(x: np.ndarray, train: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> list:
-    return [
-        [{"squared": d, "id": i, "label": c} for d, i, c in zip(*found)]
-        for found in _nearest(x, train, ids, labels, k)
-    ]
+@dataclass(frozen=True)
+class Blocks:
+    """Training rows by block, and what the pruning knows of each block: its pivot, the range of distances to it, its rows."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    size: np.ndarray
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(float)
+
+
+def cut_blocks(rows: DataFrame, block_rows: int | None = None) -> Blocks:
+    """Cut training rows (``_id``, ``_label``, ``_x``) into cells around pivots and each cell into rings of bounded size.
+
+    Pivots are rows in hash order. A row belongs to the nearest pivot; the rows of a
+    cell are numbered by their distance to it, over ranges of (cell, distance), so a
+    crowded cell is many blocks and never one task. Few rows are one block. Pivots (``MAX_PIVOTS`` at most)
+    and one line per block (``MAX_BLOCKS`` and one more per cell) reach the driver.
+    """
+    total = rows.count()
+    if not total:
+        raise ValueError("no training rows")
+    width = max(block_rows or BLOCK_ROWS, -(-total // MAX_BLOCKS))
+    if total <= width:
+        d = rows.select(F.size("_x").alias("d")).first()["d"]
+        one = np.zeros(1)
+        return Blocks(rows.withColumn("_block", F.lit(0).cast("long")), np.zeros((1, d)), one.astype(int), one, one + np.inf, one + total)
+    wanted = min(MAX_PIVOTS, CELLS * total // width)
+    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(wanted).select("_x").collect()
+    pivots = np.unique(np.array([r["_x"] for r in chosen], dtype=float), axis=0)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cells, gaps = [], []
+                x = _matrix(pdf["_x"])
+                for i in range(0, len(x), STEP):
+                    squared = _squares(x[i : i + STEP], pivots)
+                    cells.append(squared.argmin(axis=1))
+                    gaps.append(np.sqrt(squared.min(axis=1)))
+                yield pdf.assign(_cell=np.concatenate(cells), _gap=np.concatenate(gaps))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.LongType()), T.StructField("_gap", T.DoubleType())])
+    placed = number_rows(rows.mapInPandas(place, schema), ["_gap", "_id"], ["_cell"], "_place")
+    ringed = materialize(placed.withColumn("_ring", F.floor((F.col("_place") - 1) / width)).drop("_place"))
+    lines = (
+        ringed.groupBy("_cell", "_ring")
+        .agg(F.min("_gap").alias("low"), F.max("_gap").alias("high"), F.count(F.lit(1)).alias("size"))
+        .orderBy("_cell", "_ring")
+        .toPandas()
+    )
+    spark = rows.sparkSession
+    numbers = spark.createDataFrame(
+        [(int(c), int(r), i) for i, (c, r) in enumerate(zip(lines["_cell"], lines["_ring"]))], "_cell long, _ring long, _block long"
+    )
+    cut = ringed.join(F.broadcast(numbers), ["_cell", "_ring"]).select("_id", "_label", "_x", "_block")
+    return Blocks(cut, pivots, *(lines[c].to_numpy() for c in ("_cell", "low", "high", "size")))
+
+
+def _slack(x: np.ndarray, blocks: dict) -> np.ndarray:
+    """What rounding may hide in a distance of each row, on the safe side."""
+    reach = np.sqrt((blocks["pivots"] ** 2).sum(axis=1).max()) + blocks["high"].max()
+    return 1e-6 * (1 + np.sqrt((x**2).sum(axis=1)) + reach)
+
+
+def _home(x: np.ndarray, blocks: dict) -> np.ndarray:
+    """The block of each row: the ring of its nearest pivot that holds its distance or is nearest to it."""
+    gap = np.sqrt(_squares(x, blocks["pivots"]))
+    own = gap.argmin(axis=1)
+    d = gap[np.arange(len(x)), own][:, None]
+    off = np.maximum(np.maximum(blocks["low"] - d, d - blocks["high"]), 0.0)
+    return np.where(blocks["cell"] == own[:, None], off, np.inf).argmin(axis=1)
+
+
+def _others(x: np.ndarray, home: np.ndarray, worst: np.ndarray, k: int, blocks: dict) -> tuple[list[list[int]], np.ndarray]:
+    """Blocks that may hold a row nearer than the k-th of the home block, and the largest squared distance that counts."""
+    gap = np.sqrt(_squares(x, blocks["pivots"]))
+    slack = _slack(x, blocks)
+    to_pivot = gap[:, blocks["cell"]]
+    # a home block of fewer than k rows bounds nothing: k rows of all blocks lie within the far sides of the nearest ones
+    open_rows = np.flatnonzero(np.isinf(worst))
+    if len(open_rows) and blocks["size"].sum() >= k:
+        far = to_pivot[open_rows] + blocks["high"]
+        order = far.argsort(axis=1)
+        enough = (blocks["size"][order].cumsum(axis=1) >= k).argmax(axis=1)
+        reach = far[np.arange(len(far)), order[np.arange(len(far)), enough]]
+        worst = worst.copy()
+        worst[open_rows] = (reach + slack[open_rows]) ** 2
+    radius = np.sqrt(worst + 2e-9) + slack
+    # a row of another cell lies beyond the plane halfway between both pivots
+    own = blocks["cell"][home]
+    between = blocks["apart"][own][:, blocks["cell"]]
+    mine = gap[np.arange(len(x)), own][:, None]
+    plane = np.divide(to_pivot**2 - mine**2, 2 * between, out=np.zeros_like(between), where=between > slack[:, None])
+    at_least = np.maximum(np.maximum(to_pivot - blocks["high"], blocks["low"] - to_pivot), plane)
+    maybe = at_least <= radius[:, None]
+    maybe[np.arange(len(x)), home] = False
+    return [np.flatnonzero(row).tolist() for row in maybe], worst + 2e-9
+
+
+def _visit(asked: DataFrame, blocks: Blocks, k: int, row_id: str, test_rows: int, many: int) -> DataFrame:
+    """Candidates of each row (``row_id``, ``_x``, ``_block``, ``_bound``) in its block; one task for each (part of rows, block)."""
+    # A block goes to as many tasks as its visitors need, counted without their vectors.
+    parts = asked.groupBy("_block").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / test_rows), F.least(F.lit(many), F.floor(F.count(F.lit(1)) / 500)), F.lit(1)).alias("_parts")
+    )
+    parts = F.broadcast(parts)  # one line per block
+    lhs = asked.join(parts, "_block").withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts"))).drop("_parts")
+    rhs = blocks.rows.join(parts, "_block").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    out = T.StructType([asked.schema[row_id], T.StructField("hits", _HITS)])
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({row_id: a[row_id].iloc[:0], "hits": pd.Series([], dtype=object)})
+        found = list(_nearest(_matrix(a["_x"]), _matrix(b["_x"]), b["_id"].to_numpy(), b["_label"].to_numpy(), k, a["_bound"].to_numpy(float)))
+        return pd.DataFrame({row_id: a[row_id], "hits": pd.Series(found, index=a.index)})
+
+    keys = ["_block", "_part"]
+    return lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(pair, out)
 
 
 def knn(
@@ -61,42 +191,71 @@ def knn(
 ) -> DataFrame:
     """``row_id`` with its neighbours, nearest first: array of (squared, id, label).
 
-    ``features`` is an array column on both sides. The training rows are cut into
-    blocks of about ``block_rows`` rows (by default 32 MB), the test rows into parts of
-    about ``test_rows``; each (part, block) pair is one task that keeps k candidates per
-    row, and the candidates are merged. Nothing passes through the driver. As an exact
-    search compares every test row with every block, the training side is meant to be
-    log-sized.
+    ``features`` is an array column of finite numbers on both sides; ``row_id`` and
+    ``train_id`` are unique. The search is exact. Training rows lie in blocks: rings
+    around pivots (:func:`cut_blocks`). A test row first meets the block it would lie
+    in. The distance of the k-th row found there rules out every block that is
+    further away by the triangle inequality (distance to the pivot against the ring)
+    or by the plane between two pivots; the row meets only the blocks left, and only
+    candidates within that distance leave a task. The k best per row are picked by a
+    ranked window, which Spark limits before the shuffle. With data that fills its
+    dimensions evenly no block is ruled out and each row meets all of them, so the
+    training side is meant to be log-sized.
     """
     rows = train.select(F.col(train_id).cast("bigint").alias("_id"), F.col(label).cast("bigint").alias("_label"), F.col(features).alias("_x"))
+    return nearest_in(test, cut_blocks(rows, block_rows), k, row_id, features, test_rows)
+
+
+def homes(test: DataFrame, blocks: Blocks, row_id: str, features: str) -> DataFrame:
+    """Each test row with its vector and the block it would lie in."""
+    known = {"pivots": blocks.pivots, "cell": blocks.cell, "low": blocks.low, "high": blocks.high}
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = _matrix(pdf["_x"])
+                found = [_home(x[i : i + STEP], known) for i in range(0, len(x), STEP)]
+                yield pdf.assign(_block=np.concatenate(found), _bound=np.inf)
+
     tested = test.select(F.col(row_id), F.col(features).alias("_x"))
-    out = T.StructType([tested.schema[row_id], T.StructField("neighbours", _HITS)])
-    sample = rows.select(F.size("_x").alias("d")).first()
-    if sample is None:
-        raise ValueError("no training rows")
-    if block_rows is None:
-        block_rows = max(1, BLOCK_BYTES // (8 * max(1, sample["d"])))
-    blocks = max(1, -(-train.count() // block_rows))
-    asked = test.count()
-    cores = test.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-asked // test_rows), min(cores, asked // 500))  # a small test side still uses all cores
-    part_of = F.pmod(F.xxhash64(F.col(row_id)), F.lit(parts))
-    block_of = F.pmod(F.xxhash64(F.col("_id")), F.lit(blocks))
-    lhs = tested.withColumn("_part", part_of).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rhs = rows.withColumn("_block", block_of).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = T.StructType([*tested.schema.fields, T.StructField("_block", T.LongType()), T.StructField("_bound", T.DoubleType())])
+    return materialize(tested.mapInPandas(home, schema))
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({row_id: a[row_id].iloc[:0], "neighbours": pd.Series([], dtype=object)})
-        train_x = np.vstack(b["_x"].to_numpy()).astype(float)
-        found = _hits(np.vstack(a["_x"].to_numpy()).astype(float), train_x, b["_id"].to_numpy(), b["_label"].to_numpy(), k)
-        return pd.DataFrame({row_id: a[row_id], "neighbours": pd.Series(found, index=a.index)})
 
-    keys = ["_part", "_block"]
-    lhs, rhs = (side.withColumns({c: F.col(c).cast("bigint") for c in keys}) for side in (lhs, rhs))
-    candidates = lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(pair, out)
-    merged = candidates.groupBy(row_id).agg(F.flatten(F.collect_list("neighbours")).alias("_all"))
-    return merged.select(row_id, F.slice(F.array_sort("_all"), 1, k).alias("neighbours"))
+def visits(first: DataFrame, placed: DataFrame, blocks: Blocks, k: int, row_id: str) -> DataFrame:
+    """One row for each further block that a test row has to meet."""
+    pivots, sides = blocks.pivots, {"cell": blocks.cell, "low": blocks.low, "high": blocks.high, "size": blocks.size}
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {**sides, "pivots": pivots, "apart": np.sqrt(_squares(pivots, pivots))}
+        for pdf in batches:
+            for i in range(0, len(pdf), STEP):
+                part = pdf.iloc[i : i + STEP]
+                found, bound = _others(_matrix(part["_x"]), part["_block"].to_numpy(), part["_worst"].to_numpy(float), k, known)
+                yield part[[row_id, "_x"]].assign(_blocks=found, _bound=bound)
+
+    worst = F.when(F.size("hits") >= k, F.get("hits", F.lit(k - 1)).getField("squared")).otherwise(F.lit(float("inf")))
+    asked = placed.select(row_id, "_x", "_block").join(first.select(row_id, worst.alias("_worst")), row_id)
+    schema = T.StructType(
+        [placed.schema[row_id], placed.schema["_x"], T.StructField("_blocks", T.ArrayType(T.LongType())), T.StructField("_bound", T.DoubleType())]
+    )
+    open_rows = materialize(asked.mapInPandas(others, schema).filter(F.size("_blocks") > 0))
+    return open_rows.select(row_id, "_x", F.explode("_blocks").alias("_block"), "_bound")
+
+
+def nearest_in(test: DataFrame, blocks: Blocks, k: int, row_id: str, features: str, test_rows: int = TEST_ROWS) -> DataFrame:
+    """:func:`knn` in training rows that are cut into blocks already."""
+    many = max(1, test.sparkSession.sparkContext.defaultParallelism // len(blocks.size))  # few blocks still use all cores
+    if len(blocks.size) == 1:  # the first block is all there is
+        placed = test.select(row_id, F.col(features).alias("_x"), F.lit(0).cast("long").alias("_block"), F.lit(float("inf")).alias("_bound"))
+        return _visit(placed, blocks, k, row_id, test_rows, many).withColumnRenamed("hits", "neighbours")
+    placed = homes(test, blocks, row_id, features)
+    first = materialize(_visit(placed, blocks, k, row_id, test_rows, many))
+    further = _visit(visits(first, placed, blocks, k, row_id), blocks, k, row_id, test_rows, many)
+    hits = first.unionByName(further).select(row_id, F.explode("hits").alias("hit"))
+    best = Window.partitionBy(row_id).orderBy("hit.squared", "hit.id")
+    top = hits.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
+    return top.groupBy(row_id).agg(F.array_sort(F.collect_list("hit")).alias("neighbours"))
 
 
 def knn_vote(neighbours: Column) -> Column:
@@ -117,8 +276,6 @@ class KnnClassifier(Estimator):
         return KnnClassifier(self.k, self.features, self.label)
 
     def _fit(self, dataset: DataFrame) -> KnnModel:
-        from flowdrift.session import materialize
-
         rows = materialize(
             dataset.select(vector_to_array(self.features).alias("_x"), F.col(self.label).cast("bigint").alias("_label"))
             .withColumn("_id", F.monotonically_increasing_id())
@@ -127,20 +284,24 @@ class KnnClassifier(Estimator):
         return KnnModel(rows, self.k, self.features, classes)
 
 
-class KnnModel(Model):
-    """Adds ``prediction`` and ``probability`` (share of each class among the neighbours)."""
+class KnnModel(Model, MLWritable, MLReadable):
+    """Adds ``prediction`` and ``probability`` (share of each class among the neighbours).
+
+    The model is its training rows, so it is saved as a table beside the parameters.
+    The blocks are cut at the first use. Scoring writes tables: batch frames only,
+    a stream scores inside ``foreachBatch``.
+    """
 
     def __init__(self, rows: DataFrame, k: int, features: str, classes: int) -> None:
         super().__init__()
         self.rows, self.k, self.features, self.classes = rows, k, features, classes
+        self._blocks: Blocks | None = None
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        from flowdrift.session import materialize
-
+        if self._blocks is None:
+            self._blocks = cut_blocks(self.rows.select("_id", "_label", "_x"))
         keyed = materialize(dataset.withColumn("_row", F.monotonically_increasing_id()))
-        near = knn(
-            keyed.withColumn("_x", vector_to_array(self.features)), self.rows, self.k, "_row", "_x", "_id", "_label"
-        )
+        near = nearest_in(keyed.select("_row", vector_to_array(self.features).alias("_x")), self._blocks, self.k, "_row", "_x")
         labels = F.transform("neighbours", lambda n: n.getField("label"))
         share = F.transform(
             F.sequence(F.lit(0), F.lit(self.classes - 1)),
@@ -148,3 +309,36 @@ class KnnModel(Model):
         )
         votes = near.select("_row", knn_vote(F.col("neighbours")).cast("double").alias("prediction"), array_to_vector(share).alias("probability"))
         return keyed.join(votes, "_row").drop("_row")
+
+    def write(self) -> KnnWriter:
+        return KnnWriter(self)
+
+    @classmethod
+    def read(cls) -> KnnReader:
+        return KnnReader()
+
+
+class KnnWriter(MLWriter):
+    """Parameters as metadata, training rows as a Parquet table."""
+
+    def __init__(self, model: KnnModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        model = self.model
+        DefaultParamsWriter.saveMetadata(
+            model, path, self.sparkSession, extraMetadata={"k": model.k, "features": model.features, "classes": model.classes}
+        )
+        model.rows.select("_id", "_label", "_x").write.parquet(f"{path}/rows")
+
+
+class KnnReader(MLReader):
+    """Reads what :class:`KnnWriter` has written; the rows are copied, so the saved folder may be replaced later."""
+
+    def load(self, path: str) -> KnnModel:
+        about = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        rows = materialize(self.sparkSession.read.parquet(f"{path}/rows"))
+        model = KnnModel(rows, about["k"], about["features"], about["classes"])
+        model._resetUid(about["uid"])
+        return model

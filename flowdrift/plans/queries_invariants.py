@@ -40,6 +40,23 @@ def loaded_pipeline_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, "event_id").select("event_id", (F.col("before") == F.col("after")).alias("same"))
 
 
+@query("a8_knn_loaded_agrees", f"WITH {RAW_FLOWS_SQL} SELECT event_id, true AS same, true AS own FROM raw_flows")
+def loaded_neighbours_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved neighbour model answers as before; with one neighbour, each flow is given the label of a flow with its features."""
+    rows, base = labelled(spark, sf_dir), scratch(spark)
+    fitted = ml.train(rows, MODEL_COLUMNS, variant="knn", k=1)
+    sinks.save_pipeline(fitted, base, "flows", "binary", "knn")
+    loaded = sinks.load_pipeline(base, "flows", "binary", "knn")
+    before = ml.score(rows, fitted).select("event_id", F.col("prediction").alias("before"))
+    after = ml.score(rows, loaded).select("event_id", F.col("prediction").alias("after"), "label", *MODEL_COLUMNS)
+    twins = after.groupBy(*MODEL_COLUMNS).agg(F.collect_set("label").alias("seen"))
+    match = [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in MODEL_COLUMNS]
+    own = after.alias("a").join(twins.alias("t"), match).select("event_id", "after", "seen")
+    return before.join(own, "event_id").select(
+        "event_id", (F.col("before") == F.col("after")).alias("same"), F.array_contains("seen", F.col("after")).alias("own")
+    )
+
+
 @query("g2_pca_reaches_its_share", f"WITH {RAW_FLOWS_SQL} SELECT event_id, true AS enough, true AS none_to_spare FROM raw_flows")
 def pca_reaches_its_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many components as 95 % of the variance need, and no more; each row has that many."""

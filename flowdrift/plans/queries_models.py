@@ -220,8 +220,18 @@ def shapley_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("g16_local_surrogate")
+@query(
+    "g16_local_surrogate",
+    f"""WITH {RAW_FLOWS_SQL}, names AS (SELECT unnest(['(intercept)', {", ".join(f"'{c}'" for c in MODEL_COLUMNS)}]) AS feature)
+SELECT feature, count(*) AS rows, true AS finite, true AS bounded FROM raw_flows, names GROUP BY feature""",
+)
 def local_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of 500 samples around every flow; the intercepts, fits of probabilities, stay near 0..1."""
     rows, classifier = _explained(spark, sf_dir)
-    weights = explain.local_surrogate(rows, classifier, MODEL_COLUMNS, "event_id", samples=24)
-    return weights.groupBy("feature").agg(F.avg("weight").alias("mean_weight"), F.count(F.lit(1)).alias("rows"))
+    weights = explain.local_surrogate(rows, classifier, MODEL_COLUMNS, "event_id")
+    inside = (F.col("feature") != "(intercept)") | F.col("weight").between(-0.5, 1.5)
+    return weights.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bool_and(F.col("weight").isNotNull() & ~F.isnan("weight")).alias("finite"),
+        F.bool_and(inside).alias("bounded"),
+    )

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from flowdrift.config import ConformalConfig
@@ -135,6 +135,46 @@ def test_knn_against_brute_force(spark, bounds):
         assert votes[i] == tally.argmax()
 
 
+def test_knn_leaves_out_far_blocks(spark):
+    """Groups of points, one of them a third of all rows and in one place: a row meets few blocks, its neighbours are right."""
+    centres = RNG.normal(size=(20, 4)) * 40
+    points = centres[RNG.integers(0, 20, 1200)] + RNG.normal(size=(1200, 4))
+    points[:400] = centres[0]
+    frame = [(i, p.tolist(), i % 3) for i, p in enumerate(points)]
+    df = spark.createDataFrame(frame, "id bigint, x array<double>, label int").repartition(4)
+    rows = df.select(F.col("id").alias("_id"), F.col("label").cast("bigint").alias("_label"), F.col("x").alias("_x"))
+    blocks = neighbours.cut_blocks(rows, 50)
+    assert blocks.size.max() <= 50 and blocks.size.sum() == 1200 and len(blocks.size) >= 24
+    placed = neighbours.homes(df, blocks, "id", "x")
+    first = neighbours._visit(placed, blocks, 3, "id", 100, 1)
+    # the crowded place has 8 blocks of equal rows, which all have to be met for the smallest ids
+    assert neighbours.visits(first, placed, blocks, 3, "id").count() < 0.25 * 1200 * len(blocks.size)
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in neighbours.knn(df, df, 3, "id", "x", "id", "label", block_rows=50, test_rows=100).collect()}
+    squared = np.round(((points[:, None] - points[None]) ** 2).sum(axis=2), 9)
+    assert got == {i: np.lexsort((np.arange(1200), squared[i]))[:3].tolist() for i in range(1200)}
+
+
+def test_knn_with_fewer_rows_than_neighbours_and_empty_sides(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0], i) for i in range(3)], "id bigint, x array<double>, label int")
+    near = neighbours.knn(df, df, 5, "id", "x", "id", "label", block_rows=1)
+    assert {r["id"]: [n["id"] for n in r["neighbours"]] for r in near.collect()} == {0: [0, 1, 2], 1: [1, 0, 2], 2: [2, 1, 0]}
+    for rows in (None, 1):
+        assert neighbours.knn(df.limit(0), df, 2, "id", "x", "id", "label", block_rows=rows).count() == 0
+    with pytest.raises(ValueError, match="no training rows"):
+        neighbours.knn(df, df.limit(0), 2, "id", "x", "id", "label")
+
+
+def test_saved_neighbours_score_in_another_session(spark, data, tmp_path):
+    fitted = ml.train(data, COLUMNS, variant="knn")
+    expected = {r["id"]: (r["prediction"], r["probability"].toArray().tolist()) for r in ml.score(data, fitted).collect()}
+    for _ in range(2):  # the second time over the first, by a model read from there
+        sinks.save_pipeline(fitted, str(tmp_path), "flows", "binary", "knn")
+        fitted = sinks.load_pipeline(str(tmp_path), "flows", "binary", "knn")
+    other = spark.newSession().createDataFrame(data.collect(), data.schema)
+    assert fitted.stages[-1].k == 5 and fitted.stages[-1].classes == 2
+    assert expected == {r["id"]: (r["prediction"], r["probability"].toArray().tolist()) for r in ml.score(other, fitted).collect()}
+
+
 def test_shapley_adds_up(data):
     model = ml.train(data, COLUMNS, variant="rf", numTrees=3, maxDepth=3)
     rows = ml.feature_part(model).transform(data.filter("id < 20")).select("id", "features")
@@ -159,6 +199,26 @@ def test_local_surrogate_finds_the_driving_feature(data):
     assert mean["a"] > 5 * mean["c"] and mean["b"] > 5 * mean["c"]
 
 
+def test_local_surrogate_is_the_weighted_fit_of_its_samples(data):
+    """A model that is linear in its features is found again, and only sums are shuffled."""
+    model = ml.train(data, COLUMNS, variant="dt", maxDepth=3)
+    rows = ml.feature_part(model).transform(data.filter("id < 40")).select("id", "features")
+
+    class Linear:
+        def transform(self, df):
+            x = vector_to_array("features")
+            p = 0.3 + 0.2 * x[0] - 0.1 * x[1]
+            return df.withColumn("probability", F.array(1 - p, p)).withColumn("probability", array_to_vector("probability"))
+
+    weights = explain.local_surrogate(rows, Linear(), COLUMNS, "id", samples=500, ridge=1e-9)
+    got = {(r["id"], r["feature"]): r["weight"] for r in weights.collect()}
+    assert len(got) == 40 * 5
+    for r in rows.collect():
+        x = r["features"].toArray()
+        expected = [0.3 + 0.2 * x[0] - 0.1 * x[1], 0.2, -0.1, 0.0, 0.0]
+        assert np.allclose([got[r["id"], f] for f in ["(intercept)", *COLUMNS]], expected, atol=1e-6)
+
+
 @pytest.mark.parametrize("kind", ["ice", "cce", "approx_cce", "approx_tce"])
 def test_evaluators(spark, data, kind, tmp_path):
     stages, _ = ml.fit_features(data, COLUMNS)

@@ -395,3 +395,17 @@ def test_replay_with_a_fixed_model(spark):
     steered = DriftConfig(variant="dt", chunk_size=10, significance=SignificanceConfig(window=5))
     _, chunks = replay(train, flows, COLUMNS, steered, "id", maxDepth=3)
     assert {"alpha", "drift", "drift_ema"} <= set(chunks.columns) and chunks.count() == 15
+
+
+def test_drift_stream_with_neighbours_goes_on_after_a_restart(spark, tmp_path):
+    config = DriftConfig(variant="knn", conformal=ConformalConfig(evaluator="ice", folds=2, mode="any"), max_rows=150)
+    stream = lambda: DriftStream(spark, str(tmp_path), COLUMNS, config, order="id", truth="BinLabel")
+    run = stream()
+    run.seed(_flows(spark, 200))
+    batch = _flows(spark, 60, start=1000, seed=5)
+    run.process(batch, 0)
+    kept = ["id", "prediction", "p_value"]
+    before = sorted(run.scored().select(*kept).collect())
+    again = stream()  # reads the saved model
+    again.process(batch, 0)
+    assert sorted(again.scored().select(*kept).collect()) == before and len(before) == 60
