@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -121,18 +123,22 @@ def local_surrogate(
     at = np.triu_indices(d + 2)
     sums_type = T.StructType([df.schema[row_id], T.StructField("_sums", T.ArrayType(T.DoubleType()))])
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            gap = np.vstack(pdf["_z"].to_numpy()) - np.vstack(pdf["_x"].to_numpy())
+            z, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, d) for c in ("_z", "_x"))
+            gap = z - x
             weight = np.exp(-(gap**2).sum(axis=1) / width**2)
-            full = np.hstack([np.ones((len(gap), 1)), gap, pdf["_p"].to_numpy()[:, None]])
-            ids = pdf[row_id].to_numpy()
+            full = np.hstack([np.ones((n, 1)), gap, batch.column("_p").to_numpy(zero_copy_only=False)[:, None]])
             # samples of a row follow each other, so a row has one line in a batch, two if it goes on in the next
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            ids = batch.column(row_id)
+            code = pc.dictionary_encode(ids).indices.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             sums = np.stack([np.add.reduceat(full[:, i] * full[:, j] * weight, first) for i, j in zip(*at)], axis=1)
-            yield pd.DataFrame({row_id: ids[first], "_sums": list(sums)})
+            offsets = np.arange(len(first) + 1, dtype=np.int32) * len(at[0])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))], [row_id, "_sums"])
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -145,7 +151,7 @@ def local_surrogate(
             left = square[:, : d + 1, : d + 1] + ridge * np.eye(d + 1)
             yield pd.Series(list(np.linalg.solve(left, square[:, : d + 1, d + 1 :])[:, :, 0]))
 
-    lines = scored.mapInPandas(reduce, sums_type)
+    lines = scored.mapInArrow(reduce, sums_type)
     total = lines.groupBy(row_id).agg(F.collect_list("_sums").alias("_lines")).select(  # a line per batch that held the row
         row_id,
         F.reduce(
