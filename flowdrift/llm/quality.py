@@ -37,6 +37,7 @@ class Rules:
     max_marks: int = 15  # of a line's bytes: sentence marks
     max_symbols: int = 10  # of a line's bytes: symbols
     max_separators: int = 30  # of a line's words: navigation separators
+    max_phrase_line: int = 40  # words of a line that a boilerplate phrase condemns; a longer line only mentions it
     max_lost: int = 50  # of a document's words
 
 
@@ -60,7 +61,7 @@ def line_verdict(line: bytes, repeated: bool, rules: Rules) -> str | None:
         return "punctuation"
     if len(found) < _SHORT and not found[-1].endswith(_CLOSED):
         return "navigation"
-    if repeated or _BOILERPLATE.search(line.lower()):
+    if repeated or len(found) <= rules.max_phrase_line and _BOILERPLATE.search(line.lower()):
         return "boilerplate"
     return None
 
@@ -132,7 +133,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
 
     Each line with words is held against the rules: too many symbols or sentence
     marks (punctuation), mostly separators or a short open line (navigation), a known
-    phrase or an equal earlier line (boilerplate). A document is kept if it passes
+    phrase in a line of at most 40 words or an equal earlier line (boilerplate). A document is kept if it passes
     the base rules and loses at most half of its words with the removed lines. Null
     texts have no words and fail. Lines are cut at ``\\n`` only.
     """

@@ -165,7 +165,7 @@ v AS (
     OR (len(w) > 2 AND 100 * len(regexp_extract_all(line, '[.,;:!?]')) > 15 * strlen(joined))
     OR (len(w) < 3 AND NOT regexp_matches(w[-1], '[.!?:;"'')…»]$'))
     OR again
-    OR regexp_matches({_LOWER.replace("text", "line")}, '{"|".join(x.decode() for x in quality.BOILERPLATE)}') AS bad
+    OR len(w) <= 40 AND regexp_matches({_LOWER.replace("text", "line")}, '{"|".join(x.decode() for x in quality.BOILERPLATE)}') AS bad
   FROM m),
 c AS (SELECT doc_id, sum(again::INT) AS dup, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost FROM v GROUP BY doc_id),
 b AS (

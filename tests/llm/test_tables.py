@@ -99,6 +99,14 @@ def test_clean_documents_keep_their_text():
     assert quality.judge((CLEAN + "\nHome | News | About\n").encode())["cleaned"] == (CLEAN + "\n").encode()
 
 
+def test_a_long_line_may_mention_a_boilerplate_phrase():
+    prose = CLEAN.replace("\n", " ")
+    long = prose + " Nobody reads the privacy policy of a shop. " + prose
+    assert quality.judge(long.encode())["cleaned"] == long.encode()
+    short = "See our Privacy Policy for more."
+    assert quality.judge(f"{CLEAN}\n{short}\n".encode())["cleaned"] == (CLEAN + "\n").encode()
+
+
 def test_quality_counts(make):
     rows = [(1, "a b c a b c d #$ \n\nx\nx\n"), (2, None), (2, None), (None, "é é é é"), (3, "|" * 100_000)]
     got = {(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.quality(make(rows)).collect()}
