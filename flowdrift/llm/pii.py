@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,8 @@ from flowdrift.session import materialize
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 NEAR = 6  # words on each side of an entity that may reveal it
-SUPPORT = 3  # different contexts in which a term must stand near the entity
 DISCLOSURE = 0.8  # share of an entity's information that a term may give away
+CONFIDENCE = 0.8416  # normal quantile of the lower bound on a term's share of documents with the entity (80 %: doubt is for removal)
 
 _LOCAL = string.ascii_letters + string.digits + "._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,6 +90,17 @@ def _entity(kind: str, value: str) -> int:
     return _key(f"{kind}:{value.lower() if kind == 'email' else _NOT_DIGIT.sub('', value) if kind != 'ip' else value}")
 
 
+def _family(kind: str, value: str) -> int:
+    """What a value shares with others of its kind: mail domain, network of 16 bits, card issuer, start of a phone number."""
+    if kind == "email":
+        own = value.rsplit("@", 1)[1].lower()
+    elif kind == "ip":
+        own = ".".join(value.split(".")[:2])
+    else:
+        own = _NOT_DIGIT.sub("", value)[: 6 if kind == "card" else 4]
+    return _key(f"{kind} family:{own}")
+
+
 def term_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
     """Words that are terms: at least two letters or digits, outside the base spans."""
     taken = sorted((a, b) for _, a, b in base)
@@ -106,38 +117,39 @@ def term_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return out
 
 
-_MENTION = T.StructType(
-    [T.StructField("entity", T.LongType()), T.StructField("context", T.LongType()), T.StructField("near", T.ArrayType(T.LongType()))]
-)
+_MENTION = T.StructType([T.StructField("entity", T.LongType()), T.StructField("near", T.ArrayType(T.LongType()))])
 _FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS],
         T.StructField("base", T.StringType()),
         T.StructField("mentions", T.ArrayType(_MENTION)),
+        T.StructField("words", T.ArrayType(T.LongType())),
         T.StructField("data", T.StringType()),
     ]
 )
 
 
 def _find(batch: pa.RecordBatch) -> pa.Table:
-    """Base spans of each document; mentions, and the text itself, only where there are any."""
+    """Base spans of each document; mentions, terms and the text itself only where there are any."""
     out: dict[str, list] = {f.name: [] for f in _FOUND.fields[1:]}
     for text in batch.column(1).to_pylist():
         spans = base_spans(text or "")
         for k in KINDS:
             out[f"n_{k}"].append(sum(s[0] == k for s in spans))
         out["base"].append(joined(spans))
-        mentions = []
+        mentions, words = [], []
         if spans:
             terms = term_spans(text, spans)
+            keys = [_key(t) for _, _, t in terms]
             starts = [a for a, _, _ in terms]
+            words = sorted(set(keys))
             for kind, a, b in spans:
                 at = int(np.searchsorted(starts, a))
-                near = sorted({_key(t) for _, _, t in terms[max(0, at - NEAR) : at + NEAR]})
-                context = _key(" ".join(t for _, _, t in terms[max(0, at - NEAR) : at + NEAR]))
-                mentions.append({"entity": _entity(kind, text[a:b]), "context": context, "near": near})
+                near = sorted(set(keys[max(0, at - NEAR) : at + NEAR]))
+                mentions.extend({"entity": e, "near": near} for e in (_entity(kind, text[a:b]), _family(kind, text[a:b])))
         out["mentions"].append(mentions)
+        out["words"].append(words)
         out["data"].append(text if spans else None)
     return pa.table({"doc_id": batch.column(0), **out})
 
@@ -222,46 +234,55 @@ def _finish(batch: pa.RecordBatch) -> pa.Table:
     )
 
 
-def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _at_least(part: Column, whole: Column) -> Column:
+    """Lower end of the Wilson interval of a share."""
+    p, z2 = part / whole, CONFIDENCE * CONFIDENCE
+    spread = F.sqrt(p * (1 - p) / whole + z2 / (4 * whole * whole))
+    return (p + z2 / (2 * whole) - CONFIDENCE * spread) / (1 + z2 / whole)
+
+
+def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised), one for each row of ``docs``.
 
     Base spans are matches of four patterns. Each matched value is a protected
-    entity. A term t near an entity e (six words on each side) gives away
-    PMI(t; e) = log(N df(t, e) / (df(t) df(e))) of the information
-    IC(e) = log(N / df(e)); with ``df`` counted over all documents. A term found near
-    e in at least ``support`` different contexts that gives away at least
-    ``disclosure`` of it is a span of kind ``term`` wherever it stands in a document
+    entity, and so is its family (mail domain, network, card issuer, start of a phone
+    number), which lets values that occur once count together. The kind itself is no
+    secret: it stands in the sanitised text. With N documents an entity e holds
+    IC(e) = log(N / df(e)), and a term t near it (six words on each side) gives away
+    PMI(t; e) = log(P(e near t | t) N / df(e)). For the probability the lower end of
+    its interval (80 % on one side) counts, which admits entities seen once and drops terms that
+    stand mostly elsewhere. ``df`` counts all documents. A term that gives away at least
+    ``disclosure`` of e is a span of kind ``term`` wherever it stands in a document
     that mentions e. ``sanitised`` is the text with base spans replaced by their kind
     and terms generalised or removed; null where there was nothing to replace, so
     documents without protected entities are left alone. Null texts are empty.
-    Repeated rows get equal results; equal contexts count once as support.
+    Repeated rows get equal results and count as documents of their own.
 
-    Only documents with entities carry their text on, and only pairs of entity and
-    term with enough support meet the document counts.
+    Only documents with entities carry their text and terms on. The counts that meet
+    at one term are stored before, so that Spark can split a frequent one. A frequent term
+    reveals few entities, so the last joins stay near the size of those documents.
     """
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("data"))
     found = materialize(map_batches(rows, _find, _FOUND).withColumn("row", F.monotonically_increasing_id()))
-    counts = rows.select("data").mapInArrow(_frequencies, _FREQUENCY).groupBy("term").agg(F.sum("n").alias("df_term"))
-    total = found.count()
+    counts = materialize(rows.select("data").mapInArrow(_frequencies, _FREQUENCY).groupBy("term").agg(F.sum("n").alias("df_term")))
+    total = F.lit(float(max(found.count(), 1)))
     mention = found.filter("data is not null").select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     entities = mention.select("row", "entity").distinct()
     df_entity = entities.groupBy(F.col("entity").alias("_e")).agg(F.count(F.lit(1)).alias("df_entity"))
-    near = mention.select("row", "entity", "context", F.explode("near").alias("term"))
-    enough = (
-        near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
-    )
-    enough = materialize(enough)
-    both = (
-        near.join(enough.select(F.col("entity").alias("_e"), F.col("term").alias("_t")), (F.col("entity") == F.col("_e")) & (F.col("term") == F.col("_t")))
-        .select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
-    )
-    information = F.log(F.lit(float(max(total, 1))) / F.col("df_entity"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("df_both") / (F.col("df_term") * F.col("df_entity")))
-    revealing = (
+    near = mention.select("row", "entity", F.explode("near").alias("term")).distinct()
+    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
+    both = materialize(both.join(df_entity, F.col("entity") == F.col("_e")).drop("_e"))
+    information = F.log(total / F.col("df_entity"))
+    given = F.log(_at_least(F.col("df_both"), F.col("df_term")) * total / F.col("df_entity"))
+    revealing = materialize(
         both.join(counts.withColumnRenamed("term", "_t"), F.col("term") == F.col("_t"))
-        .join(df_entity, F.col("entity") == F.col("_e"))
-        .filter((information > 0) & (pmi >= F.lit(disclosure) * information))
-        .select(F.col("entity").alias("_e"), "term")
+        .filter((information > 0) & (given >= F.lit(disclosure) * information))
+        .select(F.col("entity").alias("_e"), F.col("term").alias("_t"))
+    )
+    words = found.filter("data is not null").select("row", F.explode("words").alias("term"))
+    hits = words.join(revealing, F.col("term") == F.col("_t")).select(F.col("row").alias("_r"), "_e", "term")
+    terms = (
+        hits.join(entities, (F.col("_r") == F.col("row")) & (F.col("_e") == F.col("entity")), "left_semi")
+        .groupBy(F.col("_r").alias("_row")).agg(F.collect_set("term").alias("terms"))
     )
-    terms = entities.join(revealing, F.col("entity") == F.col("_e")).groupBy(F.col("row").alias("_row")).agg(F.collect_set("term").alias("terms"))
-    return map_batches(found.join(terms, F.col("row") == F.col("_row"), "left").drop("mentions", "row", "_row"), _finish, _RESULT)
+    return map_batches(found.join(terms, F.col("row") == F.col("_row"), "left").drop("mentions", "words", "row", "_row"), _finish, _RESULT)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,6 +150,63 @@ def test_terms_that_reveal_an_entity(make):
     assert len(pii.find_personal(make(rows)).collect()) == len(rows) and pii.find_personal(make([])).count() == 0
 
 
+def brute_terms(rows):
+    """The revealed (row, term) pairs by the formula, over the patterns as written down."""
+    n, df_term, df_entity, both, mentions, words = len(rows), Counter(), Counter(), Counter(), [], []
+    for _, text in rows:
+        base = brute_base(text)
+        own = [(m.start(), m.group().strip(string.punctuation).lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        df_term.update({t for _, t in own if len(t) > 1})
+        free = [(a, t) for a, t in own if len(t) > 1 and not any(s <= a < e for _, s, e in base)]
+        near = {}
+        for kind, s, e in base:
+            value = text[s:e]
+            family = {"email": value.split("@")[-1], "ip": value.rsplit(".", 2)[0]}[kind]
+            around = [t for a, t in free if a < s][-6:] + [t for a, t in free if a > s][:6]
+            for key in (value, (kind, family)):
+                near.setdefault(key, set()).update(around)
+        df_entity.update(list(near))
+        both.update((e, t) for e, found in near.items() for t in found)
+        mentions.append(set(near)), words.append({t for _, t in free})
+    revealing = set()
+    for (e, t), k in both.items():
+        p, m, z = k / df_term[t], df_term[t], pii.CONFIDENCE
+        low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        ic = math.log(n / df_entity[e])
+        if ic > 0 and math.log(low * n / df_entity[e]) >= pii.DISCLOSURE * ic:
+            revealing.add((e, t))
+    return [{t for t in w if any((e, t) in revealing for e in es)} for es, w in zip(mentions, words, strict=True)]
+
+
+def test_terms_against_the_formula(make):
+    rng = random.Random(8)
+    names, common = [f"name{k}" for k in range(30)], [f"word{k}" for k in range(25)]
+    rows = []
+    for k in range(300):
+        text = rng.choices(common, k=rng.randrange(30))
+        if k % 3 == 0:
+            who = rng.randrange(30)
+            value = f"u{who}@host{who % 4}.example" if rng.random() < 0.7 else f"10.{who % 3}.0.{who}"
+            text[len(text) // 2 : len(text) // 2] = [names[who], value, f"team{who % 4}"]
+        elif rng.random() < 0.1:
+            text.append(rng.choice(names))
+        rows.append((k, " ".join(text)))
+    want = brute_terms(rows)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(make(rows)).collect()}
+    for (k, text), terms in zip(rows, want, strict=True):
+        spans = [s.split(":") for s in got[k].split(",") if s.startswith("term:")]
+        assert {text[int(a) : int(b)] for _, a, b in spans} == terms
+    planted = [t for terms in want for t in terms]
+    right = sum(t.startswith(("name", "team")) for t in planted)
+    assert right > 60 and right >= 0.95 * len(planted)
+
+
+def test_personal_data_in_a_very_long_text(make):
+    text = "Anna a@b.example " + "lorem ipsum " * 100_000 + "a@b.example Anna"
+    got = pii.find_personal(make([(1, text), (1, text), (2, None), (3, "lorem")])).filter("doc_id = 1").collect()
+    assert len(got) == 2 and got[0]["n_email"] == 2 and got[0]["spans"] == got[1]["spans"]
+
+
 def test_language_held_out(spark):
     docs = read(spark, SF, "documents")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
