@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 VARIANTS = ("dt", "knn", "rf", "svm", "mlp", "gbt")
+EVALUATOR_MODELS = ("classifier", "svm", "mlp")
 EVALUATORS = ("ice", "cce", "approx_cce", "approx_tce", "none")
 
 
@@ -75,7 +76,11 @@ class ConformalConfig:
 
 @dataclass(frozen=True)
 class DriftConfig:
-    """Settings of a drift replay or a live drift stream."""
+    """Settings of a drift replay or a live drift stream.
+
+    The evaluator is calibrated with a model like the classifier, or with one of its own:
+    a linear SVM or a net of three hidden layers. ``evaluator_params`` go to that model.
+    """
 
     variant: str = "rf"
     task: str = "binary"
@@ -87,6 +92,8 @@ class DriftConfig:
     use_pca: bool = False
     scope: str = "model"
     adaptive_chunks: ChunkConfig | None = None
+    evaluator_model: str = "classifier"
+    evaluator_params: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         _check(self.variant in VARIANTS, f"unknown model variant: {self.variant}")
@@ -94,6 +101,8 @@ class DriftConfig:
         _check(0.0 <= self.threshold <= 1.0, "threshold must lie in [0, 1]")
         _check(self.chunk_size > 0, "chunk_size must be positive")
         _check(self.max_rows > 0, "max_rows must be positive")
+        _check(self.evaluator_model in EVALUATOR_MODELS, f"unknown evaluator model: {self.evaluator_model}")
+        _check(self.evaluator_model != "classifier" or not self.evaluator_params, "evaluator_params need an evaluator model of its own")
         _check(self.scope in ("model", "evaluator_only"), f"unknown retrain scope: {self.scope}")
         # The level is adapted from the first row of each chunk, so only that row can be tested at it.
         _check(self.significance is None or self.conformal.mode == "first", "an adaptive significance needs the mode first")

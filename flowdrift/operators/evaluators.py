@@ -101,10 +101,11 @@ def _predict_fold(model, df: DataFrame, i: int) -> DataFrame:
     return out.drop(*_new_columns(base, out, (f"_class_{i}", f"_score_{i}")))
 
 
-def _calibration_rows(model, df: DataFrame, row_id: str, label: str) -> DataFrame:
-    """(seq, true class, score by true class, predicted class, score by predicted class)."""
+def _calibration_rows(model, df: DataFrame, row_id: str, label: str, *kept: str) -> DataFrame:
+    """(kept columns, seq, true class, score by true class, predicted class, score by predicted class)."""
     out = model.transform(df.drop(*_OUTPUTS))
     return out.select(
+        *kept,
         F.col(row_id).alias("seq"),
         F.col(label).cast("int").alias("class"),
         conformal.nonconformity("probability", label).alias("score"),
@@ -127,11 +128,11 @@ def _finish(
 def calibrate_ice(
     df: DataFrame, estimator: Estimator, config: ConformalConfig, row_id: str, label: str = "label", window: int = 100
 ) -> Calibrated:
-    """Fit on a stratified part, calibrate on the held-out rest, judge on all rows."""
+    """Fit on a stratified part, calibrate on the held-out rest, judge on all rows. Every row is scored once."""
     marked = materialize(split(df, row_id, 1.0 - config.calibration_split, label, "_proper"))
     model = fresh_estimator(estimator).fit(marked.filter("_proper"))
-    rows = materialize(_calibration_rows(model, marked.filter("NOT _proper"), row_id, label))
-    judged = _calibration_rows(model, marked, row_id, label)
+    judged = materialize(_calibration_rows(model, marked, row_id, label, "_proper"))
+    rows = judged.filter("NOT _proper")
     return _finish(config, [model], rows, judged, rows, window)
 
 

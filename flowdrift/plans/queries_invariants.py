@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdrift.config import ConformalConfig
+from flowdrift.config import ConformalConfig, DriftConfig
 from flowdrift.operators import metrics, ml, sampling
 from flowdrift.operators.evaluators import make_evaluator
 from flowdrift.plans.queries_models import MODEL_COLUMNS, labelled, multi_labelled
@@ -14,6 +14,7 @@ from flowdrift.plans.registry import query
 from flowdrift.plans.tables import RAW_FLOWS_SQL
 from flowdrift.session import materialize
 from flowdrift.sources import sinks
+from flowdrift.streaming.drift import fit_version
 
 # The 80/20 split by the order of a hash of the row id, over all rows and inside the binary label.
 _SPLIT_SQL = f"""{RAW_FLOWS_SQL}, named AS (SELECT event_id, label, label <> 'Benign' AS attack FROM raw_flows),
@@ -137,6 +138,16 @@ def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.select(F.col("fold").cast("bigint"), F.col("accuracy").between(0, 1).alias("valid"), whole)
 
 
+@query("g6_cv_summary", f"WITH {RAW_FLOWS_SQL} SELECT avg(1.0::double) AS mean_accuracy, 0.0::double AS std_accuracy FROM raw_flows")
+def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label that one feature decides is learned without a fault in every fold."""
+    rows = labelled(spark, sf_dir).withColumn("label", (F.col("event_id") % 2).cast("double"))
+    rows = rows.withColumn("side", F.col("label") * 2 - 1)
+    stages, vector = ml.fit_features(rows, [*MODEL_COLUMNS, "side"])
+    prepared = ml.PipelineModel(stages=stages).transform(rows).select("event_id", vector, "label")
+    return ml.cv_summary(ml.cv_accuracy(prepared, ml.make_estimator("dt"), "event_id"))
+
+
 @query("g12_score_rows", f"WITH {RAW_FLOWS_SQL} SELECT event_id, true AS valid FROM raw_flows")
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row is scored once, with a missing feature column, and carries the name of its class."""
@@ -195,6 +206,26 @@ def approx_tce_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(spark, sf_dir, "approx_tce")
 
 
+def _calibrated_apart(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Calibration rows of each class for an evaluator whose model is not the classifier."""
+    config = DriftConfig(variant="dt", conformal=ConformalConfig(evaluator="ice"), evaluator_model=kind)
+    model = fit_version(labelled(spark, sf_dir), MODEL_COLUMNS, config, 0, "label", "event_id")
+    return model.evaluator.counts.groupBy(F.col("class").cast("bigint").alias("class")).agg(F.sum("n").alias("rows"))
+
+
+_CALIBRATED_SQL = f"WITH {_SPLIT_SQL} SELECT attack::bigint AS class, count(*) AS rows FROM placed WHERE {_HELD_OUT_BY_CLASS} GROUP BY 1"
+
+
+@query("i5_svm_evaluator_counts", _CALIBRATED_SQL)
+def svm_evaluator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated_apart(spark, sf_dir, "svm")
+
+
+@query("i5_mlp_evaluator_counts", _CALIBRATED_SQL)
+def mlp_evaluator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated_apart(spark, sf_dir, "mlp")
+
+
 @query(
     "i11_make_evaluator",
     f"WITH {_SPLIT_SQL} SELECT kind, count(*) AS rows FROM placed, (VALUES ('ice'), ('approx_tce')) k(kind) WHERE {_HELD_OUT_BY_CLASS} GROUP BY kind",

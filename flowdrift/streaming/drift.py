@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +44,14 @@ class ModelVersion:
     evaluator: Calibrated | None
 
 
+def _evaluator_estimator(config: DriftConfig, width: int, classes: int, classifier_params: dict) -> Estimator:
+    """The unfitted model that the evaluator is calibrated with."""
+    if config.evaluator_model == "classifier":
+        return make_estimator(config.variant, config.task, width, classes, **classifier_params)
+    own = {"kernel": "linear"} if config.evaluator_model == "svm" else {"hidden": [256, 128, 64]}
+    return make_estimator(config.evaluator_model, config.task, width, classes, **{**own, **config.evaluator_params})
+
+
 def fit_version(
     rows: DataFrame, columns: list[str], config: DriftConfig, version: int, label: str = "BinLabel", seq: str = "seq",
     **overrides,
@@ -63,9 +71,10 @@ def fit_version(
     width = len(columns) if not config.use_pca else len(stages[-1].getIndices())
     estimator = make_estimator(config.variant, config.task, width, classes, **overrides)
     calibrate = make_evaluator(config.conformal.evaluator)
-    evaluator = calibrate(prepared, estimator, config.conformal, seq) if calibrate else None
+    judge = _evaluator_estimator(config, width, classes, overrides)
+    evaluator = calibrate(prepared, judge, config.conformal, seq) if calibrate else None
     # the approximate evaluators fit the same estimator on the same rows
-    shared = evaluator is not None and evaluator.evaluator in ("approx_cce", "approx_tce")
+    shared = evaluator is not None and evaluator.evaluator in ("approx_cce", "approx_tce") and config.evaluator_model == "classifier"
     classifier = evaluator.models[0] if shared else estimator.fit(prepared)
     if not isinstance(classifier, PipelineModel):
         classifier = PipelineModel(stages=[classifier])
@@ -358,7 +367,7 @@ class DriftStream:
         )
         classes = prepared.select("label").distinct().count()
         width = len(prepared.first()["features"])
-        estimator = make_estimator(self.config.variant, self.config.task, width, classes, **self.classifier_params)
+        estimator = _evaluator_estimator(self.config, width, classes, self.classifier_params)
         return make_evaluator(self.config.conformal.evaluator)(prepared, estimator, self.config.conformal, "seq")
 
     # results -------------------------------------------------------------------

@@ -409,3 +409,33 @@ def test_drift_stream_with_neighbours_goes_on_after_a_restart(spark, tmp_path):
     again = stream()  # reads the saved model
     again.process(batch, 0)
     assert sorted(again.scored().select(*kept).collect()) == before and len(before) == 60
+
+
+@pytest.mark.parametrize(("kind", "params"), [("svm", {"maxIter": 10}), ("mlp", {"maxIter": 10})])
+def test_evaluator_with_a_model_of_its_own(spark, tmp_path, kind, params):
+    config = DriftConfig(
+        variant="dt", conformal=ConformalConfig(evaluator="approx_tce", mode="any"), max_rows=150, evaluator_model=kind, evaluator_params=params
+    )
+    stream = lambda: DriftStream(spark, str(tmp_path), COLUMNS, config, order="id", truth="BinLabel", classifier_params={"maxDepth": 3})
+    run = stream()
+    run.seed(_flows(spark, 200))
+    batch = _flows(spark, 60, start=1000, seed=5)
+    run.process(batch, 0)
+    kept = ["id", "prediction", "class", "p_value"]
+    before = sorted(run.scored().select(*kept).collect())
+    assert len(before) == 60 and all(0 < r["p_value"] <= 1 for r in before)
+    model = run._held
+    judge, own = model.evaluator.models[0], model.classifier
+    stages = [type(s).__name__ for s in (judge.stages if hasattr(judge, "stages") else [judge])]
+    assert ("LinearSVCModel" in stages) if kind == "svm" else stages == ["MultilayerPerceptronClassificationModel"]
+    assert [type(s).__name__ for s in own.stages] == ["DecisionTreeClassificationModel"]
+    again = stream()  # reads the saved models
+    again.process(batch, 0)
+    assert sorted(again.scored().select(*kept).collect()) == before
+
+
+def test_evaluator_model_settings():
+    with pytest.raises(ValueError):
+        DriftConfig(evaluator_model="tree")
+    with pytest.raises(ValueError):
+        DriftConfig(evaluator_params={"maxIter": 3})
