@@ -94,3 +94,11 @@ def test_last_series_and_export(spark, lines, tmp_path):
 
 def test_listed_evaluators_only(lines):
     assert runlog.runs_by_group(lines, ["cce"]).count() == 0
+
+
+def test_maxima_are_not_broadcast(spark):
+    """One maximum per classifier may be millions: they are shuffled, however small Spark takes them to be."""
+    rows = [("a", "f1s", 40.0), ("a", "f1s", 0.5), ("b", "f1s", 0.5), (None, "f1s", 2.0)]
+    scaled = runlog.rescale_percent(spark.createDataFrame(rows, "classifier string, metric string, value double"))
+    assert sorted((r["classifier"] or "", r["value"]) for r in scaled.collect()) == [("", 0.02), ("a", 0.005), ("a", 0.4), ("b", 0.5)]
+    assert "Broadcast" not in scaled._jdf.queryExecution().executedPlan().toString()
