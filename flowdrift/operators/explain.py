@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,17 @@ def _unit(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+# Vectors scored by one task: few input rows become many, so the rows are dealt out before they are unfolded.
+SCORED_ROWS = 2_000_000
+
+
+def _dealt(df: DataFrame, row_id: str, features: str, each: int) -> DataFrame:
+    """``row_id`` and its features as an array ``_x``, in as many parts as ``each`` vectors per row need."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(4 * cores, -(-df.count() * each // SCORED_ROWS))
+    return df.select(F.col(row_id), vector_to_array(features).alias("_x")).repartition(parts, F.col(row_id))
+
+
 def shapley_attribution(
     df: DataFrame,
     model: Model,
@@ -35,12 +46,14 @@ def shapley_attribution(
     background (0 = training mean of scaled features) to the row's value; the
     change in probability is credited to the feature. Attributions of a row add
     up to its probability minus the background's. One (row, order) walk has one
-    entry per feature plus one, whatever the table size.
+    entry per feature plus one, whatever the table size. Each scored step counts for the
+    feature that moved last and against the one that moves next, so the walks are summed
+    where they are scored, without sorting their steps. ``row_id`` is unique and not null.
     """
     d = len(names)
     base = F.array(*[F.lit(float(b)) for b in (background or [0.0] * d)])
     walk = (
-        df.select(F.col(row_id), vector_to_array(features).alias("_x"))
+        _dealt(df, row_id, features, permutations * (d + 1))
         .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
         .withColumn(
             "_order",
@@ -57,21 +70,21 @@ def shapley_attribution(
         .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
         .withColumn("_on", F.slice("_order", F.lit(1), F.col("_step")))
     )
-    mixed = F.transform(
-        F.col("_x"), lambda x, j: F.when(F.array_contains(F.col("_on"), j), x).otherwise(F.get(base, j))
-    )
-    scored = model.transform(walk.withColumn(features, array_to_vector(mixed)))
-    w = Window.partitionBy(row_id, "_perm").orderBy("_step")
-    p = vector_to_array("probability")
-    gains = (
-        scored.select(row_id, "_perm", "_step", "_order", p.alias("_p"))
-        .withColumn("_before", F.lag("_p").over(w))
-        .filter(F.col("_step") > 0)
-        .withColumn("_j", F.get("_order", F.col("_step") - 1))
-        .select(row_id, "_j", F.posexplode(F.zip_with("_p", "_before", lambda a, b: a - b)).alias("class", "_gain"))
+    x = [F.get("_x", F.lit(j)) for j in range(d)]
+    mixed = F.array(*[F.when(F.array_contains("_on", F.lit(j)), x[j]).otherwise(F.get(base, F.lit(j))) for j in range(d)])
+    scored = model.transform(walk.withColumn(features, array_to_vector(mixed))).select(
+        row_id, F.get("_order", F.col("_step") - 1).alias("_last"), F.get("_order", F.col("_step")).alias("_next"),
+        vector_to_array("probability").alias("_p"),
     )
-    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("_j"))
-    return gains.groupBy(row_id, "class", name.alias("feature")).agg(F.avg("_gain").alias("attribution"))
+    gains = {}
+    for j in range(d):
+        sign = F.when(F.col("_last") == j, 1.0).when(F.col("_next") == j, -1.0)
+        for c in range(model.numClasses):
+            gains[j, c] = (F.sum(sign * F.get("_p", F.lit(c))) / permutations).alias(f"_{j}_{c}")
+    lines = [
+        F.struct(F.lit(c).alias("class"), F.lit(names[j]).alias("feature"), F.col(f"_{j}_{c}").alias("attribution")) for j, c in gains
+    ]
+    return scored.groupBy(row_id).agg(*gains.values()).select(row_id, F.inline(F.array(*lines)))
 
 
 def attribution_summary(attributions: DataFrame) -> DataFrame:
@@ -101,23 +114,21 @@ def local_surrogate(
     """
     d = len(names)
     width = 0.75 * float(np.sqrt(d))
+    x = [F.get("_x", F.lit(j)) for j in range(d)]
+
+    def noise(j: int) -> Column:
+        radius = F.sqrt(-2 * F.ln(_unit(F.col(row_id), F.col("_s"), F.lit(j), F.lit(1))))
+        return radius * F.cos(2 * np.pi * _unit(F.col(row_id), F.col("_s"), F.lit(j), F.lit(2)))
+
+    # one expression per feature: unlike a function over an array, these are compiled
     noisy = (
-        df.select(F.col(row_id), vector_to_array(features).alias("_x"))
+        _dealt(df, row_id, features, samples)
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn(
-            "_z",
-            F.transform(
-                F.col("_x"),
-                lambda x, j: F.when(F.col("_s") == 0, x).otherwise(
-                    x
-                    + F.sqrt(-2 * F.ln(_unit(F.col(row_id), F.col("_s"), j, F.lit(1))))
-                    * F.cos(2 * np.pi * _unit(F.col(row_id), F.col("_s"), j, F.lit(2)))
-                ),
-            ),
-        )
+        .withColumn("_z", F.array(*[F.when(F.col("_s") == 0, x[j]).otherwise(x[j] + noise(j)) for j in range(d)]))
     )
+    gap = F.array(*[F.get("_z", F.lit(j)) - x[j] for j in range(d)])
     scored = model.transform(noisy.withColumn(features, array_to_vector("_z"))).select(
-        row_id, "_x", "_z", F.get(vector_to_array("probability"), F.lit(target)).alias("_p")
+        row_id, gap.alias("_gap"), F.get(vector_to_array("probability"), F.lit(target)).alias("_p")
     )
 
     at = np.triu_indices(d + 2)
@@ -128,15 +139,16 @@ def local_surrogate(
             n = batch.num_rows
             if not n:
                 continue
-            z, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, d) for c in ("_z", "_x"))
-            gap = z - x
-            weight = np.exp(-(gap**2).sum(axis=1) / width**2)
-            full = np.hstack([np.ones((n, 1)), gap, batch.column("_p").to_numpy(zero_copy_only=False)[:, None]])
+            full = np.ones((n, d + 2))
+            full[:, 1:-1] = batch.column("_gap").flatten().to_numpy(zero_copy_only=False).reshape(n, d)
+            full[:, -1] = batch.column("_p").to_numpy(zero_copy_only=False)
+            weight = np.exp(-(full[:, 1:-1] ** 2).sum(axis=1) / width**2)
             # samples of a row follow each other, so a row has one line in a batch, two if it goes on in the next
             ids = batch.column(row_id)
             code = pc.dictionary_encode(ids).indices.to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            sums = np.stack([np.add.reduceat(full[:, i] * full[:, j] * weight, first) for i, j in zip(*at)], axis=1)
+            weighted = full * weight[:, None]
+            sums = np.stack([(weighted[i:j].T @ full[i:j])[at] for i, j in zip(first, np.r_[first[1:], n])])
             offsets = np.arange(len(first) + 1, dtype=np.int32) * len(at[0])
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))], [row_id, "_sums"])
 
@@ -160,4 +172,5 @@ def local_surrogate(
     )
     labels = F.array(*[F.lit(n) for n in ["(intercept)", *names]])
     fitted = total.select(row_id, F.arrays_zip(labels.alias("feature"), solve("_sums").alias("weight")).alias("_w"))
-    return fitted.select(row_id, F.inline("_w").alias("feature", "weight"))
+    # never empty; the plain form would filter on the solution first and so solve twice
+    return fitted.select(row_id, F.inline_outer("_w").alias("feature", "weight"))

@@ -239,3 +239,25 @@ def test_evaluators(spark, data, kind, tmp_path):
     a = {r["id"]: r["p_value"] for r in scored.collect()}
     assert a == {r["id"]: r["p_value"] for r in again.predict(rows).collect()}
     assert c.flags(scored).columns[-1] == "drift"
+
+
+def test_explanations_deal_out_their_rows(data):
+    """Input in one part is scored by many tasks; walks are summed without a window; systems are solved once."""
+    model = ml.train(data, COLUMNS, variant="dt", maxDepth=3)
+    rows = ml.feature_part(model).transform(data).select("id", "features").coalesce(1)
+
+    class Where:
+        numClasses = 2
+
+        def transform(self, df):
+            where = F.array(F.spark_partition_id().cast("double"), F.lit(0.0))
+            return model.stages[-1].transform(df).withColumn("probability", array_to_vector(where))
+
+    walks = explain.shapley_attribution(rows, model.stages[-1], COLUMNS, "id", permutations=2)
+    weights = explain.local_surrogate(rows, model.stages[-1], COLUMNS, "id", samples=20)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (walks, weights)]
+    assert "Window" not in plans[0]
+    assert plans[1].count("ArrowEvalPython") == 1
+    # a sample's probability is its task's number: the fitted intercepts differ where the tasks do
+    seen = explain.local_surrogate(rows, Where(), COLUMNS, "id", samples=20, target=0).filter("feature = '(intercept)'")
+    assert seen.select(F.round("weight")).distinct().count() > 8
