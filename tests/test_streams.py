@@ -439,3 +439,35 @@ def test_evaluator_model_settings():
         DriftConfig(evaluator_model="tree")
     with pytest.raises(ValueError):
         DriftConfig(evaluator_params={"maxIter": 3})
+
+
+def test_a_long_step_arrives_as_several_files(spark, monkeypatch):
+    """No single task writes a step; a micro-batch still holds a whole step, and controllers go through it in slices."""
+    from flowdrift.config import ChunkConfig, SignificanceConfig
+    from flowdrift.operators.control import Levels
+    from flowdrift.plans import queries_streams as q
+    from flowdrift.sources import readers
+    from flowdrift.streaming import chunks, state
+
+    monkeypatch.setattr(q, "ARRIVING_ROWS", 20_000)
+    n = 2 * max(state.SLICE_ROWS, chunks.SLICE_ROWS) + 20_000
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"), F.lit("one").alias("key"), F.concat(F.lit("c"), F.pmod(F.xxhash64("id"), F.lit(3))).alias("class"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 1000).alias("p_value"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(9)) == 0).alias("row_drift"),
+    ).withColumn("row_drift", F.when(F.col("seq") % 7 != 0, F.col("row_drift")))
+    path, schema, files = q.arriving(rows, "seq", 2)
+    assert files == n // 2 // 20_000
+    stream = lambda: readers.stream_flows(spark, path, schema, "parquet", files)
+    sizes = []
+    stream().writeStream.foreachBatch(lambda df, i: sizes.append(df.count())).option("checkpointLocation", q.scratch(spark)).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert sizes == [n // 2, n // 2]
+    plain = rows.orderBy("seq").toPandas()
+    got = q.drained(state.significance_stream(stream(), "key")).orderBy("seq").toPandas()
+    expected = Levels(SignificanceConfig()).scan(plain["class"].to_numpy(dtype=object), plain["p_value"].to_numpy(dtype=float))
+    assert (got["seq"] == plain["seq"]).all() and (got["class"] == plain["class"]).all() and (got["alpha"] == expected).all()
+    cut = q.drained(chunks.chunk_stream(stream(), "key", mode="rate", rate=0.1)).orderBy("seq").toPandas()
+    whole, rest = chunks.ChunkLoop(ChunkConfig(), "rate", 0.1).cut(plain.rename(columns={"class": "kind"}).astype({"row_drift": "boolean"}))
+    assert len(cut) == n - len(rest) and (cut["seq"] == whole["seq"]).all()
+    assert all((cut[c] == whole[c]).all() for c in ("chunk_no", "chunk_rows", "drift", "next_size"))
