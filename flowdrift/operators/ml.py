@@ -209,7 +209,9 @@ def make_estimator(
             raise ValueError("mlp needs n_features")
         hidden = overrides.pop("hidden", [64, 32] if task == "binary" else [128, 64])
         layers = [n_features, *hidden, n_classes]
-        return MultilayerPerceptronClassifier(**common, layers=layers, **{"maxIter": 50, "seed": SEED, **overrides})
+        from flowdrift.operators.nets import NetClassifier
+
+        return NetClassifier(MultilayerPerceptronClassifier(**common, layers=layers, **{"maxIter": 50, "seed": SEED, **overrides}))
     if variant == "knn":
         from flowdrift.operators.neighbours import KnnClassifier
 
