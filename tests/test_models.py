@@ -154,6 +154,26 @@ def test_knn_leaves_out_far_blocks(spark):
     assert got == {i: np.lexsort((np.arange(1200), squared[i]))[:3].tolist() for i in range(1200)}
 
 
+def test_knn_copies_no_row_for_each_small_block(spark):
+    """Evenly filled space: every block is met, but a row is copied once for each shelf of blocks, and copies of a vector are left out."""
+    points = np.vstack([RNG.uniform(size=(1500, 12))] + [RNG.uniform(size=(1, 12))] * 300)
+    frame = [(i, p.tolist(), i % 3) for i, p in enumerate(points)]
+    df = spark.createDataFrame(frame, "id bigint, x array<double>, label int").repartition(4)
+    rows = df.select(F.col("id").alias("_id"), F.col("label").cast("bigint").alias("_label"), F.col("x").alias("_x"))
+    few = neighbours.distinct_enough(rows, 3)
+    assert few.count() == 1503
+    blocks = neighbours.cut_blocks(few, 20)
+    placed = neighbours.homes(df, blocks, "id", "x")
+    first = neighbours._visit(placed, blocks, 3, "id", 40, 1)
+    shelf = neighbours._groups(blocks.size, 200)
+    assert (np.diff(shelf) >= 0).all() and np.bincount(shelf, blocks.size).max() < 220 and len(blocks.size) > 70
+    met = neighbours.visits(first, placed, blocks, 3, "id", shelf)
+    assert met.count() <= 1800 * (shelf.max() + 1) < 0.2 * neighbours.visits(first, placed, blocks, 3, "id").count()
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in neighbours.knn(df, df, 3, "id", "x", "id", "label", block_rows=20, test_rows=40).collect()}
+    squared = np.round(((points[:, None] - points[None]) ** 2).sum(axis=2), 9)
+    assert got == {i: np.lexsort((np.arange(1800), squared[i]))[:3].tolist() for i in range(1800)}
+
+
 def test_knn_with_fewer_rows_than_neighbours_and_empty_sides(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0], i) for i in range(3)], "id bigint, x array<double>, label int")
     near = neighbours.knn(df, df, 5, "id", "x", "id", "label", block_rows=1)
