@@ -177,7 +177,8 @@ def read_run_logs(
             F.trim("value").alias("text"),
         )
     )
-    folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    # a pattern that ends at the last name would be tried again at every letter of the path, for every line
+    folder = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
     lines = lines.filter(~folder.startswith(exclude_prefix))
     return number_rows(lines, ["_at", "_seq"], ["path"], "line_no").select(
         "path",

@@ -102,3 +102,11 @@ def test_maxima_are_not_broadcast(spark):
     scaled = runlog.rescale_percent(spark.createDataFrame(rows, "classifier string, metric string, value double"))
     assert sorted((r["classifier"] or "", r["value"]) for r in scaled.collect()) == [("", 0.02), ("a", 0.005), ("a", 0.4), ("b", 0.5)]
     assert "Broadcast" not in scaled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folder_names_are_taken_without_a_search(spark, tmp_path):
+    (tmp_path / "kind=a b").mkdir()
+    (tmp_path / "kind=a b" / "x.log").write_text("one\ntwo\n")
+    got = readers.read_run_logs(spark, str(tmp_path))
+    assert [(r["folder"], r["line_no"], r["text"]) for r in got.orderBy("line_no").collect()] == [("kind=a b", 1, "one"), ("kind=a b", 2, "two")]
+    assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
