@@ -196,50 +196,62 @@ def _newest_rows(df: DataFrame, n: int, order: list[str], small: int) -> DataFra
 
     A pass counts how many rows lie above each of some pivots of the open interval. The two pivots around the
     ``n``-th row bound the next interval, until that holds at most ``small`` rows; those alone are sorted. Rows
-    above the interval are taken by a filter, so no task merges the candidates of all others.
+    above the interval are taken by a filter, so no task merges the candidates of all others. These passes read
+    the columns of ``order`` alone; the whole row is looked at only where more than ``small`` rows are equal in them.
     """
-    ranked = df.withColumn("_key", F.struct(*[F.col(c) for c in order], _tie_break(df).alias("_tie")))
-    above, left, inside, size = None, n, ranked, ranked.count()
+    size = df.count()
     if size <= n:
         return df
-    while size > small:
-        pivots = _pivots(inside, size)
-        known = inside.sparkSession.createDataFrame([(pivots,)], T.StructType([T.StructField("_p", T.ArrayType(inside.schema["_key"].dataType))]))
-        pivot = known.select("_p").scalar()
-        counts = list(inside.agg(*[F.sum((F.col("_key") > pivot[i]).cast("long")) for i in range(len(pivots))]).first())
-        # The n-th row is not above the pivot ``high`` and lies above the one before it.
-        high = next((i for i, c in enumerate(counts) if c < left), None)
-        low = len(pivots) - 1 if high is None else high - 1
-        taken = 0 if high is None else counts[high]
-        if taken:
-            gone = inside.filter(F.col("_key") > pivot[high])
-            above = gone if above is None else above.union(gone)
-        if high is not None:
-            inside = inside.filter(F.col("_key") <= pivot[high])
-        if low >= 0:
-            inside = inside.filter(F.col("_key") > pivot[low])
-        left -= taken
-        now = (size if low < 0 else counts[low]) - taken
-        if now == size:
-            break  # the smallest row is a pivot, so all rows left are identical
-        size = now
-    rest = inside.orderBy(F.desc("_key")).limit(left) if size <= small else _some_of(inside, left)
-    return (rest if above is None else above.union(rest)).drop("_key")
-
-
-PIVOTS = 32
-
-
-def _pivots(inside: DataFrame, size: int) -> list:
-    """The smallest key and some others, drawn by their hashes, in ascending order as Spark compares them."""
-    chance, share = F.xxhash64("_key", F.lit(size)), max(1, size // (2 * PIVOTS))
-    lowest = inside.agg(F.min("_key").alias("_key"))
+    above, left, inside, tie = None, n, df, _tie_break(df)
+    for last in (order, [*order, "_tie"]):
+        inside = inside.withColumn("_tie", tie).withColumn("_key", F.struct(*last))
+        alike = False  # all open rows have the same key
+        while size > small and not alike:
+            pivots = _pivots(inside, size, left)
+            known = inside.sparkSession.createDataFrame([(pivots,)], T.StructType([T.StructField("_p", T.ArrayType(inside.schema["_key"].dataType))]))
+            pivot = known.select("_p").scalar()
+            counts = list(inside.agg(*[F.sum((F.col("_key") > pivot[i]).cast("long")) for i in range(len(pivots))]).first())
+            # The n-th row is not above the pivot ``high`` and lies above the one before it.
+            high = next((i for i, c in enumerate(counts) if c < left), None)
+            low = len(pivots) - 1 if high is None else high - 1
+            taken = 0 if high is None else counts[high]
+            if taken:
+                gone = inside.filter(F.col("_key") > pivot[high]).drop("_key", "_tie")
+                above = gone if above is None else above.union(gone)
+            if high is not None:
+                inside = inside.filter(F.col("_key") <= pivot[high])
+            if low >= 0:
+                inside = inside.filter(F.col("_key") > pivot[low])
+            left -= taken
+            now = (size if low < 0 else counts[low]) - taken
+            alike, size = now == size, now
+        if not alike:
+            break
+    rest = _some_of(inside, left) if alike else inside.orderBy(*[F.desc(c) for c in [*order, "_tie"]]).limit(left)
+    rest = rest.drop("_key", "_tie")
+    return rest if above is None else above.union(rest)
+
+
+DRAWN = 4096
+
+
+def _pivots(inside: DataFrame, size: int, left: int) -> list:
+    """Some keys drawn by their hashes, in ascending order as Spark compares them: a single one only if all keys are equal.
+
+    Some of the drawn keys lie around the place of the ``left``-th largest row, closer together the nearer they are to it,
+    the others are spread evenly. They are few, as every row is compared with each of them.
+    """
+    chance, share = F.xxhash64("_key", F.lit(size)), max(1, size // DRAWN)
     while True:
-        drawn = inside.select("_key").filter(F.pmod(chance, F.lit(share)) == 0).distinct().orderBy(chance).limit(PIVOTS)
-        found = [r["_key"] for r in drawn.union(lowest).distinct().orderBy("_key").collect()]
+        drawn = inside.select("_key").filter(F.pmod(chance, F.lit(share)) == 0).distinct().orderBy(chance).limit(2 * DRAWN)
+        found = [r["_key"] for r in drawn.orderBy("_key").collect()]
         if len(found) > 1 or share == 1:
-            return found
+            break
         share = max(1, share // 64)  # few different keys, of many rows each
+    at = round(len(found) * (1 - left / size))
+    near = {at + sign * 4**i for i in range(4) for sign in (-1, 1)}
+    even = {i * len(found) // 4 for i in range(4)}
+    return [found[i] for i in sorted(near | even | {len(found) - 1}) if 0 <= i < len(found)]
 
 
 def _some_of(rows: DataFrame, n: int) -> DataFrame:

@@ -161,6 +161,16 @@ def test_newest_rows_by_selection(spark, small, n):
     assert found == sorted(map(tuple, ordering.last_n(df.repartition(3), n, ["k", "s"], small=100_000).collect()), key=lambda r: (key(r), r[2]))
 
 
+def test_newest_rows_need_one_round_on_the_order_alone(spark, monkeypatch):
+    """The pivots lie close around the cut, so one pass counts them; it reads the column of the order and no other."""
+    seen, plain = [], ordering._pivots
+    monkeypatch.setattr(ordering, "_pivots", lambda inside, *a: (seen.append(inside.schema["_key"].dataType.names), plain(inside, *a))[1])
+    df = spark.range(300_000).select("id", F.md5(F.col("id").cast("string")).alias("text"))
+    got = ordering.last_n(df, 500, ["id"], small=5_000)
+    assert sorted(r["id"] for r in got.collect()) == list(range(299_500, 300_000))
+    assert seen == [["id"]]
+
+
 def test_newest_rows_per_group_alike(spark):
     rows = [(g, k % 9, v) for g in "xy" for k in range(40) for v in range(3)]
     df = spark.createDataFrame(rows, "g string, k int, v int").repartition(5)
