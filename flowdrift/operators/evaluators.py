@@ -35,7 +35,7 @@ class Calibrated:
     metrics: DataFrame
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``class``, ``score`` (1 - P(class)) and ``p_value``."""
+        """Add ``class``, ``score`` (1 - P(class)) and ``p_value``. Rows are scored once and stored: the p-values read them twice."""
         if len(self.models) == 1:
             scored = _predict_one(self.models[0], df)
         else:
@@ -45,7 +45,7 @@ class Calibrated:
             classes = [f"_class_{i}" for i in range(len(self.models))]
             scores = [f"_score_{i}" for i in range(len(self.models))]
             scored = conformal.combine_folds(scored, classes, scores).drop(*classes, *scores)
-        return conformal.p_values(scored, self.counts)
+        return conformal.p_values(materialize(scored), self.counts)
 
     def flags(self, scored: DataFrame, rule: str = "score_quantile", significance: float = 0.05) -> DataFrame:
         return conformal.drift_flags(scored, self.thresholds, rule, significance)
@@ -141,9 +141,9 @@ def calibrate_cce(
 ) -> Calibrated:
     """One model per fold, fitted on the other folds; the held-out scores of all folds are pooled.
 
-    Driver threads only submit the fits.
+    Folds are stored apart, so a held-out one is read alone. Driver threads only submit the fits.
     """
-    folded = materialize(stratified_folds(df, row_id, label, config.folds, "_fold"))
+    folded = materialize(stratified_folds(df, row_id, label, config.folds, "_fold"), "_fold")
 
     def one(k: int):
         model = fresh_estimator(estimator).fit(folded.filter(F.col("_fold") != k))

@@ -85,6 +85,31 @@ def test_fold_votes(spark):
     assert {r["id"]: r["v"] for r in df.select("id", conformal.vote(F.col("p")).alias("v")).collect()} == {1: 1, 2: 5}
 
 
+def test_many_folds_are_combined_by_a_short_plan(spark):
+    """Ten models: comparing their columns pairwise made a hundred comparisons of generated code."""
+    names = [(f"p{i}", f"s{i}") for i in range(10)]
+    df = spark.range(9).select("id", *[((F.col("id") * 7 + i * i) % 4).cast("int").alias(p) for i, (p, _) in enumerate(names)], *[(F.col("id") / 10 + i).alias(s) for i, (_, s) in enumerate(names)])
+    combined = conformal.combine_folds(df, *map(list, zip(*names)))
+    assert combined._jdf.queryExecution().analyzed().toString().count(" = ") < 20
+    for r in combined.collect():
+        votes = [r[p] for p, _ in names]
+        assert r["class"] == min(votes, key=lambda c: (-votes.count(c), c)) and abs(r["score"] - np.mean([r[s] for _, s in names])) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["ice", "cce"])
+def test_rows_are_scored_once(spark, kind):
+    """The p-values read stored scores, so no model runs a second time behind them."""
+    from flowdrift.operators import ml
+
+    df = spark.range(200).select(
+        F.col("id").alias("event_id"), ml.array_to_vector(F.array(F.col("id") % 7 + 0.0, F.col("id") % 3 + 0.0)).alias("features"), (F.col("id") % 7 > 3).cast("double").alias("label")
+    )
+    calibrated = make_evaluator(kind)(df, ml.make_estimator("dt", maxDepth=3), ConformalConfig(evaluator=kind, folds=3), "event_id")
+    judged = calibrated.predict(df)
+    assert "UDF" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert judged.filter("class = label AND p_value BETWEEN 0 AND 1").count() == 200
+
+
 def test_metrics_zero_division(spark):
     pairs = spark.createDataFrame([(0, 0), (0, 0), (1, 0)], "label int, prediction int")
     m = metrics.binary_metrics(pairs).first()
