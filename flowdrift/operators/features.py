@@ -93,6 +93,8 @@ WINDOW_MAXS = {"max_iat_fwd_window": "fwd_iat_max", "max_iat_bwd_window": "bwd_i
 SRC, DST = 0, 1
 # Window lengths of time that the counts of one address stay together in one task.
 STRETCH = 256
+# Address counts (two for a flow at most) that are placed in one task.
+PLACED_ROWS = 100_000
 
 
 def window_rates() -> dict[str, Column]:
@@ -176,7 +178,8 @@ def hopping_features(
     second, narrow pass: counts per (pane, address) are placed by address and
     stretch of time, so that the copies for overlapping windows are made and
     summed inside one task and never shuffled. A hot address is spread over its
-    stretches, a hot second is combined before any shuffle.
+    stretches, a hot second is combined before any shuffle. The number of these
+    tasks follows from the number of flows, so that one holds bounded counts.
     ``with_first`` adds the 5-tuple of the first flow in time (ties by ``order``).
     """
     size_us, step_us = parse_duration_us(size), parse_duration_us(step)
@@ -212,10 +215,11 @@ def hopping_features(
     )
     # a window lies in the stretch of its first pane; a pane serves the stretches its windows start in
     stretch = per_size * STRETCH
+    tasks = -(-2 * flows.count() // PLACED_ROWS)
     placed = counts.withColumn(
         "_stretch",
         F.explode(F.sequence(F.expr(f"greatest(_pane + 1 - {per_size}, 0L) div {stretch}"), F.expr(f"_pane div {stretch}"))),
-    ).repartition("_stretch", "_kind", "_ip")
+    ).repartition(*([tasks] if tasks > 1 else []), "_stretch", "_kind", "_ip")
     entropies = (
         in_hops(placed)
         .filter(F.expr(f"_hop * {per_step} div {stretch} = _stretch"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -85,6 +86,19 @@ def test_windows_against_plain_python(spark, size, step):
         assert r["end_time"] - r["start_time"] == dt.timedelta(seconds=size)
 
 
+def test_tasks_of_address_counts_follow_the_flows(spark, monkeypatch):
+    """Twice the flows are placed in twice the tasks, which Spark may not merge; the windows stay the same."""
+    rows = [flow(i, i % 60, "acd"[i % 3], "bxy"[i % 2]) for i in range(400)]
+    want = sorted(map(tuple, features.hopping_features(make(spark, rows)).collect()))
+    monkeypatch.setattr(features, "PLACED_ROWS", 20)
+    for n in (200, 400):
+        few = features.hopping_features(make(spark, rows[:n]))
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and re.search(rf"hashpartitioning\(_stretch#\d+L, _kind#\d+, _ip#\d+, {n // 10}\)", plan)
+    for a, b in zip(sorted(map(tuple, few.collect())), want, strict=True):
+        assert all(x == y or math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a, b))
+
+
 def test_empty_hops_are_omitted(spark):
     got = features.hopping_features(make(spark, [flow(1, 0), flow(2, 100)]), "5s", "1s").collect()
     starts = sorted((r["start_time"] - T0).total_seconds() for r in got)
