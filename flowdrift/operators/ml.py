@@ -31,6 +31,7 @@ from flowdrift.functions.columns import decode_prediction
 from flowdrift.operators.clean import fill_mean
 from flowdrift.operators.metrics import overall_accuracy
 from flowdrift.operators.sampling import stratified_folds
+from flowdrift.session import materialize
 
 SEED = 42
 SCALED = "__z"
@@ -173,6 +174,20 @@ def _svm(task: str, kernel: str, features: str, label: str, overrides: dict) ->
     return Pipeline(stages=[*stages, svc, platt])
 
 
+# Values that a task holds of its training rows while a forest is fitted: Spark keeps a count for each row and tree.
+FOREST_VALUES = 20_000_000
+
+
+class SlicedForest(RandomForestClassifier):
+    """A random forest whose training rows lie in slices of a bounded size, the smaller the more trees there are."""
+
+    def _fit(self, dataset: DataFrame):
+        rows = materialize(dataset)  # Spark reads them several times
+        slices = -(-rows.count() * self.getNumTrees() // FOREST_VALUES)
+        # rows that fill no more slices than there are cores stay where they are
+        return super()._fit(rows if slices <= rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(slices))
+
+
 def make_estimator(
     variant: str,
     task: str = "binary",
@@ -191,7 +206,7 @@ def make_estimator(
         depth = 30 if task == "multi" else 20
         return DecisionTreeClassifier(**common, **{"maxDepth": depth, "seed": SEED, **overrides})
     if variant == "rf":
-        return RandomForestClassifier(**common, **{"numTrees": 100, "maxDepth": 15, "seed": SEED, **overrides})
+        return SlicedForest(**common, **{"numTrees": 100, "maxDepth": 15, "seed": SEED, **overrides})
     if variant == "gbt":
         overrides = {"maxDepth": 8, "stepSize": 0.1, "maxIter": 10, "seed": SEED, **overrides}
         if task == "binary":
@@ -291,8 +306,6 @@ def cv_accuracy(
 
     Driver threads only submit the fits; each fit is a Spark job over all executors.
     """
-    from flowdrift.session import materialize
-
     folded = materialize(stratified_folds(df, row_id, label, folds))
 
     def one(k: int) -> DataFrame:

@@ -53,6 +53,19 @@ def test_pca_keeps_95_percent(spark, data):
     assert ml.components_needed(few) == 1
 
 
+def test_forest_is_fitted_on_bounded_slices(data, monkeypatch):
+    """Spark's fit holds a count for each row and tree, so the rows are cut into slices by their number and that of the trees."""
+    seen = []
+    plain = ml.RandomForestClassifier._fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "_fit", lambda self, rows: (seen.append((rows.rdd.getNumPartitions(), rows.count())), plain(self, rows))[1])
+    monkeypatch.setattr(ml, "FOREST_VALUES", 100)
+    stages, vector = ml.fit_features(data, COLUMNS)
+    prepared = PipelineModel(stages=stages).transform(data).select(vector, "label")
+    model = ml.make_estimator("rf", numTrees=5, maxDepth=4).copy().fit(prepared)
+    assert seen == [(N * 5 // 100, N)] and model.getNumTrees == 5
+    assert model.transform(prepared).filter("prediction = label").count() > 0.9 * N
+
+
 @pytest.mark.parametrize(
     ("variant", "extra"),
     [("dt", {"maxDepth": 4}), ("rf", {"numTrees": 5, "maxDepth": 4}), ("gbt", {"maxIter": 3, "maxDepth": 3}),
