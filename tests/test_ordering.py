@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -137,6 +138,26 @@ def test_folds_and_splits_are_balanced(rows):
         assert r["count"] == int(sum(g == r["g"] for _, g, _ in ROWS) * 0.8 + 0.5)
 
 
+@pytest.mark.parametrize("digits", [1, 4])
+@pytest.mark.parametrize("share", [0.0, 0.35, 0.8, 1.0])
+def test_split_goes_by_hash_order(spark, share, digits):
+    data = [(i if i % 50 else None, None if i % 9 == 0 else "ab"[i % 2]) for i in range(300)] + [(7, "b")] * 40
+    df = spark.createDataFrame(data, "id bigint, g string")
+    hashed = lambda i: "" if i is None else hashlib.md5(str(i).encode()).hexdigest()
+    for label in ("g", None):
+        got = sampling.split(df, "id", share, label, hex_digits=digits).collect()
+        want = []
+        for name in {g for _, g in data} if label else {0}:
+            order = sorted((hashed(i), str(i), str(g)) for i, g in data if not label or g == name)
+            want += [(i, k < int(len(order) * share + 0.5)) for k, (_, i, _) in enumerate(order)]
+        assert sorted((str(r["id"]), r["is_train"]) for r in got) == sorted(want)
+
+
+def test_split_ranks_only_rows_at_the_cut(rows):
+    plan = sampling.split(rows, "id", 0.8, "g")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "NestedLoopJoin" not in plan
+
+
 def test_best_by_stat_keeps_ties(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("a", 3.0, 3), ("b", 2.0, 4)], "stat string, v double, id int")
     got = {(r["id"], r["best"]) for r in ordering.best_by_stat(df, "stat", "v", {"a": "both", "b": "all"}).collect()}
