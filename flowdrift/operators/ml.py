@@ -12,7 +12,6 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
@@ -29,6 +28,7 @@ from pyspark.sql import types as T
 
 from flowdrift.functions.columns import decode_prediction
 from flowdrift.operators.clean import fill_mean
+from flowdrift.operators.margins import LinearSvm
 from flowdrift.operators.metrics import overall_accuracy
 from flowdrift.operators.sampling import stratified_folds
 from flowdrift.session import materialize
@@ -162,7 +162,7 @@ def _svm(task: str, kernel: str, features: str, label: str, overrides: dict) ->
         features = "features_rbf"
     elif kernel != "linear":
         raise ValueError(f"unknown kernel: {kernel}")
-    svc = LinearSVC(
+    svc = LinearSvm(
         featuresCol=features, labelCol=label, predictionCol="svm_side", rawPredictionCol="svm_margin",
         **{"regParam": 0.01, "maxIter": 50, **overrides},
     )
