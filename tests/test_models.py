@@ -294,3 +294,29 @@ def test_explanations_deal_out_their_rows(data):
     # a sample's probability is its task's number: the fitted intercepts differ where the tasks do
     seen = explain.local_surrogate(rows, Where(), COLUMNS, "id", samples=20, target=0).filter("feature = '(intercept)'")
     assert seen.select(F.round("weight")).distinct().count() > 8
+
+
+@pytest.mark.parametrize("depth", [3, 9])
+def test_local_surrogate_of_a_tree_is_that_of_its_samples(spark, depth):
+    """A tree is scored where its samples are made: same samples, same weights, and only the rows are shuffled."""
+    rng = np.random.default_rng(5)
+    noisy = [(float(a), float(b), float(rng.random() < 0.5 + 0.4 * np.sign(a * b))) for a, b in rng.normal(size=(400, 2))]
+    data = spark.createDataFrame(noisy, "a double, b double, label double")
+    stages, _ = ml.fit_features(data, ["a", "b"])
+    prepared = PipelineModel(stages=stages).transform(data)
+    tree = ml.make_estimator("dt", maxDepth=depth).fit(prepared)
+    assert (tree.numNodes > explain.SMALL_TREE) == (depth == 9)
+
+    class Same:
+        def transform(self, df):
+            return tree.transform(df)
+
+    # ids of any type; equal ones are one fit, also those that are missing
+    vectors = prepared.limit(60).select("features").collect()
+    rows = spark.createDataFrame([(None if i % 20 == 7 else f"r{i % 50}", v["features"]) for i, v in enumerate(vectors)], ["id", "features"])
+    fast, slow = (explain.local_surrogate(rows, m, ["a", "b"], "id", samples=50, target=1) for m in (tree, Same()))
+    assert fast._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got, expected = ({(r["id"], r["feature"]): r["weight"] for r in df.collect()} for df in (fast, slow))
+    assert got.keys() == expected.keys() and len(got) == 3 * rows.select("id").distinct().count()
+    assert max(abs(got[k] - expected[k]) for k in got) < 1e-9
+    assert len({round(v, 6) for v in got.values()}) > 100
