@@ -33,25 +33,41 @@ def _split_weights(weights: np.ndarray, layers: list[int]) -> list[tuple[np.ndar
     return out
 
 
+Room = dict[int, list[tuple[np.ndarray, np.ndarray]]]
+
+
 def loss_and_gradient(
-    weights: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, label: np.ndarray, times: np.ndarray
+    weights: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, label: np.ndarray, times: np.ndarray, room: Room | None = None
 ) -> tuple[float, np.ndarray]:
-    """Summed cross-entropy of a sigmoid net with a softmax at its end, and its gradient; row i counts ``times[i]`` times."""
-    seen = [x]
-    with np.errstate(over="ignore"):
-        for matrix, bias in weights[:-1]:
-            z = seen[-1] @ matrix
-            z += bias
-            np.negative(z, out=z)
-            np.exp(z, out=z)
-            z += 1
-            seen.append(np.reciprocal(z, out=z))
+    """Summed cross-entropy of a sigmoid net with a softmax at its end, and its gradient; row i counts ``times[i]`` times.
+
+    ``room`` keeps the arrays of the layers for further calls. Numbers next to the smallest that the type
+    can hold cost a core hundreds of times a normal one, and a net that fits its rows well is full of them. So a unit is never
+    closer to 0 than the cube root of the smallest number, and slopes are rounded to multiples of what is
+    far below the precision of any sum they enter.
+    """
+    kind = np.result_type(x, weights[0][0])
+    tiny = float(np.finfo(kind).tiny)
+    edge, grain = -np.log(tiny) / 3, kind.type(tiny**0.4)
+    room = {} if room is None else room
+    if len(x) not in room:
+        room[len(x)] = [(np.empty((len(x), len(bias)), kind), np.empty((len(x), len(bias)), kind)) for _, bias in weights]
+    seen, arrays = [x], room[len(x)]
+    for (matrix, bias), (z, _) in zip(weights[:-1], arrays):
+        np.matmul(seen[-1], matrix, out=z)
+        z += bias
+        np.negative(z, out=z)
+        np.minimum(z, edge, out=z)
+        np.exp(z, out=z)
+        z += 1
+        seen.append(np.reciprocal(z, out=z))
     matrix, bias = weights[-1]
-    z = seen[-1] @ matrix
+    z = np.matmul(seen[-1], matrix, out=arrays[-1][0])
     z += bias
     z -= z.max(axis=1, keepdims=True)
     own = np.arange(len(x)), label
     right = z[own].astype(float)
+    np.maximum(z, -2 * edge, out=z)
     np.exp(z, out=z)
     total = z.sum(axis=1, keepdims=True)
     loss = float(times.astype(float) @ (np.log(total[:, 0].astype(float)) - right))
@@ -60,11 +76,13 @@ def loss_and_gradient(
     z *= times[:, None]
     parts = []
     for i in range(len(weights) - 1, -1, -1):
+        z += grain
+        z -= grain
         parts += [z.sum(axis=0), (seen[i].T @ z).ravel()]
         if i:
-            z = z @ weights[i][0].T
+            z = np.matmul(z, weights[i][0].T, out=arrays[i - 1][1])
             z *= seen[i]
-            z *= 1 - seen[i]
+            z *= np.subtract(1, seen[i], out=seen[i])
     return loss, np.concatenate(parts[::-1])
 
 
@@ -211,10 +229,10 @@ class NetClassifier(Estimator):
         def cost(weights: np.ndarray) -> tuple[float, np.ndarray]:
             def partial(packed) -> Iterator[tuple[float, np.ndarray]]:
                 known = _split_weights(weights.astype(np.float32), layers)
-                loss, gradient = 0.0, np.zeros(len(weights))
+                loss, gradient, room = 0.0, np.zeros(len(weights)), {}
                 for b in packed:
                     x = np.frombuffer(b["x"], np.float32).reshape(-1, layers[0])
-                    more, slope = loss_and_gradient(known, x, np.frombuffer(b["label"], np.int32), np.frombuffer(b["times"], np.float32))
+                    more, slope = loss_and_gradient(known, x, np.frombuffer(b["label"], np.int32), np.frombuffer(b["times"], np.float32), room)
                     loss += more
                     gradient += slope
                 yield loss, gradient
