@@ -187,6 +187,52 @@ def test_knn_copies_no_row_for_each_small_block(spark):
     assert got == {i: np.lexsort((np.arange(1800), squared[i]))[:3].tolist() for i in range(1800)}
 
 
+def test_knn_finds_the_ring_of_a_row_without_looking_at_all_blocks():
+    """The block of a row and the blocks that it has to meet are those of the plain comparison with every block."""
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(12, 3))
+    edges = [np.round(np.sort(rng.uniform(0, 1.5, 2 * n)), 1).reshape(n, 2) for n in rng.integers(0, 9, 12)]  # cells without rows, equal edges
+    low, high = np.concatenate(edges).T
+    cell = np.repeat(np.arange(12), [len(e) for e in edges])
+    known = neighbours._rings({"pivots": pivots, "cell": cell, "low": low, "high": high, "size": np.ones(len(cell), int)})
+    x = np.vstack([rng.normal(size=(400, 3)), pivots])
+    own, d = neighbours._nearest_pivot(x, pivots)
+    off = np.maximum(np.maximum(low - d[:, None], d[:, None] - high), 0.0)
+    home = np.where(cell == own[:, None], off, np.inf).argmin(axis=1)
+    assert np.array_equal(neighbours._home(x, known), home)
+    apart = np.sqrt(neighbours._squares(pivots, pivots))
+    worst = rng.uniform(0, 0.3, len(x))
+    shelves = np.arange(0, len(cell), 3)
+    found, many, _ = neighbours._others(x, home, worst, 1, {**known, "apart": apart, "first": shelves})
+    gap = np.sqrt(neighbours._squares(x, pivots))
+    to_pivot, between = gap[:, cell], apart[cell[home]][:, cell]
+    mine = gap[np.arange(len(x)), cell[home]][:, None]
+    plane = np.where(between > 1e-3, (to_pivot**2 - mine**2) / np.where(between > 1e-3, 2 * between, 1), 0)
+    at_least = np.maximum(np.maximum(to_pivot - high, low - to_pivot), plane)
+    for reach, holds in ((-1e-4, np.subtract), (1e-4, lambda a, b: np.subtract(b, a))):  # all that are surely near, none that surely are not
+        maybe = at_least <= np.sqrt(worst)[:, None] + reach
+        maybe[np.arange(len(x)), home] = False
+        wanted = np.logical_or.reduceat(maybe, shelves, axis=1).astype(int)
+        got = np.zeros_like(wanted)
+        got[np.repeat(np.arange(len(x)), many), found] = 1
+        assert (holds(wanted, got) <= 0).all()
+
+
+def test_knn_leaves_out_most_of_a_block(monkeypatch):
+    """Rows that have a twin in their block are compared with the rows at about their distance to the pivot only."""
+    rng = np.random.default_rng(6)
+    t = rng.normal(size=(2000, 5))
+    x, ids = np.vstack([t[::2], t[:50] + 1e-7]), rng.permutation(2000)
+    met = []
+    meet = neighbours._Nearest.meet
+    monkeypatch.setattr(neighbours._Nearest, "meet", lambda self, rows, a, b: (met.append(len(rows) * (b - a)), meet(self, rows, a, b)))
+    found, mine, theirs = neighbours._in_block(x, np.full(len(x), np.inf), t, ids, 1, np.zeros(5))
+    exact = np.round(((x[:, None] - t) ** 2).sum(axis=2), 9)
+    best = [np.lexsort((ids, row))[0] for row in exact]
+    assert np.array_equal(theirs[found.place[:, 0]], np.array(best)[mine])
+    assert sum(met) < 0.4 * len(x) * len(t)
+
+
 def test_knn_with_fewer_rows_than_neighbours_and_empty_sides(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0], i) for i in range(3)], "id bigint, x array<double>, label int")
     near = neighbours.knn(df, df, 5, "id", "x", "id", "label", block_rows=1)
